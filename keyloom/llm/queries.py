@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import quality, sharding
+from keyloom.llm import near, quality, sharding, substring
 from keyloom.llm.common import table
 
 
@@ -20,6 +20,20 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op2_quality": op2_quality, "op5_sharding": op5_sharding}
+def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(table(spark, sf_dir, "documents"))
+
+
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op2_quality": op2_quality,
+    "op5_sharding": op5_sharding,
+    "op6_near": op6_near,
+    "op10_substring": op10_substring,
+}
 
 ORACLE: dict[str, str] = {}
