@@ -77,8 +77,8 @@ def _ids(batch) -> np.ndarray:
 class _Steps:
     """The functions that run on chunks and parts; bits of a fingerprint, and of its part."""
 
-    def __init__(self, bits: int, part_bits: int):
-        self.bits, self.part_bits = bits, part_bits
+    def __init__(self, bits: int, part_bits: int, carry: tuple[str, ...] = ()):
+        self.bits, self.part_bits, self.carry = bits, part_bits, carry
 
     def probes(self, docs: pa.Table) -> pa.Table:
         """Distinct fingerprints of a chunk's rolling windows; flags: 1 a block, 2 found twice here."""
@@ -182,7 +182,10 @@ class _Steps:
             order = np.lexsort((at, doc))
             doc, at, tag = doc[order], at[order], tag[order]
         out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "spans": [], "text": [], "kept": []}
+        carried: list[list] = [[] for _ in self.carry]
         for batch, hashes, first in _hashed(docs):
+            for values, name in zip(carried, self.carry):
+                values.append(batch.column(f"carry_{name}"))
             ids, own = _ids(batch), _tags(hashes, first)
             low, high = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
             for i, text in enumerate(as_binary(batch.column("text")).to_pylist()):
@@ -202,7 +205,10 @@ class _Steps:
                 out["kept"].append(b" ".join(kept))
         kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "text": pa.binary(), "kept": pa.binary()}
         kinds["spans"] = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
-        return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
+        done_columns = {k: pa.array(v, kinds[k]) for k, v in out.items()}
+        for name, values in zip(self.carry, carried):
+            done_columns[f"carry_{name}"] = pa.chunked_array(values, docs.schema.field(f"carry_{name}").type)
+        return pa.table(done_columns)
 
 
 def _later(k1, k2, doc, at) -> np.ndarray:
@@ -224,8 +230,8 @@ def _merge(starts: np.ndarray) -> list[tuple[int, int]]:
     return spans
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, spans, text, kept) per row of docs.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, spans, text, kept, and the columns to carry) per row of docs.
 
     Removed is each word covered by a window of WINDOW words whose sequence also starts earlier: in a
     document of smaller id (null is the least), or earlier in the same one, rows of one id being one document. Windows are judged on the
@@ -237,9 +243,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_docs = docs.count()
     chunks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // CHUNK_DOCS))
     part_bits = max(1, (chunks - 1).bit_length())
-    steps = _Steps(min(60, max(32, (400 * max(n_docs, 1)).bit_length() + 9, part_bits)), part_bits)
+    steps = _Steps(min(60, max(32, (400 * max(n_docs, 1)).bit_length() + 9, part_bits)), part_bits, tuple(carry))
     ids = F.col(id_col).cast("long")
-    dealt = docs.select(ids.alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.pmod(F.xxhash64(ids), F.lit(chunks)).cast("int").alias("chunk"))
+    dealt = docs.select(
+        ids.alias("doc_id"),
+        F.col(text_col).cast("binary").alias("text"),
+        F.pmod(F.xxhash64(ids), F.lit(chunks)).cast("int").alias("chunk"),
+        *(F.col(c).alias(f"carry_{c}") for c in carry),
+    )
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name.startswith("carry_"))
     dealt = dealt.repartition(max(1, chunks // 2), "chunk")
 
     probes = dealt.groupBy("chunk").applyInArrow(lambda t: steps.probes(t), _BLOBS)
@@ -248,6 +260,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = keyed.groupBy("part").applyInArrow(lambda t: steps.repeated(t), _BLOBS)
     out = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
         lambda a, b: steps.remove(a, b),
-        "doc_id long, n_words long, n_removed long, spans array<struct<first: long, words: long>>, text binary, kept binary",
+        "doc_id long, n_words long, n_removed long, spans array<struct<first: long, words: long>>, text binary, kept binary"
+        + kinds,
     )
-    return out.withColumn("text", F.col("text").cast("string")).withColumn("kept", F.col("kept").cast("string"))
+    return out.select(
+        "doc_id", "n_words", "n_removed", "spans", *(F.col(c).cast("string").alias(c) for c in ("text", "kept")),
+        *(F.col(f"carry_{c}").alias(c) for c in carry),
+    )

@@ -291,6 +291,6 @@ def score(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",)) -> DataFr
 
     Only the text is looked at. Null, empty and wordless texts have no evidence and get the curve's value
     there; equal texts get equal scores; an empty table gives no rows."""
-    rows = docs.select(*keep, "text")
+    rows = docs.select(*dict.fromkeys((*keep, "text")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     return rows.mapInArrow(_scored(model, list(keep)), f"{kinds}, score double, evidence double, n_toxic_words int")
