@@ -62,7 +62,9 @@ def _deque(pdf: pd.DataFrame) -> pd.DataFrame:
         elif tail - head > 1 and op == "RPOP":
             tail -= 1
             items.pop(tail, None)
-    return pd.DataFrame({"key": pdf["key"].iloc[0], "seq": sorted(items), "value": [items[s] for s in sorted(items)]})
+    order = sorted(items)
+    texts = {"key": [pdf["key"].iloc[0]] * len(order), "value": [items[s] for s in order]}
+    return pd.DataFrame({"seq": pd.Series(order, dtype="int64")} | {k: pd.Series(v, dtype=object) for k, v in texts.items()})[["key", "seq", "value"]]
 
 
 def lists(events: DataFrame) -> DataFrame:

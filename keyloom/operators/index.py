@@ -43,11 +43,15 @@ class Catalog:
         pairs = [F.struct(F.lit(n).alias("rule"), field_value(value, f).alias("field_value")) for n, f in self.fields.items()]
         found = F.array(*pairs) if pairs else F.array().cast("array<struct<rule:string,field_value:string>>")
         for n, extract in self.rules.items():
-            found = F.concat(found, F.transform(extract(value), lambda v, n=n: F.struct(F.lit(n).alias("rule"), v.alias("field_value"))))
+            found = F.concat(found, F.transform(extract(value), _entry(n)))
         rows = live.select("ns", "key", F.explode(found).alias("e")).where("e.field_value is not null")
         return rows.select("e.rule", "e.field_value", "ns", "key").distinct()
 
 
+def _entry(rule: str):
+    return lambda v: F.struct(F.lit(rule).alias("rule"), v.alias("field_value"))
+
+
 def lookup(index: DataFrame, rule: str, value: str, limit: int = 0) -> DataFrame:
     rows = index.where((F.col("rule") == rule) & (F.col("field_value") == value))
     return limited(rows.select("ns", "key").orderBy("ns", "key"), limit)

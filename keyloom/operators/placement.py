@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, LongType
 
 #: Low 13 bits of the 64-bit FNV-1a offset and prime, which are closed under its steps.
 SHARDS, _OFFSET, _PRIME = 8192, 0x2325, 0x1B3
@@ -23,7 +24,7 @@ def disk(shard: Column, disks: int) -> Column:
     return shard % disks
 
 
-@F.pandas_udf("decimal(20,0)")
+@F.pandas_udf(DecimalType(20, 0))
 def ring_hash(key: pd.Series) -> pd.Series:
     """FNV-1a with a 64-bit finaliser, as an unsigned number."""
     from decimal import Decimal
@@ -69,7 +70,7 @@ def replicas(nodes: list[tuple[str, str]], first: int, n: int) -> list[str]:
     return chosen + [node for node, _ in ring if node not in chosen][: n - len(chosen)]
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     """CRC-32 with the Castagnoli polynomial."""
     table = np.arange(256, dtype=np.uint32)

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 #: Query vectors that are compared at once with every Arrow batch.
 QUERY_BLOCK = 512
@@ -122,11 +123,11 @@ def rag_join(hits: DataFrame, docs: DataFrame) -> DataFrame:
     return hits.join(docs, "id", "left").orderBy(F.desc("score"), "id")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def encode(vec: pd.Series) -> pd.Series:
     return vec.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def decode(blob: pd.Series) -> pd.Series:
     return blob.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))

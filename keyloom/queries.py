@@ -1,6 +1,875 @@
-"""Registered queries of the keyspace engine and their SQL counterparts."""
+"""Registered queries over the given tables, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from keyloom.functions.fields import compare, field_value
+from keyloom.model import changelog, micros
+from keyloom.operators import atomic, collections, index, placement, predicate, scan, state, stats, vector
+from keyloom.plans import command
+from keyloom.sources import backup
+from keyloom.streaming import feed
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+#: 2024-01-20T00:00:00Z, the time at which liveness is judged.
+NOW = 1_705_708_800_000_000
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def padded(c: str, width: int = 10) -> Column:
+    return F.lpad(F.col(c).cast("string"), width, "0")
+
+
+# --- the keyspaces that the queries read ---------------------------------------------------------------
+
+def event_log(spark, d) -> DataFrame:
+    """One key per event, in the namespace of its type."""
+    e = table(spark, d, "events")
+    return changelog(e, version=F.col("event_id"), ts_us=micros(F.col("ts")), ns=F.col("event_type"), key=padded("event_id"), value=F.col("props"))
+
+
+def user_log(spark, d) -> DataFrame:
+    """One key per user; an error event deletes it, and every write expires after (event_id mod 20) days, 0 never."""
+    e = table(spark, d, "events")
+    return changelog(
+        e, version=F.col("event_id"), ts_us=micros(F.col("ts")), ns=F.lit("users"), key=padded("user_id"),
+        value=F.when(F.col("event_type") != "error", F.col("event_type")), op=F.when(F.col("event_type") == "error", "DEL").otherwise("PUT"),
+        ttl_s=F.col("event_id") % 20 * 86400,
+    )
+
+
+def order_rows(spark, d) -> DataFrame:
+    """Live orders: namespace by priority, values as name=value pairs."""
+    o = table(spark, d, "orders")
+    pairs = F.concat(F.lit("status="), "o_orderstatus", F.lit(",prio="), "o_orderpriority", F.lit(";cust="), F.col("o_custkey").cast("string"))
+    return changelog(o, version=F.col("o_orderkey"), ts_us=micros(F.col("o_orderdate")), ns=F.col("o_orderpriority"), key=padded("o_orderkey"), value=pairs)
+
+
+EV = "ev AS (SELECT event_id AS version, epoch_us(ts) AS ts_us, event_type AS ns, lpad(event_id::VARCHAR, 10, '0') AS key, props AS value FROM events)"
+US = """us AS (SELECT event_id AS version, epoch_us(ts) AS ts_us, CASE WHEN event_type = 'error' THEN 'DEL' ELSE 'PUT' END AS op,
+    lpad(user_id::VARCHAR, 10, '0') AS key, CASE WHEN event_type <> 'error' THEN event_type END AS value,
+    CASE WHEN event_id % 20 > 0 THEN epoch_us(ts) + event_id % 20 * 86400000000 END AS expiry_us FROM events)"""
+LATEST = "latest AS (SELECT * FROM us QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts_us DESC, version DESC) = 1)"
+LIVE = f"live AS (SELECT * FROM latest WHERE op = 'PUT' AND (expiry_us IS NULL OR expiry_us > {NOW}))"
+ORD = """od AS (SELECT o_orderkey AS version, epoch_us(o_orderdate) AS ts_us, o_orderpriority AS ns, lpad(o_orderkey::VARCHAR, 10, '0') AS key,
+    'status=' || o_orderstatus || ',prio=' || o_orderpriority || ';cust=' || o_custkey AS value FROM orders)"""
+
+
+# --- scans --------------------------------------------------------------------------------------------
+
+@query("get_point", f"WITH {ORD} SELECT ns, key, value FROM od WHERE ns = '2-HIGH' AND key = '0000000002'")
+def _(spark, d):
+    return scan.get(order_rows(spark, d), "2-HIGH", "0000000002")
+
+
+ASKED = ["0000000007", "0000000003", "9999999999", "0000000003", "0000000100"]
+
+
+@query("mget_ordered", f"""WITH {ORD}, k(pos, key) AS (VALUES {', '.join(f"({i}, '{k}')" for i, k in enumerate(ASKED))})
+    SELECT pos::BIGINT AS pos, k.key, od.key IS NOT NULL AS found, value FROM k LEFT JOIN od ON k.key = od.key""")
+def _(spark, d):
+    return scan.mget(order_rows(spark, d), spark.createDataFrame(list(enumerate(ASKED)), "pos long, key string"), len(ASKED))
+
+
+@query("mget_many", f"""WITH {ORD} SELECT l_orderkey * 8 + l_linenumber AS pos, lpad(l_orderkey::VARCHAR, 10, '0') AS key,
+    od.key IS NOT NULL AS found, value FROM lineitem LEFT JOIN od ON od.key = lpad(l_orderkey::VARCHAR, 10, '0')""")
+def _(spark, d):
+    asked = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), padded("l_orderkey").alias("key"))
+    return scan.mget(order_rows(spark, d), asked)
+
+
+@query("range_scan_asc", f"WITH {EV} SELECT key, value FROM ev WHERE key >= '0000000100' AND key < '0000000200'")
+def _(spark, d):
+    return scan.range_scan(event_log(spark, d), "0000000100", "0000000200")
+
+
+@query("range_scan_desc_limit", f"WITH {EV} SELECT key, value FROM ev WHERE key < '0000000500' ORDER BY key DESC LIMIT 25")
+def _(spark, d):
+    return scan.range_scan(event_log(spark, d), "", "0000000500", 25, reverse=True)
+
+
+@query("range_scan_ns", f"WITH {EV} SELECT key, value FROM ev WHERE ns = 'click' AND key >= '0000000100' AND key < '0000000900' ORDER BY key LIMIT 40")
+def _(spark, d):
+    return scan.range_scan(event_log(spark, d), "0000000100", "0000000900", 40, ns="click")
+
+
+def customer_rows(spark, d):
+    c = table(spark, d, "customer")
+    return changelog(c, version=F.col("c_custkey"), ts_us=F.lit(0), ns=F.col("c_mktsegment"), key=F.col("c_name"), value=F.col("c_acctbal").cast("string"))
+
+
+@query("scan_cursor_page", "SELECT c_name AS key FROM customer WHERE c_name > 'Customer#000000049' ORDER BY c_name LIMIT 50")
+def _(spark, d):
+    return scan.scan_cursor(customer_rows(spark, d), "Customer#000000049", 50)[0].select("key")
+
+
+@query("next_cursor", """SELECT CASE WHEN count(*) = 50 THEN max(c_name) ELSE '' END AS next_cursor FROM
+    (SELECT c_name FROM customer WHERE c_name > 'Customer#000000049' ORDER BY c_name LIMIT 50)""")
+def _(spark, d):
+    return scan.scan_cursor(customer_rows(spark, d), "Customer#000000049", 50)[1]
+
+
+@query("next_cursor_end", "SELECT '' AS next_cursor")
+def _(spark, d):
+    return scan.scan_cursor(customer_rows(spark, d), "zzz", 50)[1]
+
+
+@query("ns_scan_prefix", f"WITH {ORD} SELECT key, value FROM od WHERE ns = '1-URGENT' AND starts_with(key, '00000001') ORDER BY key")
+def _(spark, d):
+    return scan.ns_scan(order_rows(spark, d), "1-URGENT", "00000001")
+
+
+@query("url_prefix_scan", "SELECT url AS key FROM pages WHERE starts_with(url, 'https://')")
+def _(spark, d):
+    p = table(spark, d, "pages")
+    return scan.keys(changelog(p, version=F.col("page_id"), ts_us=F.lit(0), ns=F.lit("pages"), key=F.col("url"), value=F.lit("")), "https://")
+
+
+@query("key_scan", f"WITH {US}, {LATEST}, {LIVE} SELECT key FROM live")
+def _(spark, d):
+    return scan.keys(state.live(state.latest_per_key(user_log(spark, d)), NOW))
+
+
+@query("changes_since", f"""WITH {US}, {LATEST} SELECT op, 'users' AS ns, key, value, ts_us FROM latest
+    WHERE ts_us >= {NOW} AND (op = 'DEL' OR expiry_us IS NULL OR expiry_us > {NOW}) ORDER BY ts_us, key LIMIT 100""")
+def _(spark, d):
+    return feed.changes_since(state.latest_per_key(user_log(spark, d)), NOW, 100, NOW)[0]
+
+
+@query("changes_since_more", f"""WITH {US}, {LATEST}, c AS (SELECT * FROM latest WHERE ts_us >= {NOW} AND (op = 'DEL' OR expiry_us IS NULL OR expiry_us > {NOW})),
+    p AS (SELECT * FROM c ORDER BY ts_us, key LIMIT 20) SELECT (SELECT max(ts_us) FROM p) AS next_us, (SELECT count(*) FROM c) > 20 AS more""")
+def _(spark, d):
+    return feed.changes_since(state.latest_per_key(user_log(spark, d)), NOW, 20, NOW)[1]
+
+
+# --- predicates -----------------------------------------------------------------------------------------
+
+_NUM = "CAST(json_extract_string(value, '$.k') AS DOUBLE)"
+_OPS = {
+    "eq": ("=", "50"), "ne": ("!=", "50"), "gt": (">", "50"), "lt": ("<", "50"), "ge": (">=", "50"), "le": ("<=", "9"), "contains": ("contains", "7"),
+}
+
+
+def _query_op(name: str, op: str, operand: str):
+    text = "json_extract_string(value, '$.k')"
+    cond = {"=": f"{text} = '{operand}'", "!=": f"{text} <> '{operand}'", "contains": f"contains({text}, '{operand}')"}
+    sql = f"WITH {EV} SELECT key, value FROM ev WHERE ns = 'view' AND {cond.get(op, f'{_NUM} {op} {operand}')}"
+    query(f"query_{name}", sql)(lambda spark, d: predicate.query_ns(event_log(spark, d), "view", "k", op, operand))
+
+
+for _name, (_op, _operand) in _OPS.items():
+    _query_op(_name, _op, _operand)
+
+
+@query("query_limit", f"WITH {EV} SELECT key, value FROM ev WHERE ns = 'view' AND {_NUM} >= 50 ORDER BY key LIMIT 10")
+def _(spark, d):
+    return command.build(event_log(spark, d), command.parse("QUERY view WHERE k >= 50 LIMIT 10"))
+
+
+@query("query_kv_pairs", f"WITH {ORD} SELECT key, value FROM od WHERE ns = '2-HIGH' AND regexp_extract(value, '(^|[,; ])status=([^,; ]*)', 2) = 'F'")
+def _(spark, d):
+    return predicate.query_ns(order_rows(spark, d), "2-HIGH", "status", "=", "F")
+
+
+@query("query_lexicographic", """SELECT c_name AS key, c_mktsegment AS segment FROM customer WHERE c_mktsegment > 'F'""")
+def _(spark, d):
+    c = table(spark, d, "customer")
+    seg = field_value(F.concat(F.lit("seg="), "c_mktsegment"), "seg")
+    return c.where(compare(seg, ">", "F")).select(F.col("c_name").alias("key"), F.col("c_mktsegment").alias("segment"))
+
+
+@query("field_extraction", f"WITH {EV} SELECT key, json_extract_string(value, '$.k') AS k, NULL::VARCHAR AS missing FROM ev")
+def _(spark, d):
+    return event_log(spark, d).select("key", field_value(F.col("value"), "k").alias("k"), field_value(F.col("value"), "nope").alias("missing"))
+
+
+def part_rows(spark, d):
+    p = table(spark, d, "part")
+    value = F.concat(F.lit("brand="), "p_brand", F.lit(",size="), F.col("p_size").cast("string"))
+    return changelog(p, version=F.col("p_partkey"), ts_us=F.lit(0), ns=F.lit("part"), key=padded("p_partkey"), value=value)
+
+
+predicate.register("large", lambda key, value: compare(field_value(value, "size"), ">", "40"))
+
+
+@query("predicate_scan", "SELECT lpad(p_partkey::VARCHAR, 10, '0') AS key FROM part WHERE p_size > 40 AND starts_with(lpad(p_partkey::VARCHAR, 10, '0'), '00000001')")
+def _(spark, d):
+    return predicate.predicate_scan(part_rows(spark, d), "large", "00000001")
+
+
+@query("predicate_filter", """SELECT l_orderkey * 8 + l_linenumber AS pos, lpad((l_partkey * 2)::VARCHAR, 10, '0') AS key, coalesce(p_size > 40, false) AS matches
+    FROM lineitem LEFT JOIN part ON p_partkey = l_partkey * 2""")
+def _(spark, d):
+    asked = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.lpad((F.col("l_partkey") * 2).cast("string"), 10, "0").alias("key")
+    )
+    return predicate.predicate_filter(part_rows(spark, d), asked, "large")
+
+
+# --- indexes --------------------------------------------------------------------------------------------
+
+def order_index() -> index.Catalog:
+    c = index.Catalog()
+    c.create("by_status", "status")
+    c.create("by_prio", "prio")
+    return c
+
+
+@query("idx_lookup", f"WITH {ORD} SELECT ns, key FROM od WHERE regexp_extract(value, '(^|[,; ])status=([^,; ]*)', 2) = 'P'")
+def _(spark, d):
+    return index.lookup(order_index().entries(order_rows(spark, d)), "by_status", "P")
+
+
+@query("idx_query_verified", f"WITH {ORD} SELECT key, value FROM od WHERE ns = '3-MEDIUM' AND contains(value, 'status=O,') ORDER BY key LIMIT 100")
+def _(spark, d):
+    rows = order_rows(spark, d)
+    return index.query_by_index(rows, order_index().entries(rows), "by_status", "status", "3-MEDIUM", "O", 100)
+
+
+@query("idx_diff", """WITH o AS (SELECT o_orderpriority AS ns, lpad(o_orderkey::VARCHAR, 10, '0') AS key, o_orderstatus AS s,
+    CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS t, o_orderkey % 15 = 0 AS gone FROM orders)
+    SELECT 'remove' AS change, 'by_status' AS rule, s AS field_value, ns, key FROM o WHERE gone OR s <> t
+    UNION ALL SELECT 'add', 'by_status', t, ns, key FROM o WHERE NOT gone AND s <> t""")
+def _(spark, d):
+    c = index.Catalog()
+    c.create("by_status", "status")
+    old = order_rows(spark, d)
+    new = old.where(F.col("version") % 15 != 0)
+    new = new.withColumn("value", F.when(F.col("version") % 10 == 0, F.regexp_replace("value", "status=.", "status=X")).otherwise(F.col("value")))
+    return index.diff(c.entries(old), c.entries(new))
+
+
+@query("idx_cardinality", """SELECT 'by_status' AS rule, count(DISTINCT o_orderstatus) AS values, count(*) AS entries FROM orders
+    UNION ALL SELECT 'by_prio', count(DISTINCT o_orderpriority), count(*) FROM orders WHERE o_orderpriority <> ''""".replace(
+    "count(DISTINCT o_orderpriority)", "count(DISTINCT split_part(o_orderpriority, ' ', 1))"))
+def _(spark, d):
+    return index.cardinality(order_index().entries(order_rows(spark, d)))
+
+
+@query("idx_multi_value", """SELECT 'by_word' AS rule, w AS field_value, 'part' AS ns, lpad(p_partkey::VARCHAR, 10, '0') AS key
+    FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)""")
+def _(spark, d):
+    c = index.Catalog()
+    c.register("by_word", lambda value: F.split(value, " "))
+    p = table(spark, d, "part")
+    return c.entries(changelog(p, version=F.col("p_partkey"), ts_us=F.lit(0), ns=F.lit("part"), key=padded("p_partkey"), value=F.col("p_name")))
+
+
+@query("index_escape", "SELECT c_custkey, replace(replace(c_mktsegment || '/100%', '%', '%25'), '/', '%2F') AS escaped FROM customer")
+def _(spark, d):
+    return table(spark, d, "customer").select("c_custkey", index.escape(F.concat("c_mktsegment", F.lit("/100%"))).alias("escaped"))
+
+
+# --- state, liveness, time travel -------------------------------------------------------------------------
+
+_STATE = "op, key, value, ts_us, version, expiry_us"
+
+
+def _state(df):
+    return df.select("op", "key", "value", "ts_us", "version", "expiry_us")
+
+
+@query("latest_per_key", f"WITH {US}, {LATEST} SELECT {_STATE} FROM latest")
+def _(spark, d):
+    return _state(state.latest_per_key(user_log(spark, d)))
+
+
+@query("tombstone_state", f"WITH {US}, {LATEST} SELECT {_STATE} FROM latest WHERE op = 'DEL'")
+def _(spark, d):
+    return _state(state.latest_per_key(user_log(spark, d)).where("op = 'DEL'"))
+
+
+@query("live_ttl", f"WITH {US}, {LATEST}, {LIVE} SELECT {_STATE} FROM live")
+def _(spark, d):
+    return _state(state.live(state.latest_per_key(user_log(spark, d)), NOW))
+
+
+@query("ttl_remaining", f"""WITH {US}, {LATEST} SELECT key, CASE WHEN op = 'DEL' OR expiry_us <= {NOW} THEN -2 WHEN expiry_us IS NULL THEN -1
+    ELSE ((expiry_us - {NOW}) // 1000000)::INTEGER END AS ttl FROM latest""")
+def _(spark, d):
+    return state.latest_per_key(user_log(spark, d)).select("key", state.ttl_remaining(NOW).alias("ttl"))
+
+
+@query("ttl_expire", f"WITH {US}, {LATEST} SELECT 'DEL' AS op, key, {NOW} AS ts_us FROM latest WHERE op = 'PUT' AND expiry_us <= {NOW}")
+def _(spark, d):
+    return state.expire(state.latest_per_key(user_log(spark, d)), NOW).select("op", "key", "ts_us")
+
+
+_CUT = NOW - 5 * 86_400_000_000
+
+
+@query("as_of_ts", f"WITH {US}, l AS (SELECT * FROM us WHERE ts_us <= {_CUT} QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts_us DESC, version DESC) = 1) SELECT {_STATE} FROM l")
+def _(spark, d):
+    return _state(state.as_of_time(user_log(spark, d), _CUT))
+
+
+@query("as_of_version", f"WITH {US}, l AS (SELECT * FROM us WHERE version <= 500 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts_us DESC, version DESC) = 1) SELECT {_STATE} FROM l")
+def _(spark, d):
+    return _state(state.as_of_version(user_log(spark, d), 500))
+
+
+@query("validity_intervals", f"WITH {US} SELECT key, version, ts_us, lead(ts_us) OVER (PARTITION BY key ORDER BY ts_us, version) AS until_us FROM us")
+def _(spark, d):
+    return state.validity(user_log(spark, d)).select("key", "version", "ts_us", "until_us")
+
+
+@query("compact_reap", f"WITH {US}, {LATEST} SELECT {_STATE} FROM latest WHERE op <> 'DEL' OR ts_us + 86400000000 > {NOW}")
+def _(spark, d):
+    log = user_log(spark, d)
+    snapshot = state.latest_per_key(log.where("version <= 500"))
+    return _state(state.compact(snapshot, log.where("version > 500"), NOW))
+
+
+@query("drop_namespace", f"WITH {EV} SELECT ns, count(*) AS dropped FROM ev WHERE ns = 'signup' GROUP BY ns")
+def _(spark, d):
+    return scan.drop_namespace(event_log(spark, d), "signup", NOW, 1).groupBy("ns").agg(F.count(F.lit(1)).alias("dropped"))
+
+
+@query("ns_list", f"WITH {EV} SELECT ns, count(*) AS keys FROM ev GROUP BY ns")
+def _(spark, d):
+    return scan.namespaces(event_log(spark, d))
+
+
+@query("total_keys", f"WITH {US}, {LATEST}, {LIVE} SELECT count(*) AS keys FROM live")
+def _(spark, d):
+    return state.live(state.latest_per_key(user_log(spark, d)), NOW).agg(F.count(F.lit(1)).alias("keys"))
+
+
+@query("state_snapshot", f"""WITH {US}, {LATEST} SELECT count(*) FILTER (l) AS live_keys, count(*) FILTER (op = 'DEL') AS tombstones,
+    count(*) FILTER (op = 'PUT' AND NOT l) AS expired, count(*) FILTER (l AND expiry_us IS NOT NULL) AS with_ttl,
+    sum(CASE WHEN l THEN strlen(value) ELSE 0 END)::BIGINT AS live_bytes, max(version) AS max_version
+    FROM (SELECT *, op = 'PUT' AND (expiry_us IS NULL OR expiry_us > {NOW}) AS l FROM latest)""")
+def _(spark, d):
+    return stats.snapshot(state.latest_per_key(user_log(spark, d)), NOW)
+
+
+# --- atomic operations ------------------------------------------------------------------------------------
+
+def counters(spark, d):
+    c = table(spark, d, "customer")
+    return changelog(c, version=F.col("c_custkey"), ts_us=F.lit(0), ns=F.lit("c"), key=F.col("c_custkey").cast("string"), value=F.floor("c_acctbal").cast("string"))
+
+
+def deltas(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.select((F.col("l_orderkey") % 200).cast("string").alias("key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.col("l_quantity").cast("long").alias("delta"))
+
+
+@query("incr_fold", """WITH r AS (SELECT (l_orderkey % 200)::VARCHAR AS key, sum(l_quantity::BIGINT)::BIGINT AS s FROM lineitem GROUP BY 1)
+    SELECT key, s + coalesce(floor(c_acctbal)::BIGINT, 0) AS value FROM r LEFT JOIN customer ON c_custkey::VARCHAR = key""")
+def _(spark, d):
+    return atomic.increment(deltas(spark, d), counters(spark, d))
+
+
+@query("decr_fold", """WITH r AS (SELECT (l_orderkey % 200)::VARCHAR AS key, sum(l_quantity::BIGINT)::BIGINT AS s FROM lineitem GROUP BY 1)
+    SELECT key, coalesce(floor(c_acctbal)::BIGINT, 0) - s AS value FROM r LEFT JOIN customer ON c_custkey::VARCHAR = key""")
+def _(spark, d):
+    return atomic.decrement(deltas(spark, d), counters(spark, d))
+
+
+@query("incr_saturating", """SELECT l_suppkey::VARCHAR AS key, 9223372036854775807 - count(*) FILTER (l_linenumber = 7) * 5 AS value FROM lineitem GROUP BY 1""")
+def _(spark, d):
+    li = table(spark, d, "lineitem")
+    last = F.col("l_linenumber") == 7
+    up = li.select(F.col("l_suppkey").cast("string").alias("key"), F.when(last, 2_000_000_000_000 + F.col("l_orderkey")).otherwise(F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
+                   F.when(last, -5).otherwise(2**62).cast("long").alias("delta"))
+    start = spark.createDataFrame([], "key string, value string")
+    return atomic.increment(up, start)
+
+
+@query("setnx_first", """SELECT lpad(user_id::VARCHAR, 4, '0') AS key, min(event_id) AS pos, arg_min(event_type, event_id) AS value FROM events WHERE user_id % 3 > 0 GROUP BY 1""")
+def _(spark, d):
+    e = table(spark, d, "events").select(padded("user_id", 4).alias("key"), F.col("event_id").alias("pos"), F.col("event_type").alias("value"), "user_id")
+    return atomic.set_if_absent(e, e.where("user_id % 3 = 0").select("key").distinct())
+
+
+@query("cas_apply", """WITH r AS (SELECT o_orderkey AS pos, o_orderkey AS k, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'Z' END AS expected FROM orders)
+    SELECT pos, k::VARCHAR AS key, CASE WHEN o.o_orderkey IS NULL THEN 'KEY_NOT_FOUND' WHEN expected = o_orderstatus THEN 'SUCCESS' ELSE 'MISMATCH' END AS result,
+    CASE WHEN expected = o_orderstatus THEN 'N' ELSE o_orderstatus END AS value FROM r LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 5 > 0) o ON o.o_orderkey = r.k""")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    live = o.where("o_orderkey % 5 > 0").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderstatus").alias("value"))
+    asked = o.select(
+        F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("key"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).otherwise("Z").alias("expected"), F.lit("N").alias("new"),
+    )
+    return atomic.compare_and_swap(asked, live)
+
+
+@query("key_version", f"WITH {US}, {LATEST}, {LIVE}, k AS (SELECT DISTINCT lpad(user_id::VARCHAR, 10, '0') AS key FROM events) SELECT k.key, coalesce(ts_us, 0) AS version FROM k LEFT JOIN live ON live.key = k.key")
+def _(spark, d):
+    log = user_log(spark, d)
+    return atomic.key_version(state.live(state.latest_per_key(log), NOW), log.select("key").distinct())
+
+
+_TXN = """t AS (SELECT l_orderkey AS txn_id, (l_linenumber::BIGINT * 1000000 + l_partkey) * 10000 + l_suppkey AS pos, CASE WHEN l_linenumber % 3 = 0 THEN 'DEL' WHEN l_linenumber % 3 = 1 THEN 'SETIF' ELSE 'SET' END AS op,
+    (l_partkey % 500)::VARCHAR AS key, l_suppkey::VARCHAR AS value, CASE WHEN l_suppkey % 7 = 0 THEN 1 ELSE o_orderkey END AS expected, coalesce(o_orderkey, 0) AS have
+    FROM lineitem LEFT JOIN orders ON o_orderkey = l_partkey % 500),
+    c AS (SELECT txn_id, bool_or(op = 'SETIF' AND expected <> have) AS bad FROM t GROUP BY 1)"""
+
+
+def txn_ops(spark, d):
+    li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
+    k = F.col("l_partkey") % 500
+    op = F.when(F.col("l_linenumber") % 3 == 0, "DEL").when(F.col("l_linenumber") % 3 == 1, "SETIF").otherwise("SET")
+    ops = li.select(F.col("l_orderkey").alias("txn_id"), ((F.col("l_linenumber").cast("long") * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("pos"), op.alias("op"), k.cast("string").alias("key"), F.col("l_suppkey").cast("string").alias("value"),
+                    F.when(F.col("l_suppkey") % 7 == 0, 1).otherwise(k).alias("expected_version"))
+    return ops, o.select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderkey").alias("ts_us"))
+
+
+@query("txn_commit", f"""WITH {_TXN}, w AS (SELECT txn_id, key, arg_max(op, (op = 'DEL')::BIGINT * 1000000000000000000 + pos) AS op, arg_max(value, (op = 'DEL')::BIGINT * 1000000000000000000 + pos) AS value FROM t GROUP BY 1, 2)
+    SELECT w.txn_id, CASE WHEN op = 'DEL' THEN 'DEL' ELSE 'PUT' END AS op, key, CASE WHEN op <> 'DEL' THEN value END AS value FROM w JOIN c USING (txn_id) WHERE NOT bad""")
+def _(spark, d):
+    return atomic.commit(*txn_ops(spark, d)).where("status = 'COMMITTED'").drop("status")
+
+
+@query("txn_conflict", f"WITH {_TXN} SELECT txn_id, 'CONFLICT' AS status FROM c WHERE bad")
+def _(spark, d):
+    return atomic.commit(*txn_ops(spark, d)).where("status = 'CONFLICT'").select("txn_id", "status")
+
+
+# --- hashes, lists, sets --------------------------------------------------------------------------------
+
+def hashes(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.groupBy(F.col("l_orderkey").cast("string").alias("key"), F.col("l_linenumber").cast("string").alias("field")).agg(
+        F.max(F.col("l_partkey").cast("string")).alias("value"), F.lit("PUT").alias("op"),
+        F.max(F.when(F.col("l_linenumber") % 2 == 0, NOW + (F.col("l_linenumber") - 4) * 1_500_000)).alias("expiry_us"), F.lit(0).cast("long").alias("ts_us"),
+    )
+
+
+@query("hash_getall", "SELECT l_linenumber::VARCHAR AS field, max(l_partkey::VARCHAR) AS value FROM lineitem WHERE l_orderkey = 42 GROUP BY 1")
+def _(spark, d):
+    return collections.hgetall(hashes(spark, d), "42")
+
+
+@query("hash_maps", "SELECT l_orderkey::VARCHAR AS key, count(DISTINCT l_linenumber) AS n, max(l_partkey::VARCHAR) FILTER (l_linenumber = 1) AS first FROM lineitem GROUP BY 1")
+def _(spark, d):
+    m = collections.hash_maps(hashes(spark, d))
+    return m.select("key", F.size("fields").cast("long").alias("n"), F.try_element_at("fields", F.lit("1")).alias("first"))
+
+
+@query("hkeys", "SELECT DISTINCT l_linenumber::VARCHAR AS field FROM lineitem WHERE l_orderkey = 7")
+def _(spark, d):
+    return collections.hkeys(hashes(spark, d), "7")
+
+
+@query("hlen", "SELECT l_orderkey::VARCHAR AS key, count(DISTINCT l_linenumber) AS fields FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return collections.hlen(hashes(spark, d))
+
+
+@query("httl", """SELECT DISTINCT l_orderkey::VARCHAR AS key, l_linenumber::VARCHAR AS field, CASE WHEN l_linenumber % 2 = 1 THEN -1 WHEN l_linenumber <= 4 THEN -2
+    ELSE ((l_linenumber - 4) * 1500000 // 1000000)::INTEGER END AS ttl FROM lineitem""")
+def _(spark, d):
+    return collections.httl(hashes(spark, d), NOW)
+
+
+@query("hexpire", f"SELECT DISTINCT l_orderkey::VARCHAR AS key, l_linenumber::VARCHAR AS field, {NOW} + 60000000 AS expiry_us FROM lineitem WHERE l_orderkey = 42 AND l_linenumber = 1")
+def _(spark, d):
+    return collections.hexpire(hashes(spark, d), "42", "1", 60, NOW).select("key", "field", "expiry_us")
+
+
+def turns(spark, d):
+    return table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("seq"), F.md5(F.col("text").cast("binary")).alias("value"))
+
+
+_TURNS = """t AS (SELECT conv_id::VARCHAR AS key, md5(text) AS value, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
+    count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"""
+
+
+@query("list_lrange_neg", f"WITH {_TURNS} SELECT key, pos, value FROM t WHERE pos >= greatest(0, n - 2) AND pos <= n - 1")
+def _(spark, d):
+    return collections.lrange(turns(spark, d), -2, -1)
+
+
+@query("list_lrange", f"WITH {_TURNS} SELECT key, pos, value FROM t WHERE pos BETWEEN 1 AND 2")
+def _(spark, d):
+    return collections.lrange(turns(spark, d), 1, 2)
+
+
+@query("llen", "SELECT conv_id::VARCHAR AS key, count(*) AS length FROM conversations GROUP BY 1")
+def _(spark, d):
+    return collections.llen(turns(spark, d))
+
+
+@query("lpush_rpush_order", """SELECT user_id::VARCHAR AS key, CASE WHEN event_type = 'click' THEN -sum((event_type = 'click')::INT) OVER w
+    ELSE sum((event_type <> 'click')::INT) OVER w - 1 END::BIGINT AS seq, event_id::VARCHAR AS value FROM events
+    WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""")
+def _(spark, d):
+    e = table(spark, d, "events")
+    ops = e.select(F.col("event_id").alias("version"), F.col("user_id").cast("string").alias("key"), F.when(F.col("event_type") == "click", "LPUSH").otherwise("RPUSH").alias("op"), F.col("event_id").cast("string").alias("value"))
+    return collections.pushes(ops)
+
+
+@query("list_pop", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS a, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS z FROM conversations)
+    SELECT conv_id::VARCHAR AS key, turn::VARCHAR AS value FROM p WHERE a > 1 AND z > 1""")
+def _(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", F.col("conv_id").cast("string").alias("key"), "turn")
+    push = c.select((F.col("turn") + 0).alias("version"), "key", F.lit("RPUSH").alias("op"), F.col("turn").cast("string").alias("value"))
+    ends = c.select("key").distinct()
+    pops = [ends.select(F.lit(10**6 + i).cast("long").alias("version"), "key", F.lit(op).alias("op"), F.lit(None).cast("string").alias("value")) for i, op in enumerate(("LPOP", "RPOP"))]
+    return collections.lists(push.unionByName(pops[0]).unionByName(pops[1])).select("key", "value")
+
+
+def nation_sets(spark, d):
+    return table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("key"), F.col("c_mktsegment").alias("member"))
+
+
+@query("set_smembers", "SELECT DISTINCT c_mktsegment AS member FROM customer WHERE c_nationkey = 3")
+def _(spark, d):
+    return collections.smembers(nation_sets(spark, d), "3")
+
+
+@query("scard", "SELECT c_nationkey::VARCHAR AS key, count(DISTINCT c_mktsegment) AS members FROM customer GROUP BY 1")
+def _(spark, d):
+    return collections.scard(nation_sets(spark, d))
+
+
+@query("sismember", """SELECT n_nationkey::VARCHAR AS key, m AS member, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_mktsegment = m) AS is_member
+    FROM nation, (VALUES ('MACHINERY'), ('nothing')) v(m)""")
+def _(spark, d):
+    asked = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.explode(F.array(F.lit("MACHINERY"), F.lit("nothing"))).alias("member"))
+    return collections.sismember(nation_sets(spark, d), asked)
+
+
+@query("sadd_changed", """WITH a AS (SELECT c_custkey AS pos, c_nationkey::VARCHAR AS key, c_mktsegment AS member, c_custkey < 300 AS old FROM customer)
+    SELECT pos, key, member, row_number() OVER (PARTITION BY key, member ORDER BY pos) = 1 AND NOT EXISTS
+    (SELECT 1 FROM a b WHERE b.old AND b.key = a.key AND b.member = a.member) AS changed FROM a WHERE NOT old""")
+def _(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("pos"), F.col("c_nationkey").cast("string").alias("key"), F.col("c_mktsegment").alias("member"))
+    return collections.sadd(c.where("pos < 300"), c.where("pos >= 300"))
+
+
+@query("srem", "SELECT DISTINCT c_nationkey::VARCHAR AS key, c_mktsegment AS member FROM customer WHERE c_mktsegment <> 'FURNITURE'")
+def _(spark, d):
+    s = nation_sets(spark, d).distinct()
+    return collections.srem(s, s.where("member = 'FURNITURE'"))
+
+
+# --- vectors --------------------------------------------------------------------------------------------
+
+def vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("label").cast("string").alias("ns"), F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+#: A fixed query vector: (i mod 7) - 3 in every dimension i.
+_Q = [float(i % 7 - 3) for i in range(64)]
+_COS = f"list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[])"
+
+
+@query("vector_topk", f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def _(spark, d):
+    return vector.search(vectors(spark, d), _Q, 10).withColumn("score", F.round("score", 6))
+
+
+@query("vector_topk_ns", f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings WHERE label = 3 ORDER BY {_COS} DESC, vec_id LIMIT 5")
+def _(spark, d):
+    return vector.search(vectors(spark, d), _Q, 5, "3").withColumn("score", F.round("score", 6))
+
+
+@query("vector_all", f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings WHERE label = 2")
+def _(spark, d):
+    return vector.search(vectors(spark, d), _Q, 0, "2").withColumn("score", F.round("score", 6))
+
+
+@query("vector_batch_topk", """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+    s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q)
+    SELECT query_id, id, round(score, 5) AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5""")
+def _(spark, d):
+    v = vectors(spark, d)
+    found = vector.batch_search(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vec"), 5)
+    return found.select("query_id", "id", F.round("score", 5).alias("score"))
+
+
+@query("vector_rag_join", f"""SELECT id, round(score, 6) AS score, lang FROM (SELECT vec_id AS id, {_COS} AS score FROM embeddings ORDER BY 2 DESC, 1 LIMIT 8)
+    LEFT JOIN documents ON doc_id = id""")
+def _(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return vector.rag_join(vector.search(vectors(spark, d), _Q, 8).withColumn("score", F.round("score", 6)), docs)
+
+
+@query("vector_normalise", "SELECT vec_id AS id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS length, 1.0::DOUBLE AS unit FROM embeddings")
+def _(spark, d):
+    v = vectors(spark, d)
+    return v.select("id", F.round(vector.norm(F.col("vec")), 4).alias("length"), F.round(vector.norm(vector.normalise(F.col("vec"))), 4).alias("unit"))
+
+
+@query("vector_stats", "SELECT label::VARCHAR AS ns, count(*) AS vectors, max(len(embedding))::INTEGER AS dimension FROM embeddings GROUP BY 1")
+def _(spark, d):
+    return vector.stats(vectors(spark, d))
+
+
+@query("vector_delete_update", f"""SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings WHERE vec_id % 4 > 0 ORDER BY {_COS} DESC, vec_id LIMIT 10""")
+def _(spark, d):
+    v = vectors(spark, d)
+    writes = v.select("ns", "id", "vec", F.lit("PUT").alias("op"), F.lit(1).alias("ts_us"), F.lit(1).alias("version"))
+    gone = v.where("id % 4 = 0").select("ns", "id", F.lit(None).cast("array<float>").alias("vec"), F.lit("DEL").alias("op"), F.lit(2).alias("ts_us"), F.lit(2).alias("version"))
+    now = state.latest_per_key(writes.unionByName(gone), ["ns", "id"]).where("op = 'PUT'")
+    return vector.search(now, _Q, 10).withColumn("score", F.round("score", 6))
+
+
+@query("vector_blobs", "SELECT vec_id AS id, len(embedding) * 4 AS bytes, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+def _(spark, d):
+    blob = vectors(spark, d).select("id", vector.encode("vec").alias("b"))
+    return blob.select("id", F.octet_length("b").cast("long").alias("bytes"), F.round(F.get(vector.decode("b"), F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query("vector_ann")
+def _(spark, d):
+    return vector.InvertedFile(vectors(spark, d)).search(_Q, 10, probes=16)
+
+
+# --- backups, exports, schema -----------------------------------------------------------------------------
+
+@query("backup_incremental", f"WITH {US} SELECT version, op, key FROM us WHERE version > 700")
+def _(spark, d):
+    return backup.changes_after(user_log(spark, d), 700).select("version", "op", "key")
+
+
+@query("restore_chain", f"WITH {US}, {LATEST} SELECT {_STATE} FROM latest")
+def _(spark, d):
+    log = user_log(spark, d)
+    return _state(backup.restore([state.latest_per_key(log.where("version <= 300")), log.where("version > 300 and version <= 700"), log.where("version > 700")]))
+
+
+@query("restore_pitr", f"WITH {US}, l AS (SELECT * FROM us WHERE version <= 800 QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts_us DESC, version DESC) = 1) SELECT {_STATE} FROM l")
+def _(spark, d):
+    log = user_log(spark, d)
+    return _state(backup.restore_to(state.latest_per_key(log.where("version <= 300")), 300, log, "version:800"))
+
+
+@query("restore_pitr_time", f"WITH {US}, l AS (SELECT * FROM us WHERE ts_us <= {_CUT} QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts_us DESC, version DESC) = 1) SELECT key, value, NULL::BIGINT AS expiry_us FROM l")
+def _(spark, d):
+    log = user_log(spark, d)
+    return backup.restore_to(state.latest_per_key(log.where("version <= 0")), 0, log, "2024-01-15T00:00:00Z", preserve_ttl=False).select("key", "value", "expiry_us")
+
+
+@query("jsonl_export", f"WITH {ORD} SELECT key AS k, base64(encode(value)) AS v FROM od WHERE starts_with(key, '00000000')")
+def _(spark, d):
+    return backup.export_rows(order_rows(spark, d), "00000000")
+
+
+@query("cold_tier", f"WITH {US}, {LATEST} SELECT key, ts_us < {NOW} AS cold FROM latest")
+def _(spark, d):
+    hot, cold = backup.split_tiers(state.latest_per_key(user_log(spark, d)), NOW, 0)
+    return hot.select("key", F.lit(False).alias("cold")).unionByName(cold.select("key", F.lit(True).alias("cold")))
+
+
+@query("schema_migrate", "SELECT lpad(event_id::VARCHAR, 10, '0') AS key, upper(event_type) || '!' AS value, 3::SMALLINT AS schema_version FROM events")
+def _(spark, d):
+    rows = event_log(spark, d).withColumn("value", F.col("ns"))
+    return backup.migrate_schema(rows, {1: F.upper, 2: lambda v: F.concat(v, F.lit("!"))}, 3).select("key", "value", "schema_version")
+
+
+@query("archive_stats", """SELECT 30::BIGINT AS segments, max(event_id) AS max_version, min(epoch_us(ts)) AS first_unix_ns, max(epoch_us(ts)) AS last_unix_ns, count(*) AS entries,
+    sum(strlen(props))::BIGINT AS size_bytes FROM events HAVING count(*) > 0""".replace("30::BIGINT", "count(DISTINCT epoch_us(ts) // 86400000000)"))
+def _(spark, d):
+    e = event_log(spark, d).groupBy(F.expr("ts_us div 86400000000").alias("seq")).agg(
+        F.max("version").alias("last_version"), F.min("ts_us").alias("first_unix_ns"), F.max("ts_us").alias("last_unix_ns"),
+        F.count(F.lit(1)).alias("entries"), F.sum(F.octet_length("value")).alias("size_bytes"),
+    )
+    return stats.archive_stats(e)
+
+
+# --- statistics -------------------------------------------------------------------------------------------
+
+_RANK = "list_sort(list(value))[floor((count(*) - 1) * {p})::BIGINT + 1] AS {n}"
+
+
+@query("latency_percentiles", f"SELECT event_type AS op, count(*) AS n, {', '.join(_RANK.format(p=p, n=n) for n, p in stats.PERCENTILES)}, max(value) AS max FROM events GROUP BY 1")
+def _(spark, d):
+    return stats.percentiles(table(spark, d, "events").withColumnRenamed("event_type", "op"), "op", "value")
+
+
+@query("throughput", "SELECT user_id, count(*) FILTER (event_type <> 'error') / 60.0::DOUBLE AS ops_per_s, count(*) FILTER (event_type = 'error') * 100.0::DOUBLE / count(*) AS error_pct FROM events GROUP BY 1")
+def _(spark, d):
+    return stats.throughput(table(spark, d, "events"), "user_id", F.col("event_type") == "error", 60.0)
+
+
+@query("rates_lag", """SELECT user_id, ts_us, round((event_id - p) / ((ts_us - t) / 1000000.0::DOUBLE), 6) AS rate FROM (SELECT user_id, epoch_us(ts) AS ts_us, event_id,
+    lag(event_id) OVER w AS p, lag(epoch_us(ts)) OVER w AS t FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE ts_us > t""")
+def _(spark, d):
+    e = table(spark, d, "events").select("user_id", micros(F.col("ts")).alias("ts_us"), "event_id")
+    return stats.rates(e, "user_id", "ts_us", "event_id").withColumn("rate", F.round("rate", 6))
+
+
+@query("ewma", """WITH o AS (SELECT user_id, list(floor(value * 1000)::BIGINT ORDER BY event_id) AS xs FROM events GROUP BY 1)
+    SELECT user_id, list_reduce(list_prepend(0::BIGINT, xs), lambda s, x: s - (s >> 3) + (x >> 3)) AS ewma FROM o""")
+def _(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", F.floor(F.col("value") * 1000).alias("x"))
+    return stats.ewma(e, "user_id", "event_id", "x")
+
+
+@query("slow_disk", """WITH d AS (SELECT s_suppkey AS disk_idx, s_acctbal / 1000 + CASE WHEN s_suppkey % 20 = 0 THEN 100 ELSE 0 END AS latency FROM supplier),
+    m AS (SELECT list_sort(list(latency))[count(*) // 2 + 1] AS median, count(*) AS n FROM d)
+    SELECT disk_idx, latency, n >= 2 AND median > 0 AND latency >= 5 * median AS slow FROM d, m""")
+def _(spark, d):
+    s = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("disk_idx"), (F.col("s_acctbal") / 1000).alias("write_ewma_s"), F.when(F.col("s_suppkey") % 20 == 0, 100).otherwise(0).alias("read_ewma_s")
+    )
+    return stats.slow_disks(s)
+
+
+@query("hit_rate", "SELECT user_id, count(*) FILTER (event_type = 'view')::DOUBLE / count(*) AS rate FROM events GROUP BY 1")
+def _(spark, d):
+    hits = F.count_if(F.col("event_type") == "view")
+    return table(spark, d, "events").groupBy("user_id").agg(hits.alias("h"), F.count(F.lit(1)).alias("n")).select("user_id", stats.hit_rate(F.col("h"), F.col("n") - F.col("h")).alias("rate"))
+
+
+def replica_rows(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("replica"), (F.col("s_suppkey") * 97).alias("last_ack")).where("replica < 10")
+
+
+def op_rows(spark, d):
+    return table(spark, d, "orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("seq"), F.lit(100).cast("long").alias("size"))
+
+
+_REP = "r AS (SELECT s_suppkey AS replica, s_suppkey * 97 AS last_ack FROM supplier WHERE s_suppkey < 10), o AS (SELECT o_orderkey AS seq FROM orders WHERE o_orderkey < 1000)"
+
+
+@query("quorum_acks", f"WITH {_REP} SELECT seq, (SELECT count(*) FROM r WHERE last_ack >= seq) + 1 AS acked, (SELECT count(*) FROM r WHERE last_ack >= seq) + 1 >= 6 AS committed FROM o")
+def _(spark, d):
+    return stats.quorum(op_rows(spark, d), replica_rows(spark, d), 10)
+
+
+@query("anti_entropy", f"WITH {_REP} SELECT replica, seq FROM o JOIN r ON seq > last_ack")
+def _(spark, d):
+    return stats.anti_entropy(op_rows(spark, d), replica_rows(spark, d))
+
+
+@query("replica_lag", f"WITH {_REP} SELECT replica, count(*) AS ops_behind, (count(*) * 100)::BIGINT AS bytes_behind FROM o JOIN r ON seq > last_ack GROUP BY 1")
+def _(spark, d):
+    return stats.replica_lag(op_rows(spark, d), replica_rows(spark, d))
+
+
+@query("replica_watermark", "SELECT min(w) AS watermark_us FROM (SELECT l_suppkey, max(epoch_us(l_shipdate)) AS w FROM lineitem GROUP BY 1)")
+def _(spark, d):
+    return stats.watermark(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("replica"), micros(F.col("l_shipdate")).alias("watermark_us")))
+
+
+@query("quota_snapshot", f"WITH {EV}, q(ns, max_keys) AS (VALUES ('click', 100::BIGINT), ('view', 1000000), ('none', 5)) SELECT q.ns, max_keys, count(ev.key) AS keys, count(ev.key) >= max_keys AS full FROM q LEFT JOIN ev ON ev.ns = q.ns GROUP BY 1, 2".replace("AS full", 'AS "full"'))
+def _(spark, d):
+    limits = spark.createDataFrame([("click", 100), ("view", 1_000_000), ("none", 5)], "ns string, max_keys long")
+    return stats.quota_snapshot(event_log(spark, d), limits)
+
+
+@query("quota_maxkeys", """WITH f AS (SELECT event_type AS ns, user_id::VARCHAR AS key, min(event_id) AS v FROM events GROUP BY 1, 2)
+    SELECT ns, key, row_number() OVER (PARTITION BY ns ORDER BY v) <= 50 AS admitted FROM f""")
+def _(spark, d):
+    e = table(spark, d, "events")
+    return stats.admit_new_keys(e.select(F.col("event_type").alias("ns"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("version")), 50)
+
+
+@query("quota_tokens")
+def _(spark, d):
+    return feed.token_bucket(user_log(spark, d).select(F.col("key").alias("ns"), "version", "ts_us"), rate=0.0001, burst=2)
+
+
+@query("histogram_quantile", """WITH b AS (SELECT event_type AS op, le, count(*) FILTER (value <= le) AS c FROM events, (VALUES (10.0::DOUBLE), (50.0), (100.0), (500.0)) t(le) GROUP BY 1, 2),
+    x AS (SELECT *, coalesce(lag(le) OVER w, 0) AS low, coalesce(lag(c) OVER w, 0) AS below, max(c) OVER (PARTITION BY op) AS total FROM b WINDOW w AS (PARTITION BY op ORDER BY le))
+    SELECT op, round(low + (le - low) * (0.99::DOUBLE * total - below) / (c - below), 6) AS value FROM x WHERE c >= 0.99::DOUBLE * total AND below < 0.99::DOUBLE * total""")
+def _(spark, d):
+    e = table(spark, d, "events").groupBy(F.col("event_type").alias("op")).agg(*(F.count_if(F.col("value") <= le).alias(f"b{i}") for i, le in enumerate((10.0, 50.0, 100.0, 500.0))))
+    b = e.select("op", F.explode(F.array(*(F.struct(F.lit(le).alias("le"), F.col(f"b{i}").alias("count")) for i, le in enumerate((10.0, 50.0, 100.0, 500.0))))).alias("b")).select("op", "b.*")
+    return stats.histogram_quantile(b, "op", 0.99).withColumn("value", F.round("value", 6))
+
+
+@query("gc_ratio", """SELECT l_suppkey AS segment, round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / sum(l_quantity), 6) AS ratio,
+    sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / sum(l_quantity) >= 0.5 AS collect FROM lineitem GROUP BY 1""")
+def _(spark, d):
+    s = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("segment")).agg(
+        F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(0)).alias("dead_bytes"), F.sum("l_quantity").alias("total_bytes")
+    )
+    return stats.segment_garbage(s).withColumn("ratio", F.round("ratio", 6))
+
+
+# --- placement, functions, streams ------------------------------------------------------------------------
+
+@query("shard_distribution", """SELECT h AS shard, count(*) AS keys FROM (SELECT list_reduce(list_prepend(8997::INTEGER, list_transform(string_split(c_name, ''), lambda c: ascii(c)::INTEGER)),
+    lambda h, b: (xor(h, b) * 435) & 8191) AS h FROM customer) GROUP BY 1""".replace("8997", str(0x2325 & 8191)))
+def _(spark, d):
+    return table(spark, d, "customer").groupBy(placement.shard_id(F.col("c_name")).alias("shard")).agg(F.count(F.lit(1)).alias("keys"))
+
+
+_RING = [(i * 2654435761 % 2**32, f"node{i % 5}") for i in range(40)]
+
+
+@query("ring_owner", f"""WITH ring(h, node) AS (VALUES {', '.join(f"({h}::BIGINT, '{n}')" for h, n in _RING)}),
+    k AS (SELECT o_orderkey::VARCHAR AS key, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT AS h FROM orders)
+    SELECT key, coalesce((SELECT arg_min(node, ring.h) FROM ring WHERE ring.h >= k.h), (SELECT arg_min(node, h) FROM ring)) AS node FROM k""")
+def _(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"))
+    keys = o.withColumn("h", F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 8), 16, 10).cast("long"))
+    return placement.owner(keys, spark.createDataFrame(_RING, "h long, node string"))
+
+
+@query("ring_hash_owner")
+def _(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"))
+    points = spark.range(5).select(F.concat(F.lit("node"), F.col("id").cast("string")).alias("node"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
+    ring = points.select(placement.ring_hash(F.concat_ws("#", "node", F.col("v").cast("string"))).alias("h"), "node")
+    return placement.owner(o.withColumn("h", placement.ring_hash("key")), ring)
+
+
+@query("integrity_crc32c")
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", placement.crc32c(F.col("o_orderkey").cast("string").cast("binary")).alias("crc"))
+
+
+@query("encrypt_roundtrip", "SELECT o_orderkey, o_orderstatus AS clear, 29 AS bytes FROM orders")
+def _(spark, d):
+    key = F.lit(b"0123456789abcdef0123456789abcdef")
+    o = table(spark, d, "orders").select("o_orderkey", F.aes_encrypt(F.col("o_orderstatus").cast("binary"), key, F.lit("GCM")).alias("b"))
+    return o.select("o_orderkey", F.aes_decrypt("b", key, F.lit("GCM")).cast("string").alias("clear"), F.octet_length("b").alias("bytes"))
+
+
+@query("vector_clock", """SELECT l_orderkey, l_linenumber, a < b AS before FROM (SELECT l_orderkey, l_linenumber, l_suppkey AS a, l_partkey AS b FROM lineitem)""")
+def _(spark, d):
+    li = table(spark, d, "lineitem")
+    left, right = F.create_map(F.lit("n"), "l_suppkey"), F.create_map(F.lit("n"), "l_partkey")
+    return li.select("l_orderkey", "l_linenumber", happened_before(left, right).alias("before"))
+
+
+def happened_before(left: Column, right: Column) -> Column:
+    """Of the left clock's nodes none is ahead of the right clock, and one is behind; nodes that the right
+    clock lacks count as 0 there."""
+    other = lambda e: F.coalesce(F.try_element_at(right, e["key"]), F.lit(0))
+    entries = F.map_entries(left)
+    return F.forall(entries, lambda e: e["value"] <= other(e)) & F.exists(entries, lambda e: e["value"] < other(e))
+
+
+@query("cdc_stream_state", f"WITH {US}, {LATEST} SELECT {_STATE} FROM latest")
+def _(spark, d):
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
+    root = f"{named.rstrip('/')}/cdc-{uuid.uuid4().hex}"
+    user_log(spark, d).repartition(4, "key").write.parquet(f"{root}/in")
+    replica = feed.Replica(spark, f"{root}/state")
+    replica.run(feed.subscribe(spark, f"{root}/in", files_per_trigger=2), f"{root}/checkpoint")
+    return _state(replica.state())
+
+
+@query("running_order", "SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY event_id) AS nth FROM events")
+def _(spark, d):
+    e = table(spark, d, "events")
+    return e.select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("nth"))
