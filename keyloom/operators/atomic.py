@@ -40,7 +40,7 @@ def increment(requests: DataFrame, live: DataFrame) -> DataFrame:
     joined = folded.join(start, "key", "left")
     old = F.when(F.col("old").isNull(), F.lit(0).cast("long")).otherwise(F.col("old.v"))
     value = F.least(F.greatest((old.cast(_D) + F.col("f.s")).cast(_D), F.col("f.lo")), F.col("f.hi")).cast("long")
-    return joined.select("key", value.alias("value"))
+    return joined.select("key", F.when(old.isNotNull(), value).alias("value"))
 
 
 def decrement(requests: DataFrame, live: DataFrame) -> DataFrame:
