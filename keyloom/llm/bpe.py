@@ -8,9 +8,12 @@ and keeps the result in a memo of bounded size; decoding concatenates the ids' b
 from __future__ import annotations
 
 import base64
+import json
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from keyloom.llm.text import slices
 
@@ -94,3 +97,45 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+
+
+#: Buckets of the literal rank map; a lookup hashes to one and searches its few entries.
+BUCKETS = 1 << 16
+
+
+def rank_literal(ranks: dict[bytes, int]):
+    """The rank map as one literal: an array of small maps from a piece's hex digits to its rank."""
+    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    for piece, rank in ranks.items():
+        key = piece.hex().upper()
+        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+
+
+def fold_word(word, literal):
+    """array<int> of a word by higher-order functions alone: pieces are strings of hex digits, and each
+    step of the fold merges the leftmost adjacent pair of the lowest rank."""
+    digits = F.hex(word.cast("binary"))
+    rank = lambda key: F.try_element_at(F.get(literal, F.crc32(key.cast("binary")) % BUCKETS), key)
+
+    def step(pieces, _):
+        pairs = F.transform(F.sequence(F.lit(0), F.size(pieces) - 2), lambda i: rank(F.concat(F.get(pieces, i), F.get(pieces, i + 1))))
+
+        def merged(r):
+            at = F.array_position(r, F.array_min(r)).cast("int")
+            pair = F.concat(F.get(pieces, at - 1), F.get(pieces, at))
+            joined = F.concat(F.slice(pieces, F.lit(1), at - 1), F.array(pair), F.slice(pieces, at + 2, F.size(pieces)))
+            return F.when(F.array_min(r).isNull(), pieces).otherwise(joined)
+
+        return F.when(F.size(pieces) > 1, F.get(F.transform(F.array(pairs), merged), F.lit(0))).otherwise(pieces)
+
+    length = F.octet_length(word)
+    single = F.transform(F.sequence(F.lit(1), length), lambda i: F.substring(digits, 2 * i - 1, F.lit(2)))
+    pieces = F.when(rank(digits).isNotNull(), F.array(digits)).otherwise(F.aggregate(F.sequence(F.lit(1), length), single, step))
+    return F.when(length > 0, F.transform(pieces, rank))
+
+
+def encode_words(words: DataFrame, rank_path: str) -> DataFrame:
+    """(word, ids) of distinct words by higher-order functions over a literal rank map, without Python."""
+    literal = rank_literal(load_ranks(rank_path))
+    return words.select("word").distinct().select("word", fold_word(F.col("word"), literal).alias("ids"))
