@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm import bpe, chat, extract, leaks, near, quality, sharding, substring, toxicity, warc
+from keyloom.llm import bpe, chat, extract, leaks, near, oracles, quality, sharding, substring, toxicity, warc
 from keyloom.llm.common import in_fold, scratch, table
 
 
@@ -19,7 +19,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 #: The conversation that op3 adds, in the form of rows.
@@ -105,4 +106,9 @@ QUERIES = {
     "op10_substring": op10_substring,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_quality": oracles.quality_sql(),
+    "op5_sharding": oracles.sharding_sql(),
+    "op7_warc": oracles.warc_sql(),
+    "op10_substring": oracles.substring_sql(),
+}
