@@ -5,7 +5,7 @@ text hold one of its blocks whole, so a window that occurs elsewhere is found th
 index with every rolling window of BLOCK words. Index and probes meet as fingerprints: each chunk of
 documents sends its sorted distinct fingerprints once, delta-coded, and is told which of its own are
 blocks that occur twice. Around these anchors the chunk extends: each window of WINDOW words that holds an
-anchor is keyed by 128 bits, the first occurrence of each key within the chunk is sent on, and where a key
+anchor is keyed by 112 bits, the first occurrence of each key within the chunk is sent on, and where a key
 has an earlier one in another chunk the window is repeated. Overlapping repeated windows merge into the
 maximal repeats that are removed.
 
@@ -62,12 +62,18 @@ def _hashed(docs: pa.Table):
         yield batch, hashes, first
 
 
-def _tags(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A hash of each text's words, which tells rows of one id apart."""
+def _shared_ids(docs: pa.Table) -> np.ndarray:
+    """The ids that several rows of a chunk have; all rows of an id are in one chunk."""
+    ids, count = np.unique(docs.column("doc_id").fill_null(NULL_ID).to_numpy(), return_counts=True)
+    return ids[count > 1]
+
+
+def _tags(hashes: np.ndarray, first: np.ndarray, ids: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """A hash of each text's words where rows share an id, which tells them apart; else 0."""
     place = np.arange(len(hashes)) - np.repeat(first[:-1], np.diff(first))
     total = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(mix(hashes + mix(place.astype(np.uint64))), out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
+    return np.where(np.isin(ids, shared), total[first[1:]] - total[first[:-1]], np.uint64(0))
 
 
 def _ids(batch) -> np.ndarray:
@@ -123,6 +129,7 @@ class _Steps:
         known = np.unique(np.concatenate([np.cumsum(_unpack(d, 1)[0], dtype=np.uint64) for d in anchors.column("data").to_pylist()]))
         shift = np.uint64(64 - self.bits)
         keys, more, ids, places, tags = [], [], [], [], []
+        shared = _shared_ids(docs)
         for batch, hashes, first in _hashed(docs):
             h, start = windows(hashes, first, BLOCK)
             h >>= shift
@@ -138,10 +145,11 @@ class _Steps:
             at = at[some]
             doc = np.searchsorted(first, at, "right") - 1
             keys.append(k1[some])
-            more.append(k2[some])
-            ids.append(_ids(batch)[doc])
+            more.append(k2[some] >> np.uint64(16))  # with k1 112 bits
+            own = _ids(batch)
+            ids.append(own[doc])
             places.append(at - first[doc])
-            tags.append(_tags(hashes, first)[doc])
+            tags.append(_tags(hashes, first, own, shared)[doc])
         if not keys:
             return _blobs([])
         k1, k2, doc, at, tag = map(np.concatenate, (keys, more, ids, places, tags))
@@ -150,9 +158,13 @@ class _Steps:
         later = _later(k1, k2, doc, at)
         chunk = docs.column("chunk")[0].as_py()
         send = [x[~later] for x in (k1, k2, doc.view(np.uint64), at, tag)]
-        out = [(p, chunk, 0, _pack(*(x[s] for x in send))) for p, s in _parts(send[0], 64, self.part_bits)]
+        out = []
+        for p, s in _parts(send[0], 64, self.part_bits):
+            mine = [x[s] for x in send]
+            mine[0] = np.diff(mine[0], prepend=np.uint64(0))
+            out.append((p, chunk, 0, _pack(*mine)))
         if later.any():
-            out.append((chunk % (1 << self.part_bits), chunk, 1, _pack(doc[later].view(np.uint64), at[later], tag[later])))
+            out.append((chunk % (1 << self.part_bits), chunk, 1, _places(doc[later], at[later], tag[later])))
         return _blobs(out)
 
     def repeated(self, blobs: pa.Table) -> pa.Table:
@@ -163,13 +175,14 @@ class _Steps:
         own = [(c, _unpack(d, 5)) for c, k, d in zip(chunks, kinds, data) if k == 0]
         if own:
             chunk = np.concatenate([np.full(len(v[0]), c) for c, v in own])
-            k1, k2, doc, at, tag = (np.concatenate([v[i] for _, v in own]) for i in range(5))
+            k1 = np.concatenate([np.cumsum(v[0], dtype=np.uint64) for _, v in own])
+            k2, doc, at, tag = (np.concatenate([v[i] for _, v in own]) for i in range(1, 5))
             order = np.lexsort((at, doc.view(np.int64), k2, k1))
             later = order[_later(k1[order], k2[order], doc[order], at[order])]
             later = later[np.argsort(chunk[later], kind="stable")]
             cuts = np.searchsorted(chunk[later], np.unique(chunk[later]))
             for mine in np.split(later, cuts[1:]) if len(later) else []:
-                out.append((0, int(chunk[mine[0]]), 0, _pack(doc[mine], at[mine], tag[mine])))
+                out.append((0, int(chunk[mine[0]]), 0, _places(doc[mine], at[mine], tag[mine])))
         return _blobs(out)
 
     def remove(self, docs: pa.Table, found: pa.Table) -> pa.Table:
@@ -177,16 +190,17 @@ class _Steps:
         doc = at = np.empty(0, np.int64)
         tag = np.empty(0, np.uint64)
         if found.num_rows:
-            doc, at, tag = map(np.concatenate, zip(*(_unpack(d, 3) for d in found.column("data").to_pylist())))
-            doc, at = doc.view(np.int64), at.view(np.int64)
+            doc, at, tag = map(np.concatenate, zip(*(_from_places(d) for d in found.column("data").to_pylist())))
             order = np.lexsort((at, doc))
             doc, at, tag = doc[order], at[order], tag[order]
         out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "spans": [], "text": [], "kept": []}
         carried: list[list] = [[] for _ in self.carry]
+        shared = _shared_ids(docs)
         for batch, hashes, first in _hashed(docs):
             for values, name in zip(carried, self.carry):
                 values.append(batch.column(f"carry_{name}"))
-            ids, own = _ids(batch), _tags(hashes, first)
+            ids = _ids(batch)
+            own = _tags(hashes, first, ids, shared)
             low, high = np.searchsorted(doc, ids), np.searchsorted(doc, ids, "right")
             for i, text in enumerate(as_binary(batch.column("text")).to_pylist()):
                 words = (text or b"").split()
@@ -211,6 +225,17 @@ class _Steps:
         return pa.table(done_columns)
 
 
+def _places(doc: np.ndarray, at: np.ndarray, tag: np.ndarray) -> bytes:
+    """Windows in order of document and place, which makes their differences small."""
+    order = np.lexsort((at, doc.view(np.int64)))
+    return _pack(*(np.diff(x[order].view(np.uint64), prepend=np.uint64(0)) for x in (doc, at.astype(np.int64), tag)))
+
+
+def _from_places(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    doc, at, tag = (np.cumsum(x, dtype=np.uint64) for x in _unpack(data, 3))
+    return doc.view(np.int64), at.view(np.int64), tag
+
+
 def _later(k1, k2, doc, at) -> np.ndarray:
     """Of occurrences sorted by key and place: which are at a later place than their key's first."""
     new = np.ones(len(k1), bool)
@@ -239,9 +264,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     was. Null and empty texts have no words; texts under WINDOW words stay whole. Equal rows get equal
     results: neither starts earlier. Other columns are not read.
     """
-    spark = docs.sparkSession
     n_docs = docs.count()
-    chunks = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_docs // CHUNK_DOCS))
+    chunks = max(8, -(-n_docs // CHUNK_DOCS))
     part_bits = max(1, (chunks - 1).bit_length())
     steps = _Steps(min(60, max(32, (400 * max(n_docs, 1)).bit_length() + 9, part_bits)), part_bits, tuple(carry))
     ids = F.col(id_col).cast("long")
@@ -252,7 +276,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         *(F.col(c).alias(f"carry_{c}") for c in carry),
     )
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name.startswith("carry_"))
-    dealt = dealt.repartition(max(1, chunks // 2), "chunk")
+    dealt = dealt.repartition(chunks, "chunk")
 
     probes = dealt.groupBy("chunk").applyInArrow(lambda t: steps.probes(t), _BLOBS)
     anchors = probes.groupBy("part").applyInArrow(lambda t: steps.anchors(t), _BLOBS)
