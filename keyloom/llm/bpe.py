@@ -9,16 +9,22 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.text import slices
 
-#: Words whose ids a task remembers at most; then it starts anew, which costs time but changes nothing.
-MEMO = 1_000_000
+#: Words whose ids a task remembers at most, the first that it meets, among them the frequent ones; the
+#: others are merged again each time, which costs time but changes nothing.
+MEMO = 400_000
+#: A blank next to white space. Without one, a blank and the words up to the next blank split alike in any
+#: text: no match of the pattern reaches over a blank that follows other characters.
+_BLANKS = re.compile(r" \s|\s ")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,44 +63,62 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     def run(batches):
         import regex
 
-        ranks, find, memo = shared.value, regex.compile(pattern).findall, {}
-        for batch in slices(batches):
+        ranks, find = shared.value, regex.compile(pattern).findall
+        merged: dict[str, bytes] = {}
+        spaced: dict[str, bytes] = {}  # word after a blank -> its ids
+
+        def slow(text: str) -> bytes:
             out = []
-            for text in batch.column("text").to_pylist():
-                ids: list[int] = []
-                for word in find(text or ""):
-                    got = memo.get(word)
+            for word in find(text):
+                got = merged.get(word)
+                if got is None:
+                    got = np.array(merge(word.encode(), ranks), np.int32).tobytes()
+                    if len(merged) < MEMO:
+                        merged[word] = got
+                out.append(got)
+            return b"".join(out)
+
+        def encoded(text: str) -> bytes:
+            if _BLANKS.search(text):
+                return slow(text)
+            first, *rest = text.split(" ")
+            found = list(map(spaced.get, rest))
+            if None in found:
+                for i, got in enumerate(found):
                     if got is None:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        got = memo[word] = merge(word.encode(), ranks)
-                    ids += got
-                out.append(pa.array(ids, pa.int32()))
-            lists = pa.ListArray.from_arrays(_offsets(out), pa.concat_arrays(out) if out else pa.array([], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "ids"])
+                        found[i] = slow(f" {rest[i]}")
+                        if len(spaced) < MEMO and "\n" not in rest[i]:
+                            spaced[rest[i]] = found[i]
+            return slow(first) + b"".join(found)
+
+        for batch in slices(batches):
+            parts = [encoded(text) if text else b"" for text in batch.column("text").to_pylist()]
+            offsets = np.zeros(len(parts) + 1, np.int32)
+            np.cumsum([len(x) // 4 for x in parts], out=offsets[1:])
+            ids = pa.array(np.frombuffer(b"".join(parts), np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), ids)], ["doc_id", "ids"])
 
     rows = docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text")
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def _offsets(arrays) -> pa.Array:
-    total, out = 0, [0]
-    for a in arrays:
-        total += len(a)
-        out.append(total)
-    return pa.array(out, pa.int32())
-
-
 def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     """(doc_id, ids, decoded binary) per row of (doc_id, ids); null ids decode to nothing."""
-    shared = encoded.sparkSession.sparkContext.broadcast({r: p for p, r in load_ranks(rank_path).items()})
+    by_id = {r: p for p, r in load_ranks(rank_path).items()}
+    shared = encoded.sparkSession.sparkContext.broadcast([by_id.get(i) for i in range(max(by_id) + 1)])
 
     def run(batches):
-        pieces = shared.value
+        pieces = pa.array(shared.value, pa.large_binary())
         for batch in batches:
             ids = batch.column("ids")
-            decoded = [b"".join(map(pieces.__getitem__, row or ())) for row in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+            lists = ids.fill_null([]) if ids.null_count else ids
+            at = lists.offsets.to_numpy()
+            # The taken pieces lie end to end; a row's text is the stretch of its ids.
+            taken = pieces.take(lists.values[at[0] : at[-1]])
+            ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+            rows = ends[at - at[0]]
+            decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(rows.tobytes()), taken.buffers()[2] or pa.py_buffer(b"")])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded.cast(pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
