@@ -2,13 +2,15 @@
 
 A capture is three records: a request and a metadata record that name their response through
 WARC-Concurrent-To, and a response with the payload or a revisit that refers to an earlier response with
-an equal payload. Archives are written by Spark's text sink (a record ends with CR LF CR LF, its line
-separator), so any store that Spark can write will do, and are read back from whole files of bounded size
-by the records' own lengths; blocks may hold anything, separators and headers included.
+an equal payload. Archives are written by Spark's text sink with gzip (a record ends with CR LF CR LF, its
+line separator), so any store that Spark can write will do, and are read back from whole files of bounded
+size by the records' own lengths; blocks may hold anything, separators and headers included.
 """
 
 from __future__ import annotations
 
+import gzip
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,23 +42,23 @@ def captures(pages: DataFrame) -> DataFrame:
 
     Of rows with equal payloads of REVISIT_BYTES or more, that of the largest page_id is the response.
     key tells repeated rows apart: it numbers equal (page_id, payload)."""
+    known = F.coalesce(F.col("page_id").cast("long").cast("string"), F.lit("null"))
     base = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload")
+        known.alias("pid"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("payload")
     )
     small = base.select(
-        "page_id", "url", F.sha1(F.col("payload").cast("binary")).alias("digest"), F.octet_length("payload").alias("size")
+        "pid", "page_id", F.sha1(F.col("payload").cast("binary")).alias("digest"), F.octet_length("payload").alias("size")
     )
-    numbered = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy(F.col("url").asc_nulls_first()))
-    key = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "digest", F.col("copy").cast("string"))
+    # Numbering and the join below deal pages by the same key, so payloads are shuffled once.
+    numbered = F.row_number().over(Window.partitionBy("pid", "digest").orderBy(F.col("url").asc_nulls_first()))
+    key = F.concat_ws("|", "pid", "digest", F.col("copy").cast("string"))
     first = small.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size").agg(F.max("page_id").alias("response_page"))
-    marked = small.select("page_id", "digest", "size").distinct().join(first, ["digest", "size"], "left")
+    marked = small.select("pid", "digest", "size").distinct().join(first, ["digest", "size"], "left")
     keyed = base.withColumn("digest", F.sha1(F.col("payload").cast("binary"))).withColumn("copy", numbered).withColumn("key", key)
-    out = keyed.alias("k").join(
-        marked.alias("m"), F.col("k.page_id").eqNullSafe(F.col("m.page_id")) & (F.col("k.digest") == F.col("m.digest")), "left"
-    )
-    own = (F.col("m.response_page").isNull()) | (F.col("m.response_page").eqNullSafe(F.col("k.page_id")) & (F.col("k.copy") == 1))
-    refers = F.concat_ws("|", F.col("m.response_page").cast("string"), F.col("k.digest"), F.lit("1"))
-    return out.select("k.key", "k.page_id", "k.url", "k.payload", "k.digest", F.when(~own, refers).alias("refers_key"))
+    out = keyed.join(marked.select("pid", "digest", "response_page"), ["pid", "digest"], "left")
+    own = F.col("response_page").isNull() | (F.col("response_page").eqNullSafe(F.col("page_id")) & (F.col("copy") == 1))
+    refers = F.concat_ws("|", F.col("response_page").cast("string"), "digest", F.lit("1"))
+    return out.select("key", "page_id", "url", "payload", "digest", F.when(~own, refers).alias("refers_key"))
 
 
 def write(rows: DataFrame, path: str) -> None:
@@ -93,7 +95,7 @@ def write(rows: DataFrame, path: str) -> None:
         [*common(F.lit("metadata"), metadata), ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))], fields
     )
     records = rows.select(F.explode(F.array(asked, captured, noted)).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 _SCHEMA = (
@@ -107,8 +109,7 @@ def _parse(batches):
     for batch in batches:
         for content in batch.column("content"):
             rows: dict[str, list] = {n: [] for n in names}
-            raw = memoryview(content.as_buffer())
-            data, at, size = raw.obj if isinstance(raw.obj, bytes) else bytes(raw), 0, 0
+            data, at, size = gzip.decompress(content.as_buffer()), 0, 0
             while at < len(data):
                 end = data.index(b"\r\n\r\n", at)
                 lines = data[at:end].decode().split("\r\n")
@@ -146,7 +147,7 @@ def _batch(rows: dict[str, list]) -> pa.RecordBatch:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives at path; a damaged one is an error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path)
     return files.select("content").mapInArrow(_parse, _SCHEMA)
 
 
