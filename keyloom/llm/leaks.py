@@ -1,16 +1,15 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
-
-Test items are cut into n-grams of SEED words. A first pass over all documents counts in how many each
-n-gram occurs; an item's seeds are its n-grams below a document frequency and always its rarest ones, so
-an item that leaked everywhere keeps seeds too. A second pass finds seeds in the training texts, clusters
-them by item and place, and aligns each cluster's surroundings with the item: edited, reordered in part
-or paraphrased copies lose a few words of their alignment score, not the match.
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
+
+Test items are cut into n-grams of SEED words, and every one of them is a seed: common ones too, since an
+edited copy of an item that leaked everywhere keeps just the n-grams that all its copies keep. Items whose
+seeds a training text holds, and enough of whose words it holds for an accepted alignment, are aligned
+with the surroundings of each cluster of seeds: edited, reordered in part or paraphrased copies lose a few
+words of their alignment score, not the match. The surroundings have room for the longest accepted
+alignment through a seed, so every accepted alignment that has SEED words in a row unedited is found.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,9 +18,6 @@ from pyspark.sql import functions as F
 from keyloom.llm.text import as_binary, slices, windows, word_hashes
 
 SEED = 3
-#: An n-gram in more than this share of documents (and in more than RARE_DOCS) is no seed, unless it is
-#: among the rarest KEEP of its item's n-grams.
-RARE, RARE_DOCS, KEEP = 2e-5, 12, 0.25
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least alignment score as a share of the item's own, and least aligned score in words.
 LEAK, LEAST_WORDS = 0.5, 8
@@ -56,55 +52,66 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         self.ids = [i for i, _ in rows]
-        hashes, first = word_hashes(folded(pa.array([t for _, t in rows], pa.string())))
-        self.words = [hashes[a:b] for a, b in zip(first, first[1:])]
-        grams, start = windows(hashes, first, SEED)
-        item = np.searchsorted(first, start, "right") - 1
-        self.grams, self.at = np.unique(grams, return_inverse=True)
-        self.item, self.place = item, start - first[item]
-
-    def choose(self, df: np.ndarray, limit: float) -> None:
-        """Keep the seeds: occurrences sorted by n-gram, of n-grams that are rare or rarest in an item."""
-        use = df[self.at] <= limit
-        for i in range(len(self.ids)):
-            mine = np.flatnonzero(self.item == i)
-            rank = np.argsort(df[self.at[mine]], kind="stable")
-            use[mine[rank[: max(2, int(np.ceil(KEEP * len(mine))))]]] = True
-        order = np.flatnonzero(use)
-        order = order[np.argsort(self.at[order], kind="stable")]
-        self.seed_item, self.seed_place = self.item[order], self.place[order]
-        self.seeds, self.low = np.unique(self.grams[self.at[order]], return_index=True)
+        self.all, self.first = word_hashes(folded(pa.array([t for _, t in rows], pa.string())))
+        self.words = [self.all[a:b] for a, b in zip(self.first, self.first[1:])]
+        size = np.diff(self.first)
+        #: Least matching words of an accepted alignment: its score is MATCH a word at most.
+        self.need = np.maximum(np.ceil(LEAK * size), np.minimum(LEAST_WORDS, size)).astype(np.int64)
+        grams, start = windows(self.all, self.first, SEED)
+        order = np.argsort(grams, kind="stable")
+        item = np.searchsorted(self.first, start, "right") - 1
+        self.seed_item, self.seed_place = item[order], (start - self.first[item])[order]
+        self.seeds, self.low = np.unique(grams[order], return_index=True)
         self.high = np.r_[self.low[1:], len(order)].astype(np.int64)
-        del self.grams, self.at, self.item, self.place
 
-    def search(self, words: np.ndarray, grams: np.ndarray, start: np.ndarray):
-        """(item, score, share, first word, end) of every leak in one text."""
+    def candidates(self, words: np.ndarray, grams: np.ndarray, start: np.ndarray):
+        """(item, place in the text, place in the item) of the seeds of one text, sorted, for the items
+        of whose words it holds enough."""
         near = np.minimum(np.searchsorted(self.seeds, grams), len(self.seeds) - 1)
         hit = np.flatnonzero(self.seeds[near] == grams)
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for h in hit:
-            for k in range(self.low[near[h]], self.high[near[h]]):
-                places[int(self.seed_item[k])].append((int(start[h]), int(self.seed_place[k])))
-        for item, seeds in places.items():
-            own = self.words[item]
-            seeds.sort()
-            groups, reach = [[seeds[0]]], len(own) + len(own) // 2 + SEED
-            for s in seeds[1:]:
-                groups.append([s]) if s[0] - groups[-1][-1][0] > reach else groups[-1].append(s)
+        low, n = self.low[near[hit]], (self.high - self.low)[near[hit]]
+        k = _ranges(low, n)
+        item, at = self.seed_item[k], np.repeat(start[hit], n)
+        some = np.unique(item)
+        if not len(some):
+            return item, at, at
+        size = self.first[some + 1] - self.first[some]
+        held = np.isin(self.all[_ranges(self.first[some], size)], words)
+        enough = some[np.add.reduceat(held, np.cumsum(size) - size, dtype=np.int64) >= self.need[some]]
+        keep = np.isin(item, enough)
+        item, at, place = item[keep], at[keep], self.seed_place[k][keep]
+        order = np.lexsort((place, at, item))
+        return item[order], at[order], place[order]
+
+    def search(self, words: np.ndarray, grams: np.ndarray, start: np.ndarray):
+        """(item, score, share, first word, end) of every leak in one text."""
+        items, at, place = self.candidates(words, grams, start)
+        cuts = np.flatnonzero(np.r_[True, items[1:] != items[:-1]]) if len(items) else items
+        for low, high in zip(cuts, np.r_[cuts[1:], len(items)]):
+            item = int(items[low])
+            own, need = self.words[item], self.need[item]
+            # An accepted alignment has len(own) gaps at most: that far it strays from a seed's diagonal.
+            begin = np.maximum(at[low:high] - place[low:high] - len(own), 0)
+            end = np.minimum(at[low:high] - place[low:high] + 2 * len(own), len(words))
+            order = np.argsort(begin, kind="stable")
+            begin, end = begin[order], np.maximum.accumulate(end[order])
+            split = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]])
             best = None
-            for g in groups:
-                if len({p for _, p in g}) < min(2, len(own) - SEED + 1):
+            for a, b in zip(begin[split], end[np.r_[split[1:], len(end)] - 1]):
+                if np.isin(own, words[a:b]).sum() < need:
                     continue
-                slack = len(own) // 4 + 4
-                a = max(0, min(t - p for t, p in g) - slack)
-                b = min(len(words), max(t - p for t, p in g) + len(own) + slack)
-                score, end = align(own, words[a:b])
+                score, stop = align(own, words[a:b])
                 if score >= LEAK * MATCH * len(own) and score >= MATCH * min(LEAST_WORDS, len(own)) and (not best or score > best[0]):
-                    best = (score, a, a + end)
+                    best = (score, int(a), int(a) + stop)
             if best:
-                score, a, end = best
-                back, length = align(own[::-1], words[a:end][::-1])
-                yield item, score / (MATCH * len(own)), end - length, end
+                score, a, stop = best
+                back, length = align(own[::-1], words[a:stop][::-1])
+                yield item, score / (MATCH * len(own)), stop - length, stop
+
+
+def _ranges(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """low[0], low[0] + 1, ... n[0] of them, then those of low[1] and so on."""
+    return np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 def _hashed(batches):
@@ -113,26 +120,7 @@ def _hashed(batches):
         yield batch, hashes, first
 
 
-def _frequencies(shared):
-    def run(batches):
-        grams = shared.value.grams
-        total = np.zeros(len(grams), np.int64)
-        for _, hashes, first in _hashed(batches):
-            h, start = windows(hashes, first, SEED)
-            if not len(h) or not len(grams):
-                continue
-            near = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
-            ok = grams[near] == h
-            doc = np.searchsorted(first, start[ok], "right") - 1
-            pairs = np.unique(near[ok] * np.int64(len(first)) + doc)
-            total += np.bincount(pairs // len(first), minlength=len(grams))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["gram", "df"])
-
-    return run
-
-
-def _search(shared):
+def _search(shared, key):
     def run(batches):
         items = shared.value
         for batch, hashes, first in _hashed(batches):
@@ -146,39 +134,32 @@ def _search(shared):
                 a, b = cuts[d], cuts[d + 1]
                 words = hashes[first[d] : first[d + 1]]
                 for item, share, low, high in items.search(words, h[a:b], start[a:b] - first[d]):
-                    out.append((batch.column("doc_id")[int(d)].as_py(), items.ids[item], float(share), int(low), int(high)))
+                    out.append((int(d), items.ids[item], float(share), int(low), int(high)))
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                columns = [pa.array(v, t) for v, t in zip(zip(*out), kinds)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "first_word", "end_word"])
+                rows, *columns = [pa.array(v, t) for v, t in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), *columns], [key, "item_id", "score", "first_word", "end_word"])
 
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, first_word, end_word) per document and test item that it holds.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, item_id, score, first_word, end_word) per document and test item that it holds.
 
     score is the alignment's share of the item's own score, LEAK at least; the words are those of the
     folded text, of the item's best place in the document. Null and wordless texts hold nothing, items of
     under SEED words are not searched, equal rows give equal rows, and so do items of equal text. Of docs
-    and benchmark only doc_id, text and item_id, text are read. Items go to the tasks in blocks of about
+    and benchmark only key, text and item_id, text are read. Items go to the tasks in blocks of about
     ITEM_BLOCK, one pass over the documents each, so no size of benchmark outgrows a task.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n_docs, n_items = rows.count(), benchmark.count()
-    blocks = max(1, -(-n_items // ITEM_BLOCK))
+    rows = docs.select(F.col(key).cast("long").alias(key) if key == "doc_id" else key, "text")
+    blocks = max(1, -(-benchmark.count() // ITEM_BLOCK))
     found = None
     for k in range(blocks):
         mine = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "text")
-        items = Items(sorted(((r.item_id, r.text) for r in mine.collect()), key=str))
-        shared = spark.sparkContext.broadcast(items)
-        counts = rows.mapInArrow(_frequencies(shared), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
-        df = np.zeros(len(items.grams), np.int64)
-        for r in counts.collect():  # one row per n-gram of the block at most
-            df[r.gram] = r.df
-        items.choose(df, max(RARE_DOCS, RARE * n_docs))
-        seeds = spark.sparkContext.broadcast(items)
-        part = rows.mapInArrow(_search(seeds), "doc_id long, item_id long, score double, first_word long, end_word long")
+        seeds = spark.sparkContext.broadcast(Items(sorted(((r.item_id, r.text) for r in mine.collect()), key=str)))
+        kind = rows.schema[key].dataType.simpleString()
+        part = rows.mapInArrow(_search(seeds, key), f"{key} {kind}, item_id long, score double, first_word long, end_word long")
         found = part if found is None else found.unionByName(part)
     return found

@@ -133,6 +133,23 @@ def test_exact_and_edited_copies(spark):
     assert got == want
 
 
+def test_leaks_equal_full_alignment(spark):
+    """Partial and edited copies of an item leaked in hundreds of documents, against all alignments."""
+    rng = random.Random(6)
+    item = [f"q{k}" for k in range(40)]
+    noise = lambda n: [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [item] * 400 + [item[:24], item[16:], item[8:32], item[10:29], item[:12] + noise(30) + item[12:]]
+    for _ in range(100):  # three words stay, the fourth is another
+        at = rng.randrange(4)
+        rows.append([noise(1)[0] if k % 4 == at else w for k, w in enumerate(item)])
+    rows = [(i, noise(rng.randrange(30)) + w + noise(rng.randrange(30))) for i, w in enumerate(rows)]
+    hashed = lambda ws: np.array([hash(w) for w in ws])
+    want = {i for i, w in rows if leaks.align(hashed(item), hashed(w))[0] >= leaks.LEAK * leaks.MATCH * len(item)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = leaks.find_leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == want and len(want) > 500
+
+
 def test_alignment_equals_full_table():
     rng = random.Random(3)
     for _ in range(50):
