@@ -19,15 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each class. Of documents without an id one of each text stays,
-    unless a document with an id has that text."""
-    known = docs.where("doc_id is not null")
-    first = near.classes(known).select(F.col("class_id").alias("doc_id")).distinct()
-    kept = known.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    unknown = docs.where("doc_id is null").withColumn("digest", digest).dropDuplicates(["digest"])
-    unknown = unknown.join(known.select(digest.alias("digest")), "digest", "left_anti")
-    return kept.select(*COLUMNS).unionByName(unknown.select(*COLUMNS))
+    """The document of least doc_id of each class of texts. Documents without an id are judged alike; one
+    stays where no document of its class has an id. Texts that share a doc_id are not copies by that."""
+    return near.one_per_class(docs).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

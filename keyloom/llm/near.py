@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import cut
@@ -171,7 +171,7 @@ def _matrix(sig: pd.Series) -> np.ndarray:
 
 def _verify_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """All links between classes of one block: every text outside the largest class so far leads once."""
-    pdf = pdf.sort_values("doc_id", kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values("node", kind="stable").reset_index(drop=True)
     sig, bag, forest = _matrix(pdf["sig"]), _bags_of(pdf["text"]), _Forest(len(pdf))
     everyone = np.arange(len(pdf))
     led = np.zeros(len(pdf), bool)
@@ -184,7 +184,7 @@ def _verify_block(pdf: pd.DataFrame) -> pd.DataFrame:
         i = todo[0]
         led[i] = True
         _links(sig, bag, forest, [i], everyone)
-    ids = pdf["doc_id"].to_numpy()
+    ids = pdf["node"].to_numpy()
     roots = forest.roots()
     return pd.DataFrame({"a": ids, "b": ids[roots]})
 
@@ -203,64 +203,92 @@ def _verify_across(pdf: pd.DataFrame) -> pd.DataFrame:
     found = []
     for i in range(len(out)):
         found += _links(sig, bag, forest, [i], others)
-    ids = both["doc_id"].to_numpy()
+    ids = both["node"].to_numpy()
     return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}).astype("int64")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, copies, class_texts) per row of docs: class_id is the least doc_id of its class.
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and digest; id_key and no_id are doc_id in a form that joins nulls."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return _keyed(rows.withColumn("digest", digest(F.col("text"))), "doc_id")
 
-    A class is a connected component of texts whose shingle multisets have a weighted Jaccard similarity
-    of SIMILAR or more; equal texts are one text (copies counts their rows, class_texts the different
-    texts of the class), so links are kept between different texts and copies only point to theirs. Null
-    texts equal each other and the empty text; texts without a word are classes by their text. Rows with
-    a null doc_id are judged like others and may share a class, which then goes by its least known id.
-    Rows that repeat a doc_id with another text join the classes of both texts. Other columns are not read.
-    """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary")))).withColumn("bytes", F.octet_length("text").cast("long"))
-    sketch = cut(rows.mapInArrow(_sketch, "doc_id long, digest binary, bytes long, bands array<long>, sig binary"))
+
+def digest(text: Column) -> Column:
+    """What identifies a text; a null one is the empty one."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def _keyed(rows: DataFrame, name: str) -> DataFrame:
+    return rows.withColumn("id_key", F.coalesce(name, F.lit(0))).withColumn("no_id", F.col(name).isNull())
+
+
+def _classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) per row, and per text digest, rep (its least doc_id), root (its class), copies."""
+    rows = _rows(docs)
+    sketch = rows.withColumn("bytes", F.octet_length("text").cast("long")).select("doc_id", "text", "digest", "bytes")
+    sketch = cut(sketch.mapInArrow(_sketch, "doc_id long, digest binary, bytes long, bands array<long>, sig binary"))
 
     texts = sketch.groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
     )
-    texts = cut(texts)
-    keyed = texts.where(F.col("rep").isNotNull()).select("rep", F.explode("bands").alias("key"))
-    lead = keyed.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    stars = keyed.join(lead, "key").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    same_id = sketch.where("doc_id is not null").join(texts.select("digest", "rep"), "digest").where("rep != doc_id")
+    texts = cut(texts.withColumn("node", F.monotonically_increasing_id()))  # a text's number, fixed by the checkpoint
+    keyed = texts.select("node", F.explode("bands").alias("key"))
+    lead = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    stars = keyed.join(lead, "key").select(F.col("node").alias("a"), F.col("lead").alias("b"))
     candidates = components(stars)
 
     # Blocks of bounded size; a component of several blocks is verified in three steps.
-    members = candidates.join(texts.select(F.col("rep").alias("node"), "bytes", "sig"), "node")
-    sizes = candidates.join(texts.select(F.col("rep").alias("node"), "bytes"), "node").groupBy("root")
+    members = candidates.join(texts.select("node", "digest", "rep", "bytes", "sig"), "node")
+    sizes = candidates.join(texts.select("node", "bytes"), "node").groupBy("root")
     sizes = sizes.agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_TEXTS)), F.ceil(F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")
     )
     members = members.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    wanted = members.select(F.col("node").alias("doc_id"), F.col("root").alias("comp"), "block", "blocks", "sig")
-    blocks = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .where("doc_id is not null")
-        .join(wanted, "doc_id")
-        .dropDuplicates(["doc_id", "text"])
-    )
+    wanted = _keyed(members, "rep").select("digest", "id_key", "no_id", "node", F.col("root").alias("comp"), "block", "blocks", "sig")
+    one = ["digest", "id_key", "no_id"]  # the row of a text's least id, once
+    blocks = cut(rows.drop("doc_id").join(wanted, one).dropDuplicates(one).drop(*one))
     within = blocks.groupBy("comp", "block").applyInPandas(_verify_block, "a long, b long")
     large = blocks.where("blocks > 1")
     edges = within
     if not large.isEmpty():
         edges = cut(within)
         edges = edges.unionByName(_across(large, edges))
-    repeated_ids = same_id.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(
-        texts.select(F.col("rep").alias("a")).distinct(), "a", "left_semi"
-    )  # an id that also stands for another text
-    final = components(edges.unionByName(repeated_ids))
+    final = components(edges)
+    texts = texts.select("node", "digest", "rep", "copies").join(final, "node", "left")
+    return sketch.select("doc_id", "digest"), texts.withColumn("root", F.coalesce("root", "node"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, copies, class_texts) per row of docs: class_id is the least doc_id of its class.
+
+    A class is a connected component of texts whose shingle multisets have a weighted Jaccard similarity
+    of SIMILAR or more; equal texts are one text (copies counts their rows, class_texts the different
+    texts of the class), so links are kept between different texts and copies only point to theirs. Null
+    texts equal each other and the empty text; texts without a word are classes by their text. Rows with
+    a null doc_id are judged like others and may share a class, which then goes by its least known id;
+    classes without any known id have a null class_id, each with its own class_texts. A doc_id that stands
+    for several texts links nothing: of classes with one least id that of the least digest has it as
+    class_id, and the others have negative numbers made from their digests. Other columns are not read.
+    """
+    rows, texts = _classed(docs)
+    per_class = texts.groupBy("root").agg(F.min("rep").alias("least"), F.min("digest").alias("first"), F.count(F.lit(1)).alias("class_texts"))
+    owner = per_class.where("least is not null").groupBy("least").agg(F.min("first").alias("first")).withColumn("owns", F.lit(True))
+    per_class = per_class.join(owner, ["least", "first"], "left").withColumn(
+        "class_id", F.when(F.col("least").isNull() | F.col("owns"), F.col("least")).otherwise(-1 - F.shiftrightunsigned(F.xxhash64("first"), 1))
+    )
+    texts = texts.join(per_class.select("root", "class_id", "class_texts"), "root")
+    return rows.join(texts.select("digest", "class_id", "copies", "class_texts"), "digest").drop("digest")
+
 
-    per_class = texts.join(final.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("root", "rep"))
-    n = per_class.groupBy(F.col("class_id").alias("of")).agg(F.count(F.lit(1)).alias("class_texts"))
-    per_class = per_class.join(n, F.col("class_id").eqNullSafe(F.col("of")))
-    return sketch.select("doc_id", "digest").join(per_class.select("digest", "class_id", "copies", "class_texts"), "digest").drop("digest")
+def one_per_class(docs: DataFrame) -> DataFrame:
+    """One row of docs of each class of texts: of its least doc_id, and of that the least digest; a row
+    without an id only where the whole class has none."""
+    _, texts = _classed(docs)
+    first = texts.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "digest")).alias("f"))
+    one = ["digest", "id_key", "no_id"]
+    keep = _keyed(first.select("f.rep", "f.digest"), "rep").select(one)
+    rows = _keyed(docs.withColumn("digest", digest(F.col("text"))), "doc_id")
+    return rows.join(keep, one).dropDuplicates(one).select(*docs.columns)
 
 
 def _across(blocks: DataFrame, edges: DataFrame) -> DataFrame:
@@ -270,22 +298,22 @@ def _across(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     blocks of a family. Then every text outside the component's largest class is compared with all blocks:
     of any two classes one is not the largest, so no link between classes is missed.
     """
-    labelled = blocks.join(edges.select(F.col("a").alias("doc_id"), F.col("b").alias("root")), "doc_id")
-    chosen = labelled.where("root = doc_id")
+    labelled = blocks.join(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "node")
+    chosen = labelled.where("root = node")
     per = chosen.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_TEXTS)).cast("int").alias("parts"))
-    chosen = chosen.join(per, "comp").withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int"))
+    chosen = chosen.join(per, "comp").withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
     merged = cut(chosen.groupBy("comp", "block").applyInPandas(_verify_block, "a long, b long"))
-    mine = edges.join(blocks.select(F.col("doc_id").alias("a")), "a", "left_semi").unionByName(merged)
-    roots = components(mine).select(F.col("node").alias("doc_id"), F.col("root").alias("top"))
-    now = cut(labelled.drop("root").join(roots, "doc_id", "left").withColumn("root", F.coalesce("top", "doc_id")).drop("top"))
+    mine = edges.join(blocks.select(F.col("node").alias("a")), "a", "left_semi").unionByName(merged)
+    roots = components(mine).select("node", F.col("root").alias("top"))
+    now = cut(labelled.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("top", "node")).drop("top"))
     counts = now.groupBy("comp", "root").agg(F.count(F.lit(1)).alias("n"))
     core = counts.groupBy("comp").agg(F.max_by("root", F.struct("n", "root")).alias("core"))
     outside = now.join(core, "comp").where("root != core")
     parts = outside.groupBy("comp").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_TEXTS)), F.ceil(F.sum(F.octet_length("text")) / F.lit(BLOCK_BYTES))).cast("int").alias("parts")
     )
-    outside = outside.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("parts")).cast("int"))
-    cols = ["comp", "block", "part", "doc_id", "text", "sig", "root", "outsider"]
+    outside = outside.join(parts, "comp").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")).cast("int"))
+    cols = ["comp", "block", "part", "node", "text", "sig", "root", "outsider"]
     left = outside.withColumn("outsider", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(cols)
     right = now.withColumn("outsider", F.lit(False)).join(parts, "comp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     links = left.unionByName(right.select(cols)).groupBy("comp", "block", "part").applyInPandas(_verify_across, "a long, b long")

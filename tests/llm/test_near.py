@@ -105,3 +105,24 @@ def test_nulls_empties_ties_and_clashing_columns(spark):
     assert by == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (None, 4), (None, None)}
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near.classes(empty).count() == 0
+
+
+def test_shared_and_missing_ids(spark):
+    """A doc_id of several texts links nothing, and near copies without an id are copies."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    text = lambda: [f"u{rng.randrange(10**6)}" for _ in range(100)]
+    edited = lambda w: [*w[:50], f"e{rng.randrange(10**6)}", *w[51:]]
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(7, a), (7, b), (7, c), (9, edited(c)), (7, c), (None, d), (None, edited(d)), (None, e), (None, edited(a)), (3, edited(b))]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "web", 1) for i, w in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = near.classes(docs).collect()
+    assert len(got) == len(rows)
+    named = {r.class_id: r.class_texts for r in got if r.class_id is not None}
+    assert sorted(named.values()) == [2, 2, 2] and {3, 7} < set(named) and min(named) < 0
+    assert sorted(r.class_texts for r in got if r.class_id is None) == [1, 2, 2]
+    kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    firsts = {(i or 0, " ".join(w)) for i, w in rows}
+    assert set(kept) <= firsts and [i for i, _ in kept] == [0, 0, 3, 7, 7]
+    assert {t for i, t in kept if i == 7} == {" ".join(a), " ".join(c)} and (0, " ".join(e)) in kept
