@@ -324,3 +324,13 @@ def test_pipeline_stages(spark):
     texts = {r.doc_id: r.text for r in before.collect()}
     assert {r.doc_id: r.text for r in docs.collect()} == texts
     assert F is not None and len(texts) > 700
+
+
+def test_leaks_without_or_with_shared_ids(spark):
+    import corpus_pipeline
+
+    item = table(spark, SMALL, "benchmark").where("length(text) > 60").orderBy("item_id").first().text
+    rows = [(None, f"before {item} after"), (None, "clean words only"), (4, f"again {item}"), (4, "other words only"), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "web", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.drop_leaks(spark, docs, SMALL).collect()}
+    assert got == {rows[1], rows[3], rows[4]}
