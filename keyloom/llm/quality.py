@@ -25,8 +25,8 @@ WINDOW = 8
 @dataclass(frozen=True)
 class Rules:
     """alpha: the share of good documents that may be rejected per stratum; delta: the risk that any
-    certified cutoff breaks this. A stratum with fewer than min_labels good holdout rows, or beyond the
-    max_strata largest, uses the pooled stratum's cutoffs, which are certified over all holdout rows."""
+    certified cutoff breaks this. In a stratum with fewer than min_labels good holdout rows nothing is
+    certified, so all rules are off there. max_strata bounds the strata of the SQL counterpart only."""
 
     alpha: float = 0.04
     delta: float = 0.05
@@ -135,7 +135,8 @@ def certified_cutoffs(holdout: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per certified stratum and one for the pooled stratum (null): a cutoff or null per rule.
 
     holdout: stratum and the rates of labelled good documents. Counts are partial sums per candidate
-    cutoff, so no holdout row meets another of its stratum; the result has max_strata + 1 rows at most.
+    cutoff, so no holdout row meets another of its stratum. The pooled row is for information: it
+    guarantees nothing for any one stratum.
     """
     grid = [(name, c) for name, cutoffs in rules.GRID.items() for c in cutoffs]
     alpha = rules.alpha / len(rules.GRID)
@@ -143,13 +144,9 @@ def certified_cutoffs(holdout: DataFrame, rules: Rules = Rules()) -> DataFrame:
     per_stratum = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tests)
     ks = [f"k{i}" for i in range(len(grid))]
     pooled = per_stratum.agg(F.lit(None).cast("string").alias("stratum"), F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in ks))
-    own = (
-        per_stratum.where(F.col("stratum").isNotNull() & (F.col("n") >= rules.min_labels))
-        .orderBy(F.desc("n"), "stratum")
-        .limit(rules.max_strata)
-    )
+    own = per_stratum.where(F.col("stratum").isNotNull() & (F.col("n") >= rules.min_labels))
     strata = own.unionByName(pooled.where(F.col("n").isNotNull()))
-    strata = strata.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) * len(grid))  # max_strata + 1 rows
+    strata = strata.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) * len(grid))  # a row per min_labels labels at most
     passed = [binomial_cdf(f"k{i}", "n", alpha) <= rules.delta / F.col("m") for i in range(len(grid))]
     chosen = []
     for name in rules.GRID:
@@ -164,7 +161,7 @@ def judge(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), stratum_co
     docs: doc_id, text and the stratum column; labels: doc_id, quality (1 is good), with one judgement
     for an id that has several rows (good only if all are). The holdout is every good labelled document
     that the base rules keep. base_failed: under 20 words, or over 30 % repeated words. A null text has
-    no words and fails; a null or unseen stratum uses the pooled cutoffs; without labels no rule is on.
+    no words and fails; rows without a stratum are a stratum; where nothing is certified no rule is on.
     Equal rows get equal verdicts; other columns of docs are not read.
     """
     seen = measured(docs, {"doc_id": F.col("doc_id"), "stratum": F.col(stratum_col).cast("string")})
@@ -172,14 +169,14 @@ def judge(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), stratum_co
     seen = cut(seen)  # a few numbers a row: texts are measured once, though two branches follow
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
     held = seen.where(~F.col("base_failed")).join(good.where("q = 1").select("doc_id"), "doc_id", "left_semi")
-    cutoffs = certified_cutoffs(held, rules)
+    of = F.coalesce(F.concat(F.lit("="), "stratum"), F.lit(""))
+    cutoffs = certified_cutoffs(held.withColumn("stratum", of), rules)
 
     names = [f"cut_{name}" for name in rules.GRID]
-    pooled = cutoffs.where(F.col("stratum").isNull()).select(F.lit(1).alias("one"), F.struct(*names).alias("pooled"))
-    own = cutoffs.where(F.col("stratum").isNotNull()).select("stratum", F.struct(*names).alias("own"))
-    out = seen.join(F.broadcast(own), "stratum", "left")  # max_strata rows at most
-    out = out.withColumn("one", F.lit(1)).join(F.broadcast(pooled), "one", "left")  # one row
-    cuts = F.coalesce("own", "pooled")
+    some = F.coalesce(*names).isNotNull()  # hundreds of labels each, so these strata are few
+    own = cutoffs.where(F.col("stratum").isNotNull() & some).select(F.col("stratum").alias("of"), F.struct(*names).alias("own"))
+    out = seen.withColumn("of", of).join(F.broadcast(own), "of", "left")
+    cuts = F.col("own")
     rejected = [F.coalesce(F.col(name) > cuts[f"cut_{name}"], F.lit(False)) for name in rules.GRID]
     hit = rejected[0]
     for r in rejected[1:]:

@@ -99,6 +99,22 @@ def test_cutoffs_are_certified(spark):
     assert cuts["en"].cut_symbol_rate == 0.005 and cuts["en"].cut_repeat_rate == 0.1
 
 
+def test_every_stratum_has_its_own_cutoffs(spark):
+    """Beyond 64 strata too, and pooled cutoffs are no stratum's."""
+    rates = ("symbol_rate", "shout_rate", "dup_line_rate", "repeat_rate")
+    held = spark.range(70 * 1100).select((F.col("id") % 70).cast("string").alias("stratum"), *(F.lit(0.0).alias(r) for r in rates))
+    cuts = quality.certified_cutoffs(held).where("stratum is not null").collect()
+    assert len(cuts) == 70 and {r.cut_symbol_rate for r in cuts} == {0.005}
+
+    rng = random.Random(2)
+    text = lambda mark: " ".join(f"w{rng.randrange(10**6)}{mark}" for _ in range(22))
+    rows = [("large", "")] * 4000 + [("small", "#")] * 10 + [(None, "#")] * 10
+    docs = spark.createDataFrame([(i, text(mark), s) for i, (s, mark) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = quality.judge(docs, docs.select("doc_id", F.lit(1).alias("quality"))).collect()
+    assert len(got) == len(rows) and all(r.kept for r in got)
+    assert {r.stratum: r.cut_symbol_rate for r in got} == {"large": 0.005, "small": None, None: None}
+
+
 def test_quality_odd_rows(spark):
     docs = odd(spark)
     out = quality.judge(docs, spark.createDataFrame([], "doc_id long, quality int"))
