@@ -51,8 +51,14 @@ MARKS = " .-_*~,'\"/\\:;#%&^"
 #: Costs in nats of replacing a character, leaving out a mark, leaving out a repeated letter, splitting.
 REPLACE, LEAVE, REPEAT, SPLIT = 1.0, 0.4, 0.7, 2.5
 
-_SPACED = re.compile(r"(?<![^\s])\w(?:[ .\-_*]{1,2}\w){3,}(?!\w)")
-_ODD = re.compile(r"[^\W\d_][0-9@$!|+(€£¡]+[^\W\d_]|[0-9@$!|+(€£¡]+[^\W\d_]{2}|[^\W\d_][.\-_*~#%&^]+[^\W\d_]|([^\W_])\1\1")
+_SIGN = "[" + re.escape("".join(LEET)) + r"]"
+_MARK = "[" + re.escape(MARKS) + r"\s]"
+_LETTER = rf"(?:[^\W_]|{_SIGN})"
+#: Three or more single letters or signs of leetspeak apart by any marks or white space.
+_SPACED = re.compile(rf"(?<!\S){_LETTER}(?:{_MARK}+{_LETTER}){{2,}}(?![^\W_])")
+_APART = re.compile(rf"{_MARK}+")
+#: A sign of leetspeak anywhere, marks between letters or signs, or a repeated letter.
+_ODD = re.compile(rf"{_SIGN}|[^\W_]{_MARK}+[^\W_]|([^\W\d_])\1")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -163,9 +169,10 @@ def readings(token: str, model: np.ndarray) -> list[str]:
 def _tokens(text: str, model: np.ndarray) -> set[str]:
     tokens = set(text.split())
     for run in _SPACED.findall(text):
-        collapsed = re.sub(r"(\w)(?:[ .\-_*]{1,2}\1)+", r"\1", run)
-        if len(collapsed) > 6:
-            tokens |= {w for r in restore(collapsed, model) for w in r.split()}
+        run = _APART.sub(" ", run)
+        if any(c.isalpha() for c in run):
+            for form in {run, re.sub(r"(\S)(?: \1)+", r"\1", run), run.replace(" ", "")}:
+                tokens |= {w for r in restore(form, model) for w in r.split()}
     return tokens
 
 

@@ -40,6 +40,24 @@ def test_restores_obfuscated_words(spark):
     assert toxicity.readings("thing", model) == ["thing"]
 
 
+def test_restores_every_class_of_spelling(spark):
+    words = ["idiot", "shit", "loser", "ass", "scum", "stupid"]
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["the", "and", "thing", "other", "reading", *words]) for _ in range(40))) for i in range(300)]
+    model = toxicity.character_model(spark.createDataFrame(rows, "doc_id long, text string"))
+    spelt = {
+        "idiot": ("idio7", "1d10t", "i/d/i/o/t", "i:d:i:o:t", "i,d,i,o,t", "i;d;i;o;t", "i'd'i'o't", "i\\d\\i\\o\\t", "idiiot"),
+        "shit": ("5h17", "sh1t"), "loser": ("1053r",), "ass": ("a$$", "@ss"), "scum": ("scu/m", "$cum"), "stupid": ("stuupid", "stup1d"),
+    }
+    for word, tokens in spelt.items():
+        for token in tokens:
+            assert word in toxicity.readings(token, model), token
+    for run in ("s\tt\tu\tp\ti\td", "s\nt\nu\np\ni\nd", "s   t   u   p   i   d", "s / t / u / p / i / d", "$ t u p ! d"):
+        assert "stupid" in toxicity._tokens(f"so {run} really", model), run
+    assert "ass" in toxicity._tokens("an a s s here", model)
+    assert toxicity.readings("thing", model) == ["thing"]
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = Q.op1_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").select("score", "predicted", "toxic").collect()
