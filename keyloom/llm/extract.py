@@ -25,6 +25,8 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video".split())
+#: Those of RAW that are markup: without an end tag only their tag is skipped.
+MARKUP_RAW = frozenset("noscript template object svg math canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements and name parts that speak for content, and against it.
 GOOD_TAGS, BAD_TAGS = frozenset("article main".split()), frozenset("nav header footer aside form menu dialog head button select label fieldset".split())
@@ -78,6 +80,7 @@ def blocks(page: str) -> list[Block]:
     stack, out, number = [root], [], 0
     parts: list[str] = []
     linked, link, at, raw_until = 0, 0, 0, None
+    unclosed: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -108,7 +111,12 @@ def blocks(page: str) -> list[Block]:
             continue
         closing = m[1] == "/"
         if tag in RAW and not closing:
+            if tag in ("svg", "math") and m[0].endswith("/>") or tag in unclosed:
+                continue
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not end and tag in MARKUP_RAW:
+                unclosed.add(tag)
+                continue
             at = end.end() if end else len(page)
             if tag not in ("script", "style", "svg"):
                 parts.append(" ")

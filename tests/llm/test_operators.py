@@ -297,6 +297,13 @@ def test_extraction_of_other_layouts():
     assert extract.main_text("<article><p>unclosed <b>and stray</i> tags &amp; <!-- no end") == "unclosed and stray tags &"
 
 
+def test_extraction_after_unclosed_and_empty_elements():
+    body = "A paragraph of the article that is long enough to be its content."
+    for tag in ('<svg class="x"/>', "<math/>", "<object data=x>", "<canvas>", "<svg/><p>one</p><svg></svg>"):
+        assert body in extract.main_text(f"<article><p>Opening words that are long enough too.</p>{tag}<p>{body}</p></article>"), tag
+    assert extract.main_text(f"<article><p>{body}</p><script>var a = 1</article>") == body
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(60):
