@@ -8,6 +8,7 @@ and keeps the result in a memo of bounded size; decoding concatenates the ids' b
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import re
 import zlib
@@ -17,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.text import slices
+from keyloom.llm.text import Memo, slices, task
 
-#: Words whose ids a task remembers at most, the first that it meets, among them the frequent ones; the
-#: others are merged again each time, which costs time but changes nothing.
-MEMO = 400_000
-#: A blank next to white space. Without one, a blank and the words up to the next blank split alike in any
-#: text: no match of the pattern reaches over a blank that follows other characters.
+#: Bytes of each memo of words that a task keeps at most; forgotten words are merged again, which costs
+#: time but changes nothing. Longer words than LONG bytes are not remembered.
+MEMO, LONG = 24 << 20, 64
+#: Fixed value: the pattern by which a blank and the words up to the next blank split alike in any text, as
+#: no match of it reaches over a blank that follows other characters. Other patterns split texts as wholes.
+BLANK_APART = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A blank next to white space, where this does not hold.
 _BLANKS = re.compile(r" \s|\s ")
 
 
@@ -38,6 +41,8 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     whole = ranks.get(word)
     if whole is not None:
         return [whole]
+    if len(word) > LONG:
+        return _merge_long(word, ranks)
     pieces = [word[i : i + 1] for i in range(len(word))]
     pairs = [ranks.get(a + b) for a, b in zip(pieces, pieces[1:])]
     while True:
@@ -55,17 +60,48 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
             pairs[at] = ranks.get(pieces[at] + pieces[at + 1])
 
 
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As merge, in n log n: pairs wait in a heap by (rank, place), and one that has changed since is passed over."""
+    n = len(word)
+    pieces: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+
+    def offer(i: int) -> None:
+        joined = pieces[i] + pieces[after[i]]
+        if (r := ranks.get(joined)) is not None:
+            heapq.heappush(heap, (r, i, len(joined)))
+
+    while heap:
+        _, i, size = heapq.heappop(heap)
+        j = after[i] if pieces[i] is not None else n
+        if j == n or len(pieces[i]) + len(pieces[j]) != size:
+            continue
+        pieces[i] += pieces[j]
+        pieces[j] = None
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+            offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    return [ranks[p] for p in pieces if p is not None]
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) per row of docs; null and empty texts have no ids, and control strings
     are ordinary text. Equal rows give equal rows; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(rank_path))  # a vocabulary, fixed in size
 
+    apart = pattern == BLANK_APART
+
+    @task
     def run(batches):
         import regex
 
         ranks, find = shared.value, regex.compile(pattern).findall
-        merged: dict[str, bytes] = {}
-        spaced: dict[str, bytes] = {}  # word after a blank -> its ids
+        merged, spaced = Memo(MEMO), Memo(MEMO)  # word, and word after a blank -> its ids
 
         def slow(text: str) -> bytes:
             out = []
@@ -73,13 +109,13 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
                 got = merged.get(word)
                 if got is None:
                     got = np.array(merge(word.encode(), ranks), np.int32).tobytes()
-                    if len(merged) < MEMO:
-                        merged[word] = got
+                    if len(word) <= LONG:
+                        merged.keep(word, got, 2 * len(word) + len(got))
                 out.append(got)
             return b"".join(out)
 
         def encoded(text: str) -> bytes:
-            if _BLANKS.search(text):
+            if not apart or _BLANKS.search(text):
                 return slow(text)
             first, *rest = text.split(" ")
             found = list(map(spaced.get, rest))
@@ -87,8 +123,8 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
                 for i, got in enumerate(found):
                     if got is None:
                         found[i] = slow(f" {rest[i]}")
-                        if len(spaced) < MEMO and "\n" not in rest[i]:
-                            spaced[rest[i]] = found[i]
+                        if len(rest[i]) <= LONG:
+                            spaced.keep(rest[i], found[i], 2 * len(rest[i]) + len(found[i]))
             return slow(first) + b"".join(found)
 
         for batch in slices(batches):
@@ -107,6 +143,7 @@ def decode(encoded: DataFrame, rank_path: str) -> DataFrame:
     by_id = {r: p for p, r in load_ranks(rank_path).items()}
     shared = encoded.sparkSession.sparkContext.broadcast([by_id.get(i) for i in range(max(by_id) + 1)])
 
+    @task
     def run(batches):
         pieces = pa.array(shared.value, pa.large_binary())
         for batch in batches:

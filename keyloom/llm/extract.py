@@ -17,7 +17,7 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from keyloom.llm.text import slices
+from keyloom.llm.text import slices, task
 
 #: Elements that end a block, those whose content is no text, and those never closed.
 BLOCKS = frozenset(
@@ -206,6 +206,7 @@ def main_text(page: str | None) -> str:
     return "\n".join(b.text for b, content in zip(found, label(found)) if content)
 
 
+@task
 def _run(batches):
     for batch in slices(batches, "html"):
         texts = [main_text(page) for page in batch.column("html").to_pylist()]

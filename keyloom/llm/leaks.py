@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.text import as_binary, slices, windows, word_hashes
+from keyloom.llm.text import slices, task, windows, word_hashes
 
 SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -121,6 +121,7 @@ def _hashed(batches):
 
 
 def _search(shared, key):
+    @task
     def run(batches):
         items = shared.value
         for batch, hashes, first in _hashed(batches):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import cut
 from keyloom.llm.graph import components
-from keyloom.llm.text import as_binary, mix, slices, windows, word_hashes
+from keyloom.llm.text import as_binary, mix, rested, slices, task, windows, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 25, 5
@@ -84,6 +84,7 @@ def signatures(n_texts: int, text: np.ndarray, shingle: np.ndarray, count: np.nd
     return sig
 
 
+@task
 def _sketch(batches):
     for batch in slices(batches):
         n = batch.num_rows
@@ -186,7 +187,7 @@ def _verify_block(pdf: pd.DataFrame) -> pd.DataFrame:
         _links(sig, bag, forest, [i], everyone)
     ids = pdf["node"].to_numpy()
     roots = forest.roots()
-    return pd.DataFrame({"a": ids, "b": ids[roots]})
+    return rested(pd.DataFrame({"a": ids, "b": ids[roots]}))
 
 
 def _verify_across(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -204,7 +205,7 @@ def _verify_across(pdf: pd.DataFrame) -> pd.DataFrame:
     for i in range(len(out)):
         found += _links(sig, bag, forest, [i], others)
     ids = both["node"].to_numpy()
-    return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}).astype("int64")
+    return rested(pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}).astype("int64"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.text import as_binary, mix, slices, windows, word_hashes
+from keyloom.llm.text import as_binary, mix, rested, slices, windows, word_hashes
 
 WINDOW, BLOCK = 20, 10
 #: Documents of a chunk on average.
@@ -278,12 +278,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name.startswith("carry_"))
     dealt = dealt.repartition(chunks, "chunk")
 
-    probes = dealt.groupBy("chunk").applyInArrow(lambda t: steps.probes(t), _BLOBS)
-    anchors = probes.groupBy("part").applyInArrow(lambda t: steps.anchors(t), _BLOBS)
-    keyed = dealt.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(lambda a, b: steps.extend(a, b), _BLOBS)
-    found = keyed.groupBy("part").applyInArrow(lambda t: steps.repeated(t), _BLOBS)
+    probes = dealt.groupBy("chunk").applyInArrow(lambda t: rested(steps.probes(t)), _BLOBS)
+    anchors = probes.groupBy("part").applyInArrow(lambda t: rested(steps.anchors(t)), _BLOBS)
+    keyed = dealt.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(lambda a, b: rested(steps.extend(a, b)), _BLOBS)
+    found = keyed.groupBy("part").applyInArrow(lambda t: rested(steps.repeated(t)), _BLOBS)
     out = dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
-        lambda a, b: steps.remove(a, b),
+        lambda a, b: rested(steps.remove(a, b)),
         "doc_id long, n_words long, n_removed long, spans array<struct<first: long, words: long>>, text binary, kept binary"
         + kinds,
     )

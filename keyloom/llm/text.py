@@ -7,6 +7,10 @@ windows of k words are hashed the same way over the word hashes.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +27,59 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 SLICE = 1 << 20
 
 
+def give_back() -> None:
+    """Return to the machine what a finished task held: Python workers are used again, by other operators
+    too, and the allocators of Arrow and C keep freed memory until they are asked."""
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it; elsewhere freed memory stays as it is
+    if trim:
+        trim(0)
+
+
+def task(run):
+    """run, a function of batches for mapInArrow, which gives its memory back when the task ends."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+_given = [0.0]
+
+
+def rested(out):
+    """out, the result for one group, after memory is given back now and then: a function of groups isn't
+    told which is a task's last."""
+    if time.monotonic() - _given[0] > 1:
+        give_back()
+        _given[0] = time.monotonic()
+    return out
+
+
+class Memo(dict):
+    """A dict that is emptied before it outgrows a bound in bytes, roughly counted; what it forgets is worked
+    out again. cost: bytes of an entry besides the strings' or bytes' own."""
+
+    def __init__(self, most: int, cost: int = 250):
+        super().__init__()
+        self.most, self.cost, self.held = most, cost, 0
+
+    def keep(self, key, value, size: int):
+        self.held += size + self.cost
+        if self.held > self.most:
+            self.clear()
+            self.held = size + self.cost
+        self[key] = value
+        return value
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

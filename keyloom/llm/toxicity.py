@@ -23,18 +23,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import in_fold
-from keyloom.llm.text import slices
+from keyloom.llm.common import cut, in_fold
+from keyloom.llm.text import Memo, slices, task
 
 #: Symbols of the character model: border, a to z, any other letter.
 N = 28
 ORDER = 4
 #: Labelled rows that are used for fitting at most, and features that a model keeps at most.
 MAX_LABELLED, MAX_FEATURES = 50_000, 50_000
-#: Distinct tokens whose evidence a task remembers at most.
-MEMO = 500_000
-#: Restorations of a token that are scored, and states that the search keeps per character.
-BEST, BEAM = 3, 48
+#: Bytes of the memo of tokens that a task keeps at most, and features that it counts before it sends them.
+MEMO, COUNTED = 24 << 20, 100_000
+#: Restorations of a token that are scored.
+BEST = 3
+#: Characters of a lattice at most; a longer token is read in stretches that overlap by half.
+STRETCH = 64
 #: Least discounted log-odds of a feature: e ** LEAST times likelier in a toxic document, at the least.
 LEAST = 2.5
 #: Lengths of word beginnings, and how many times as many documents a beginning must be in as any one word of it.
@@ -78,6 +80,7 @@ def _codes(text: str) -> np.ndarray:
     return np.where(raw < len(SYMBOL), SYMBOL[np.minimum(raw, len(SYMBOL) - 1)], N - 1).astype(np.int64)
 
 
+@task
 def _count_grams(batches):
     total = np.zeros(N**ORDER, np.int64)
     for batch in slices(batches):
@@ -108,48 +111,67 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 
 def restore(token: str, model: np.ndarray, best: int = BEST) -> list[str]:
-    """The likeliest readings of an obfuscated token, best first; borders in them are spaces."""
+    """The likeliest readings of an obfuscated token, best first; borders in them are spaces.
+
+    The search is exact: every context of three symbols that a path leads to is kept, with its best paths.
+    Of a token of over STRETCH characters the readings of all its stretches are returned."""
     chars = unicodedata.normalize("NFKC", token).lower()
     chars = re.sub(r"(.)\1{2,}", r"\1\1\1", chars)
-    states: dict[tuple[int, int, int], list[tuple[float, str]]] = {(0, 0, 0): [(0.0, "")]}
-    logp, border = model, 0
-
-    def step(new, ctx, paths, symbol, letter, cost):
-        a, b, c = ctx
-        gain = float(logp[symbol + N * (c + N * (b + N * a))]) - cost
-        new[(b, c, symbol)] += [(s + gain, w + letter) for s, w in paths]
-
-    for i, char in enumerate(chars):
-        new: dict = defaultdict(list)
+    if len(chars) > STRETCH:
+        half = STRETCH // 2
+        found = (w for at in range(0, len(chars) - half, half) for w in _search(chars[at : at + STRETCH], model, best))
+        return list(dict.fromkeys(found))
+    return _search(chars, model, best)
+
+
+def _search(chars: str, model: np.ndarray, best: int) -> list[str]:
+    """Viterbi search with the best paths of each context; a context is a number of ORDER - 1 digits."""
+    logp, keep = memoryview(model), N ** (ORDER - 2)
+    states: dict[int, list[tuple[float, str]]] = {0: [(0.0, "")]}
+    previous = ""
+    for char in chars:
         code = ord(char)
         own = int(SYMBOL[code]) if code < len(SYMBOL) else N - 1
+        letters = [(ord(x) - 96, x, REPLACE) for x in LEET.get(char, "")]
+        split = leave = None
+        if own:
+            letters.append((own, char, 0.0))
+            if char == previous:
+                leave = REPEAT
+        else:
+            digit = char.isdigit()
+            if char in MARKS or char in LEET:
+                leave = LEAVE + (char in LEET)
+            else:
+                leave = SPLIT
+            if not digit:
+                split = SPLIT if char in MARKS else SPLIT + 1
+        previous = char
+        new: dict[int, list[tuple[float, str]]] = {}
         for ctx, paths in states.items():
-            if own:
-                step(new, ctx, paths, own, char, 0.0)
-                if i and chars[i - 1] == char:
-                    new[ctx] += [(s - REPEAT, w) for s, w in paths]
-            for letter in LEET.get(char, ""):
-                step(new, ctx, paths, ord(letter) - 96, letter, REPLACE)
-            if not own:
-                if char in MARKS or char in LEET:
-                    new[ctx] += [(s - LEAVE - (char in LEET), w) for s, w in paths]
-                if ctx[2] != border and not char.isdigit():
-                    step(new, ctx, paths, border, " ", SPLIT if char in MARKS else SPLIT + 1)
-                elif char.isdigit():
-                    new[ctx] += [(s - SPLIT, w) for s, w in paths]
-                elif not (char in MARKS or char in LEET):
-                    new[ctx] += [(s - SPLIT, w) for s, w in paths]
-        kept = sorted(((max(v), k) for k, v in new.items()), reverse=True)[:BEAM]
-        states = {k: sorted(set(new[k]), reverse=True)[:best] for _, k in kept}
+            for symbol, letter, cost in letters:
+                gain, to = logp[ctx * N + symbol] - cost, ctx % keep * N + symbol
+                moved = [(s + gain, w + letter) for s, w in paths]
+                new[to] = new[to] + moved if to in new else moved
+            if leave is not None:
+                moved = [(s - leave, w) for s, w in paths]
+                new[ctx] = new[ctx] + moved if ctx in new else moved
+            if split is not None and ctx % N:
+                gain, to = logp[ctx * N] - split, ctx % keep * N
+                moved = [(s + gain, w + " ") for s, w in paths]
+                new[to] = new[to] + moved if to in new else moved
+        states = {k: v if len(v) == 1 else sorted(set(v), reverse=True)[:best] for k, v in new.items()}
     ends = []
-    for (a, b, c), paths in states.items():
-        end = float(logp[border + N * (c + N * (b + N * a))]) if c else 0.0
+    for ctx, paths in states.items():
+        end = logp[ctx * N] if ctx % N else 0.0
         ends += [(s + end, w) for s, w in paths]
     out: list[str] = []
     for _, w in sorted(ends, reverse=True):
         if (w := w.strip()) and w not in out:
             out.append(w)
-    return out[:best]
+            if len(out) == best:
+                break
+    return out
 
 
 def _features(word: str) -> list[str]:
@@ -177,20 +199,22 @@ def _tokens(text: str, model: np.ndarray) -> set[str]:
 
 
 def _count_features(model):
+    @task
     def run(batches):
-        logp, seen, memo = model.value, defaultdict(lambda: [0, 0]), {}
+        logp, memo = model.value, Memo(MEMO)
+        seen: dict[str, int] = {}  # feature -> documents, the toxic ones in the high half
         for batch in slices(batches):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 found = set()
                 for token in _tokens(text or "", logp):
                     if (f := memo.get(token)) is None:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        f = memo[token] = [x for w in readings(token, logp) for x in _features(w)]
+                        f = tuple(dict.fromkeys(x for w in readings(token, logp) for x in _features(w)))
+                        memo.keep(token, f, 5 * len(token) + 70 * len(f))
                     found.update(f)
+                one = 1 << 32 if toxic else 1
                 for f in found:
-                    seen[f][toxic] += 1
-                if len(seen) >= MEMO:
+                    seen[f] = seen.get(f, 0) + one
+                if len(seen) >= COUNTED:
                     yield _counted(seen)
                     seen.clear()
         if seen:
@@ -199,17 +223,19 @@ def _count_features(model):
     return run
 
 
-def _counted(seen) -> pa.RecordBatch:
-    keys = list(seen)
-    columns = [pa.array(keys, pa.string()), *(pa.array([seen[k][i] for k in keys], pa.int64()) for i in (1, 0))]
-    return pa.RecordBatch.from_arrays(columns, ["feature", "pos", "neg"])
+def _counted(seen: dict[str, int]) -> pa.RecordBatch:
+    n = np.fromiter(seen.values(), np.int64, len(seen))
+    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(n >> 32), pa.array(n & 0xFFFFFFFF)], ["feature", "pos", "neg"])
+
+
+NONE = (0.0, "")
 
 
 class Scorer:
     """The fitted model: (character model, feature weights, curve), as broadcast to tasks."""
 
     def __init__(self, shared):
-        self.shared, self.memo = shared, {}
+        self.shared, self.memo = shared, Memo(MEMO)
 
     def evidence(self, text: str | None) -> tuple[float, int]:
         logp, weights, _ = self.shared
@@ -217,12 +243,10 @@ class Scorer:
         for token in _tokens(text or "", logp):
             e = self.memo.get(token)
             if e is None:
-                e = (0.0, "")
+                e = NONE
                 for w in readings(token, logp):
                     e = max(e, (max(weights.get(f, 0.0) for f in _features(w)), w))
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[token] = e
+                e = self.memo.keep(token, e if e[0] > 0 else NONE, len(token))
             if e[0] > 0:
                 found[e[1]] = e[0]
         return sum(sorted(found.values(), reverse=True)[:TOP]), len(found)
@@ -234,6 +258,7 @@ class Scorer:
 
 
 def _scored(shared, extra):
+    @task
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in slices(batches):
@@ -267,7 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # MAX_LABELLED rows at most
-    texts = texts.withColumn("fold", in_fold(F.col("doc_id")))
+    texts = cut(texts.select(in_fold(F.col("doc_id")).alias("fold"), "text", "toxic"))  # read three times
     shared = spark.sparkContext.broadcast(logp)
     sizes = {r.toxic: r.n for r in texts.where("fold != 4").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     positive, negative = sizes.get(1, 0), sizes.get(0, 0)

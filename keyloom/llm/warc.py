@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyloom.llm.text import task
+
 #: Payloads of fewer bytes are always kept.
 REVISIT_BYTES = 1000
 #: Records of a file at most.
@@ -104,6 +106,7 @@ _SCHEMA = (
 )
 
 
+@task
 def _parse(batches):
     names = [f.split()[0] for f in _SCHEMA.split(", ")]
     for batch in batches:
