@@ -61,6 +61,8 @@ _SPACED = re.compile(rf"(?<!\S){_LETTER}(?:{_MARK}+{_LETTER}){{2,}}(?![^\W_])")
 _APART = re.compile(rf"{_MARK}+")
 #: A sign of leetspeak anywhere, marks between letters or signs, or a repeated letter.
 _ODD = re.compile(rf"{_SIGN}|[^\W_]{_MARK}+[^\W_]|([^\W\d_])\1")
+_OUTER, _DIGITS = "".join(c for c in map(chr, range(33, 0x250)) if not c.isalnum() and c not in LEET), "0123456789"
+_DOUBLE = re.compile(r"(.)\1+")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -117,6 +119,8 @@ def restore(token: str, model: np.ndarray, best: int = BEST) -> list[str]:
     Of a token of over STRETCH characters the readings of all its stretches are returned."""
     chars = unicodedata.normalize("NFKC", token).lower()
     chars = re.sub(r"(.)\1{2,}", r"\1\1\1", chars)
+    if chars.isalpha() and len(twice := list(_DOUBLE.finditer(chars))) == 1 and len(twice[0][0]) == 2:
+        return [chars, chars[: twice[0].start()] + chars[twice[0].start() + 1 :]]  # all that the lattice holds
     if len(chars) > STRETCH:
         half = STRETCH // 2
         found = (w for at in range(0, len(chars) - half, half) for w in _search(chars[at : at + STRETCH], model, best))
@@ -138,14 +142,11 @@ def _search(chars: str, model: np.ndarray, best: int) -> list[str]:
             letters.append((own, char, 0.0))
             if char == previous:
                 leave = REPEAT
-        else:
-            digit = char.isdigit()
-            if char in MARKS or char in LEET:
-                leave = LEAVE + (char in LEET)
-            else:
-                leave = SPLIT
-            if not digit:
-                split = SPLIT if char in MARKS else SPLIT + 1
+        elif not char.isdigit():
+            leave = LEAVE + (char in LEET) if char in MARKS or char in LEET else SPLIT
+            split = SPLIT if char in MARKS else SPLIT + 1
+        elif not letters:
+            leave = SPLIT
         previous = char
         new: dict[int, list[tuple[float, str]]] = {}
         for ctx, paths in states.items():
@@ -178,14 +179,27 @@ def _features(word: str) -> list[str]:
     return [word] + [f"{word[:k]}*" for k in PREFIXES if len(word) > k]
 
 
+def _forms(token: str) -> set[str]:
+    """The character sequences a token's lattices are made of: without outer marks, with and without outer
+    signs of leetspeak, and without outer digits, which may be read as letters or be none of the word."""
+    inner, plain = token.strip(_OUTER), _EDGE.sub("", token)
+    out = {inner, plain}
+    if plain and (plain[0].isdigit() or plain[-1].isdigit()) and not plain.isdigit():
+        out |= {plain.rstrip(_DIGITS), plain.lstrip(_DIGITS), plain.strip(_DIGITS)}
+    return out
+
+
 def readings(token: str, model: np.ndarray) -> list[str]:
     """The words a token stands for: itself without outer marks, and restored if its lattice has paths."""
     plain = _EDGE.sub("", token).lower()
     out = [plain] if plain else []
-    for form in {token, plain}:
-        if len(form) > 2 and _ODD.search(form):
-            out += [w for text in restore(form, model) for w in text.split()]
-    return out
+    if _ODD.search(token):
+        for form in _forms(token):
+            if len(form) > 2 and _ODD.search(form):
+                out += [w for text in restore(form, model) for w in text.split()]
+            elif form:
+                out.append(form.lower())
+    return list(dict.fromkeys(out))
 
 
 def _tokens(text: str, model: np.ndarray) -> set[str]:
