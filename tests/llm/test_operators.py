@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -287,6 +288,9 @@ def test_extraction_on_table(spark):
     assert got == {k: (v, len(v)) for k, v in want.items()}
 
 
+PARAGRAPH = "A paragraph of the article, long enough to be its content, with a full sentence in it. And then another one follows."
+
+
 def test_extraction_of_other_layouts():
     page = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><div id="cookie-banner">We use cookies <button>OK</button></div>
     <div class="content"><h1>Title here</h1><p>First para with <a href=x>a link</a> and text that is long enough.<p>Second &eacute; para &lt;b&gt; that is long.</div>
@@ -297,6 +301,59 @@ def test_extraction_of_other_layouts():
     assert extract.main_text("<article><p>unclosed <b>and stray</i> tags &amp; <!-- no end") == "unclosed and stray tags &"
 
 
+@pytest.mark.parametrize("body", ["", "has-sidebar", "comments-open", "single-post no-comments", "form-page"])
+@pytest.mark.parametrize("around", ["<article>{}</article>", '<div class="x2">{}</div>', '<div class="left-sidebar-page"><div><h1>Title</h1>{}</div></div>', "<form><h1>T</h1>{}</form>"])
+@pytest.mark.parametrize("tag", ["p", "div"])
+def test_extraction_keeps_whole_articles(body, around, tag):
+    """Whatever the body is called and around however plain elements, also without any mark of an article."""
+    page = f'<html><body class="{body}">{around.format(f"<{tag}>{PARAGRAPH}</{tag}>" * 5)}<footer>Footer of the site.</footer></body></html>'
+    found = extract.main_text(page).split("\n")
+    assert found[-5:] == [PARAGRAPH.strip()] * 5 and "Footer of the site." not in found
+
+
+def test_cut_decides_what_blocks_alone_would_not():
+    items = "".join(f"<li>Item {i}</li>" for i in range(6))
+    page = f"<article><p>{PARAGRAPH}</p><ul>{items}</ul><p>End.</p><aside><p>{PARAGRAPH}</p></aside></article><div>{PARAGRAPH}</div>"
+    p = extract.read(page)
+    z, _ = extract.graph(p, extract.PRIOR)
+    kept = extract.label(p)
+    assert kept == [True] * 8 + [False] * 2 and sum(x > 0 for x in z[:8]) < 8
+
+
+def test_cut_changes_labels_on_table(spark):
+    pages = table(spark, MID, "pages")
+    weights = extract.fit(pages)
+    changed = n = 0
+    for r in pages.collect():
+        p = extract.read(r.html)
+        z, _ = extract.graph(p, weights)
+        changed += sum((x > 0) != kept for x, kept in zip(z, extract.label(p, weights)))
+        n += len(p.texts)
+    assert 0 < changed < n
+    plain = pages.select("page_id", "url", F.regexp_replace(F.regexp_replace("html", " class=\"[^\"]*\"", ""), "(</?)(article|nav|footer)>", "$1div>").alias("html"))
+    want = {r.page_id: article(r.html) for r in pages.collect()}
+    same = lambda a, b: sum((Counter(a.split("\n")) & Counter(b.split("\n"))).values())
+    rows = [(want[r.page_id], r.text) for r in extract.extract(plain).collect()]
+    right, found = sum(same(w, t) for w, t in rows), sum(len(t.split("\n")) for _, t in rows)
+    assert right > 0.99 * sum(len(w.split("\n")) for w, _ in rows) and right > 0.98 * found
+
+
+def test_extraction_odd_rows(spark):
+    rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>"), (3, "u", "plain words only"), (4, "u", f"<article><p>{PARAGRAPH}</p></article>"), (4, "u", f"<article><p>{PARAGRAPH}</p></article>")]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = extract.extract(pages).collect()
+    assert sorted((r.page_id or 0, r.text) for r in got)[:4] == [(0, ""), (1, ""), (2, ""), (3, "")] and len(got) == len(rows)
+    assert [r.text for r in got if r.page_id == 4] == [PARAGRAPH.strip()] * 2
+    assert extract.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("junk", ['<a "', "<div>", "</p><div>", '<a href="', "<!--x", "<p>x", "<svg>", "< ", '<div class="a b">x</div>', "<li><a href=x>y</a>", "<a b='"])
+def test_extraction_is_linear(junk):
+    began = time.process_time()
+    extract.main_text(junk * 20_000)
+    assert time.process_time() - began < 20  # quadratic reading takes minutes
+
+
 def test_extraction_after_unclosed_and_empty_elements():
     body = "A paragraph of the article that is long enough to be its content."
     for tag in ('<svg class="x"/>', "<math/>", "<object data=x>", "<canvas>", "<svg/><p>one</p><svg></svg>"):
@@ -304,6 +361,23 @@ def test_extraction_after_unclosed_and_empty_elements():
     assert extract.main_text(f"<article><p>{body}</p><script>var a = 1</article>") == body
 
 
+def test_labels_are_cheapest_of_all(rounds=80):
+    """Small random pages: the labelling costs what the cheapest of all labellings of blocks and elements costs."""
+    rng = random.Random(5)
+    for _ in range(rounds):
+        page = ""
+        for _ in range(rng.randrange(1, 6)):
+            tag = rng.choice(["p", "div", "li", "article", "nav", "h2"])
+            page += f"<{tag}>{'word. ' * rng.randrange(1, 30)}" + rng.choice(["", f"</{tag}>"])
+        p = extract.read(page)
+        z, edges = extract.graph(p, extract.PRIOR)
+        price = [extract._two(x) for x in z]
+        cost = lambda side: sum(c[s] for c, s in zip(price, side)) + sum(c for (i, j), c in edges.items() if side[i] != side[j])
+        if len(z) < 11:
+            side = extract.minimum_cut([c[0] for c in price], [c[1] for c in price], edges)
+            assert abs(cost(side) - min(cost([m >> i & 1 for i in range(len(z))]) for m in range(2 ** len(z)))) < 1e-6
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(60):
