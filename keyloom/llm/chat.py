@@ -1,11 +1,13 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-Tokens of a turn are counted as its words and marks plus the template's. Prefix sums over a conversation,
-taken within chunks of CHUNK turn numbers and over the chunks' totals, place every turn on a line that is
-cut every half body budget: a window holds the turns that end in its stretch, so it exceeds the stretch by
-less than one turn, and no turn is split. A window starts with the conversation's system turn, repeats the
-last turns of the window before it as far as the history budget goes, and only its own assistant turns are
-targets: repeated ones are masked.
+Tokens of a turn are counted as its words and marks plus the template's FRAME; this is the unit of all
+budgets here, not the ids of a tokenizer. Prefix sums over a conversation, taken within chunks of CHUNK turn
+numbers and over the chunks' totals, place every turn on a line. A window holds the conversation's system
+turn, at most `history` tokens of the last turns of the window before it, and its own turns. For those the
+budget leaves a room, and the line is cut every half of it: a turn of at most half a room goes with the
+others that end in its stretch, whose sum is less than a room; a longer one has a window of its own. So no
+window of several own turns exceeds the budget, no turn is split, and a window is chosen by sums alone,
+without a walk along the conversation. Only own assistant turns are targets: repeated ones are masked.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Tokens of a window, of which the history may take some; a longer turn has a window of its own.
+#: Tokens of a window, and those of them that the history may take at most.
 BUDGET, HISTORY = 2048, 256
 #: Turn numbers that are summed in one task at most, before the chunks' totals are.
 CHUNK = 64
@@ -40,81 +42,124 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<|n|>"), F.lit("\n")))
 
 
-def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """(conv_id, window, n_repeated, n_turns, formatted, targets) of every conversation.
+def tokens(text: Column) -> Column:
+    """Words and marks of a text, and FRAME."""
+    return (F.size(F.split(text, r"(?U)\s+|(?<=\w)(?=[^\w\s])")) + FRAME).cast("long")
 
-    targets: (start, length) in code points of each own assistant text within formatted; n_repeated turns
-    at the start (system turn, history) are not the window's own. Turns are ordered by turn, role, text,
-    nulls first; a null role or text is empty; a null conv_id is a conversation; repeated rows are turns of
-    their own. An empty table has no windows. Other columns are not read.
-    """
+
+def _placed(turns: DataFrame, budget: int, history: int) -> DataFrame:
+    """Each turn with its place `at`, the end of its tokens on its conversation's line, its window, the next
+    turn's window, and the tokens of the conversation's system turn; c and n are conv_id in a form that joins nulls."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("c"),
+        F.col("conv_id").isNull().alias("n"),
+        F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(-(2**60))) / CHUNK).alias("chunk"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         text.alias("text"),
-        (F.size(F.split(text, r"\s+|(?<=\w)(?=[^\w\s])")) + FRAME).cast("long").alias("tokens"),
-        F.floor(F.coalesce(F.col("turn").cast("long"), F.lit(-(2**60))) / CHUNK).alias("chunk"),
+        tokens(text).alias("tokens"),
     )
+    key = ["c", "n", "chunk"]
     order = [F.col("turn").asc_nulls_first(), "role", "text"]
-    in_chunk = Window.partitionBy("conv_id", "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    base = base.withColumn("at", F.row_number().over(in_chunk).cast("long")).withColumn("sum", F.sum("tokens").over(in_chunk))
-    totals = base.groupBy("conv_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t"))
-    before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        F.col("conv_id").alias("c"), F.col("chunk").alias("k"),
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t_before"),
+    in_chunk = Window.partitionBy(*key).orderBy(*order)
+    base = base.withColumns({
+        "at": F.row_number().over(in_chunk).cast("long"), "end": F.sum("tokens").over(in_chunk.rowsBetween(Window.unboundedPreceding, 0)),
+        "after": F.lead("tokens").over(in_chunk),
+    })
+    first = F.col("at") == 1
+    totals = base.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("turns"), F.sum("tokens").alias("sum"), F.max(F.when(first, F.col("tokens"))).alias("first_tokens"),
+        F.max(F.when(first & (F.col("role") == "system"), F.col("tokens"))).alias("system"),
     )
-    placed = base.join(offsets, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("chunk") == F.col("k"))).select(
-        "conv_id", "role", "text", "tokens", (F.col("at") + F.col("n_before")).alias("at"), (F.col("sum") + F.col("t_before")).alias("end")
+    along = Window.partitionBy("c", "n").orderBy("chunk")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *key,
+        F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("turns_before"),
+        F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("sum_before"),
+        F.coalesce(F.first("system").over(along), F.lit(0)).alias("system"),
+        F.lead("first_tokens").over(along).alias("next_tokens"),
     )
-    stretch = max(1, (budget - history) // 2)
-    placed = placed.withColumn("window", F.expr(f"end div {stretch}")).withColumn("system", (F.col("at") == 1) & (F.col("role") == "system"))
-
-    spans = placed.groupBy("conv_id", "window").agg(F.max("end").alias("last_end"))
-    following = spans.select(
-        F.col("conv_id").alias("c"), F.col("window").alias("w"), "last_end",
-        F.lead("window").over(Window.partitionBy("conv_id").orderBy("window")).alias("next_window"),
+    rows = base.join(offsets, key).withColumns({"at": F.col("at") + F.col("turns_before"), "end": F.col("end") + F.col("sum_before")})
+    # Where a long system turn leaves less than the history, the history gives way.
+    room = F.when(budget - F.col("system") >= 2 * history, budget - F.col("system") - history).otherwise(budget - F.col("system"))
+    half = F.greatest(F.lit(1), room) / 2
+    window = lambda end, size: 2 * F.floor(end / half) + F.when(size > half, 0).otherwise(1)
+    return rows.withColumn("after", F.coalesce("after", "next_tokens")).select(
+        "c", "n", "role", "text", "tokens", "at", "system",
+        (F.col("system") > 0).alias("headed"),
+        window(F.col("end"), F.col("tokens")).alias("window"),
+        window(F.col("end") + F.col("after"), F.col("after")).alias("next_window"),
     )
-    own = placed.join(following, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") == F.col("w"))).drop("c", "w")
-    repeats = ~F.col("system") & (F.col("last_end") - F.col("end") + F.col("tokens") <= history) & F.col("next_window").isNotNull()
-    piece = lambda kind, window: F.struct(window.alias("window"), F.lit(kind).alias("kind"))
-    uses = F.filter(
-        F.array(piece(2, F.col("window")), F.when(repeats, piece(1, F.col("next_window")))), lambda u: u.isNotNull()
+
+
+def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """(conv_id, window, n_repeated, n_turns, n_tokens, formatted, targets) of every conversation.
+
+    targets: (start, length) in code points of each own assistant text within formatted; n_repeated turns
+    at the start (system turn, history) are not the window's own. n_tokens exceeds budget only in a window
+    of one own turn, which then repeats no history. A system turn is the first turn, if its role is
+    "system". Turns are ordered by turn, role, text, nulls first; a null role or text is empty; a null
+    conv_id is a conversation; repeated rows are turns of their own. An empty table has no windows. Other
+    columns are not read.
+    """
+    rows = _placed(turns, budget, history)
+    turn = F.struct("at", "role", "text", "tokens")
+    own = rows.groupBy("c", "n", "window").agg(
+        F.array_sort(F.collect_list(turn)).alias("own"),  # a room's tokens, or one turn
+        F.max(F.when(F.col("next_window") != F.col("window"), F.col("next_window"))).alias("next_window"),
+        F.max("system").alias("system"),
+        F.sum("tokens").alias("own_tokens"),
     )
-    rows = own.select("conv_id", "role", "text", "at", F.explode(uses).alias("use")).select("conv_id", "role", "text", "at", "use.*")
-    heads = placed.where("system").select(F.col("conv_id").alias("c"), "role", "text", "at", F.col("window").alias("home"))
-    others = spans.select("conv_id", "window").join(heads, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("window") != F.col("home")))
-    rows = rows.unionByName(others.select("conv_id", "role", "text", "at", "window", F.lit(0).alias("kind")))
-
-    per = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(F.struct("kind", "at", "role", "text"))).alias("turns"))
-    head = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
-    pieces = F.transform(
-        "turns",
-        lambda t: F.struct(
-            t["kind"].alias("kind"), F.concat(head(t), escape(t["text"]), F.lit(f"{END}\n")).alias("s"),
-            F.length(head(t)).alias("skip"), F.length(escape(t["text"])).alias("n"), (t["role"] == "assistant").alias("target"),
+    # The last turns of a window that the next one repeats: as many as the history has room for.
+    tail = F.aggregate(
+        F.reverse("own"),
+        F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<at:bigint,role:string,text:string,tokens:bigint>>").alias("kept")),
+        lambda acc, t: F.struct(
+            (acc["sum"] + t["tokens"]).alias("sum"),
+            F.when((acc["sum"] + t["tokens"] <= history) & ~((t["at"] == 1) & (F.col("system") > 0)), F.concat(F.array(t), acc["kept"]))
+            .otherwise(acc["kept"]).alias("kept"),
         ),
+        lambda acc: acc["kept"],
+    )
+    last = own.where("next_window is not null").select("c", "n", F.col("next_window").alias("window"), tail.alias("past")).where("size(past) > 0")
+    head = rows.where("at = 1 and headed").select("c", "n", F.col("window").alias("home"), F.array(turn).alias("head"))
+    heads = own.select("c", "n", "window").join(head, ["c", "n"]).where("window != home").drop("home")
+    none = F.array().cast("array<struct<at:bigint,role:string,text:string,tokens:bigint>>")
+    per = own.join(last, ["c", "n", "window"], "left").join(heads, ["c", "n", "window"], "left")
+    per = per.withColumns({"past": F.coalesce("past", none), "head": F.coalesce("head", none)})
+    total = lambda ts: F.aggregate(ts, F.lit(0).cast("long"), lambda acc, t: acc + t["tokens"])
+    fits = F.col("own_tokens") + total(F.col("past")) + total(F.col("head")) <= budget
+    per = per.withColumn("past", F.when(fits, F.col("past")).otherwise(none))
+
+    start = lambda t: F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))
+    piece = lambda t, mine: F.struct(
+        F.concat(start(t), escape(t["text"]), F.lit(f"{END}\n")).alias("s"), F.length(start(t)).alias("skip"),
+        F.length(escape(t["text"])).alias("n"), (mine & (t["role"] == "assistant")).alias("target"),
+    )
+    repeated = F.concat("head", "past")
+    pieces = F.concat(F.transform(repeated, lambda t: piece(t, F.lit(False))), F.transform("own", lambda t: piece(t, F.lit(True))))
+    per = per.select(
+        F.when(~F.col("n"), F.col("c")).alias("conv_id"), "window", F.size(repeated).alias("n_repeated"),
+        (F.col("own_tokens") + total(repeated)).alias("n_tokens"), F.inline(F.array(F.struct(pieces.alias("pieces")))),
     )
-    per = per.select("conv_id", "window", F.inline(F.array(F.struct(pieces.alias("pieces")))))
     targets = F.aggregate(
         "pieces",
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("out")),
         lambda acc, p: F.struct(
             (acc["at"] + F.length(p["s"])).alias("at"),
-            F.when(
-                p["target"] & (p["kind"] == 2),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + p["skip"]).alias("start"), p["n"].alias("length")))),
-            ).otherwise(acc["out"]).alias("out"),
+            F.when(p["target"], F.concat(acc["out"], F.array(F.struct((acc["at"] + p["skip"]).alias("start"), p["n"].alias("length")))))
+            .otherwise(acc["out"]).alias("out"),
         ),
         lambda acc: acc["out"],
     )
     return per.select(
         "conv_id",
         "window",
-        F.size(F.filter("pieces", lambda p: p["kind"] < 2)).alias("n_repeated"),
+        "n_repeated",
         F.size("pieces").alias("n_turns"),
+        "n_tokens",
         F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"),
         targets.alias("targets"),
     )
