@@ -14,6 +14,15 @@ CHANGELOG = "version long, ts_us long, op string, ns string, key string, value s
 KEY = ["ns", "key"]
 
 
+def keys_of(requests: DataFrame, live: DataFrame) -> list[str]:
+    """The columns by which requests meet live rows: (ns, key), or key where neither has namespaces.
+
+    Equal keys of two namespaces are two keys, so requests on a frame with namespaces must name theirs."""
+    if "ns" in live.columns and "ns" not in requests.columns:
+        raise ValueError("requests on a keyspace with namespaces need a column ns")
+    return KEY if "ns" in live.columns else ["key"]
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch of a timestamp without time zone, read as UTC."""
     return F.unix_micros(ts.cast("timestamp"))

@@ -1,4 +1,6 @@
-"""Hashes, lists and sets as rows: (key, field, value, ...), (key, seq, value) and (key, member)."""
+"""Hashes, lists and sets as rows: (key, field, value, op, expiry_us, ts_us), (key, seq, value) and (key, member).
+
+A hash field is live as a key is: deleted and expired fields are not read."""
 
 from __future__ import annotations
 
@@ -6,24 +8,52 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.model import expiry
 from keyloom.operators.state import is_live, ttl_remaining
 
 
-def hgetall(fields: DataFrame, key: str) -> DataFrame:
-    return fields.where(F.col("key") == key).select("field", "value").orderBy("field")
+def hget(fields: DataFrame, key: str, field: str, now_us: int) -> DataFrame:
+    return fields.where((F.col("key") == key) & (F.col("field") == field) & is_live(now_us)).select("value")
+
+
+def hgetall(fields: DataFrame, key: str, now_us: int) -> DataFrame:
+    return fields.where((F.col("key") == key) & is_live(now_us)).select("field", "value").orderBy("field")
+
+
+def hash_maps(fields: DataFrame, now_us: int) -> DataFrame:
+    """One map per hash, as a client holds it; a hash that outgrows a row is read by hgetall."""
+    entries = F.collect_list(F.struct("field", "value"))
+    return fields.where(is_live(now_us)).groupBy("key").agg(F.map_from_entries(entries).alias("fields"))
+
+
+def hkeys(fields: DataFrame, key: str, now_us: int) -> DataFrame:
+    return hgetall(fields, key, now_us).select("field")
 
 
-def hash_maps(fields: DataFrame) -> DataFrame:
-    """One map per hash."""
-    return fields.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
+def hlen(fields: DataFrame, now_us: int) -> DataFrame:
+    return fields.where(is_live(now_us)).groupBy("key").agg(F.count(F.lit(1)).alias("fields"))
 
 
-def hkeys(fields: DataFrame, key: str) -> DataFrame:
-    return fields.where(F.col("key") == key).select("field").orderBy("field")
+def hset(fields: DataFrame, written: DataFrame, now_us: int) -> tuple[DataFrame, DataFrame]:
+    """The fields after written (pos, key, field, value[, ttl_s]), and (key, created): how many of the fields
+    written were not live. Of several writes of a field the last by pos counts."""
+    ttl = F.col("ttl_s") if "ttl_s" in written.columns else F.lit(0)
+    last = written.withColumn("ttl_s", ttl).groupBy("key", "field").agg(F.max_by(F.struct("value", "ttl_s"), "pos").alias("w"))
+    at = F.lit(now_us).cast("long")
+    new = last.select("key", "field", F.col("w.value").alias("value"), F.lit("PUT").alias("op"), expiry(at, F.col("w.ttl_s")).alias("expiry_us"), at.alias("ts_us"))
+    have = fields.where(is_live(now_us)).select("key", "field", F.lit(1).alias("have"))
+    created = new.join(have, ["key", "field"], "left").groupBy("key").agg(F.count_if(F.col("have").isNull()).alias("created"))
+    return fields.join(new.select("key", "field"), ["key", "field"], "left_anti").unionByName(new), created
 
 
-def hlen(fields: DataFrame) -> DataFrame:
-    return fields.groupBy("key").agg(F.count(F.lit(1)).alias("fields"))
+def hdel(fields: DataFrame, gone: DataFrame, now_us: int) -> tuple[DataFrame, DataFrame]:
+    """The fields after gone (key, field) are deleted, as tombstones, and (key, deleted): how many were live."""
+    mark = gone.select("key", "field").distinct().withColumn("gone", F.lit(True))
+    joined = fields.join(mark, ["key", "field"], "left").withColumn("hit", F.coalesce(F.col("gone") & is_live(now_us), F.lit(False)))
+    deleted = joined.groupBy("key").agg(F.count_if("hit").alias("deleted"))
+    value, op = F.when(~F.col("hit"), F.col("value")), F.when(F.col("hit"), "DEL").otherwise(F.col("op"))
+    at = F.when(F.col("hit"), F.lit(now_us).cast("long")).otherwise(F.col("ts_us"))
+    return joined.withColumns({"value": value, "op": op, "ts_us": at}).select(*fields.columns), deleted
 
 
 def httl(fields: DataFrame, now_us: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.fields import compare, field_value
-from keyloom.operators.scan import limited
+from keyloom.operators.scan import escape, limited  # noqa: F401  (index keys are shown escaped)
 
 
 class Catalog:
@@ -73,10 +73,11 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return net.select(F.when(F.col("d") > 0, "add").otherwise("remove").alias("change"), *cols)
 
 
-def cardinality(index: DataFrame) -> DataFrame:
-    return index.groupBy("rule").agg(F.countDistinct("field_value").alias("values"), F.count(F.lit(1)).alias("entries"))
+def kept(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(rule, field_value, ns, key): the entries that an update leaves as they are."""
+    cols = ["rule", "field_value", "ns", "key"]
+    return old.select(*cols).intersect(new.select(*cols))
 
 
-def escape(value: Column) -> Column:
-    """A value as shown within an index key."""
-    return F.replace(F.replace(value, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+def cardinality(index: DataFrame) -> DataFrame:
+    return index.groupBy("rule").agg(F.countDistinct("field_value").alias("values"), F.count(F.lit(1)).alias("entries"))

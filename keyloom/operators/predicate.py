@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.fields import compare, field_value
+from keyloom.model import keys_of
 from keyloom.operators.scan import limited
 
 #: name -> condition on (key, value); registering a name again replaces it.
@@ -36,7 +37,8 @@ def predicate_scan(live: DataFrame, name: str, prefix: str = "", limit: int = 0)
 
 
 def predicate_filter(live: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """(pos, key, matches) for every requested key in order; a missing key does not match."""
-    hit = live.select("key", stored(name)(F.col("key"), F.col("value")).alias("ok"))
-    joined = keys.join(hit, "key", "left")
-    return joined.select("pos", "key", F.coalesce("ok", F.lit(False)).alias("matches")).orderBy("pos")
+    """(pos, [ns,] key, matches) for every requested key in order; a missing key does not match."""
+    by = keys_of(keys, live)
+    hit = live.select(*by, stored(name)(F.col("key"), F.col("value")).alias("ok"))
+    joined = keys.join(hit, by, "left")
+    return joined.select("pos", *by, F.coalesce("ok", F.lit(False)).alias("matches")).orderBy("pos")

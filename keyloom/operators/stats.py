@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.functions.bind import position
+
+#: Replicas at most, as a power of two: their acks travel as one array.
+ACK_BITS = 16
+#: Bits of a version that tell the writes of one range apart.
+RANGE_BITS = 16
 #: The percentiles of a latency report.
 PERCENTILES = (("p50", 0.5), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99), ("p999", 0.999))
 
@@ -67,20 +73,45 @@ def quorum(ops: DataFrame, acks: DataFrame, factor: int) -> DataFrame:
     """(seq, acked, committed): the replicas that have each op, the writer included, against a majority.
 
     acks: last_ack per replica, a few rows that are summed up as one sorted array."""
-    sorted_ = acks.agg(F.collect_list("last_ack").alias("acks")).select("acks", F.lit(1).alias("one"))
+    sorted_ = _sorted_acks(acks)
     joined = ops.select("seq", F.lit(1).alias("one")).join(F.broadcast(sorted_), "one")
-    acked = F.size(F.filter("acks", lambda a: a >= F.col("seq"))) + 1
+    acked = F.size("acks") - position(F.col("acks"), F.col("seq"), bits=ACK_BITS) + 1
     return joined.select("seq", acked.cast("long").alias("acked"), (acked >= factor // 2 + 1).alias("committed"))
 
 
+def _sorted_acks(acks: DataFrame) -> DataFrame:
+    """One row (acks, one): the replicas' last acks, sorted; more than 2 ** ACK_BITS replicas are an error."""
+    out = acks.agg(F.array_sort(F.collect_list("last_ack")).alias("acks"))
+    many = F.raise_error(F.lit("too many replicas")).cast("array<bigint>")
+    return out.select(F.when(F.size("acks") > 2**ACK_BITS, many).otherwise(F.col("acks")).alias("acks"), F.lit(1).alias("one"))
+
+
 def anti_entropy(ops: DataFrame, replicas: DataFrame) -> DataFrame:
-    """(replica, seq): what each replica still lacks. replicas has one row per replica and is small."""
-    return ops.select("seq").join(F.broadcast(replicas.select("replica", "last_ack")), F.col("seq") > F.col("last_ack")).select("replica", "seq")
+    """(replica, seq): what each replica still lacks, its result being all of these pairs. The replicas
+    travel as one sorted array, and an op meets only those that lack it."""
+    many = F.raise_error(F.lit("too many replicas")).cast("array<struct<last_ack:bigint,replica:bigint>>")
+    packed = replicas.agg(F.array_sort(F.collect_list(F.struct(F.col("last_ack").cast("long").alias("last_ack"), F.col("replica").cast("long").alias("replica")))).alias("rs"))
+    packed = packed.select(F.when(F.size("rs") > 2**ACK_BITS, many).otherwise(F.col("rs")).alias("rs"), F.lit(1).alias("one"))
+    joined = ops.select("seq", F.lit(1).alias("one")).join(F.broadcast(packed), "one")
+    behind = position(F.col("rs"), F.col("seq"), lambda r, seq: r["last_ack"] < seq, bits=ACK_BITS)
+    return joined.select("seq", F.explode(F.slice("rs", F.lit(1), behind)).alias("r")).select("r.replica", "seq")
 
 
 def replica_lag(ops: DataFrame, replicas: DataFrame) -> DataFrame:
-    missing = ops.join(F.broadcast(replicas.select("replica", "last_ack")), F.col("seq") > F.col("last_ack"))
-    return missing.groupBy("replica").agg(F.count(F.lit(1)).alias("ops_behind"), F.sum("size").alias("bytes_behind"))
+    """(replica, ops_behind, bytes_behind) of the replicas that lack something: ops are summed by how many
+    replicas lack them, and a replica's share is a running sum over those few sums."""
+    joined = ops.select("seq", "size", F.lit(1).alias("one")).join(F.broadcast(_sorted_acks(replicas)), "one")
+    behind = position(F.col("acks"), F.col("seq"), bits=ACK_BITS)
+    sums = joined.groupBy(behind.alias("behind")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).where("behind > 0")
+    # The replica of rank r, from the one furthest behind on, lacks the ops that r or more replicas lack.
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("last_ack", "replica"))  # 2 ** ACK_BITS rows at most
+    ranked = replicas.select("replica", "last_ack").withColumn("rank", rank)
+    upto = Window.partitionBy(F.lit(1)).orderBy(F.desc("at"))
+    both = ranked.select(F.col("rank").alias("at"), "replica", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("b")).unionByName(
+        sums.select(F.col("behind").alias("at"), F.lit(None).cast("long").alias("replica"), "n", F.col("b").cast("long").alias("b"))
+    )
+    summed = both.select("replica", F.sum("n").over(upto).alias("ops_behind"), F.sum("b").over(upto).alias("bytes_behind"))
+    return summed.where("replica is not null and ops_behind > 0")
 
 
 def quota_snapshot(live: DataFrame, limits: DataFrame) -> DataFrame:
@@ -93,10 +124,15 @@ def quota_snapshot(live: DataFrame, limits: DataFrame) -> DataFrame:
 def admit_new_keys(writes: DataFrame, max_keys: int) -> DataFrame:
     """(ns, key, admitted): a namespace's first max_keys distinct keys in order of version are admitted.
 
-    Keys are reduced to their first write before a namespace is ordered."""
+    Keys are reduced to their first write; a namespace's keys are then counted in two steps, by ranges of
+    versions and within the range that the limit falls into, so no task orders a whole namespace."""
     first = writes.groupBy("ns", "key").agg(F.min("version").alias("version"))
-    nth = F.row_number().over(Window.partitionBy("ns").orderBy("version"))
-    return first.select("ns", "key", (nth <= max_keys).alias("admitted"))
+    ranges = first.groupBy("ns", F.shiftright("version", RANGE_BITS).alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("ns").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranges.select("ns", "r", "n", (upto - F.col("n")).alias("before"))
+    joined = first.withColumn("r", F.shiftright("version", RANGE_BITS)).join(placed, ["ns", "r"])
+    nth = F.row_number().over(Window.partitionBy("ns", "r").orderBy("version")) + F.col("before")
+    return joined.select("ns", "key", (nth <= max_keys).alias("admitted"))
 
 
 def archive_stats(segments: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.functions.fields import compare, field_value
+from keyloom.functions.fields import compare, field_value, human_bytes, human_seconds
 from keyloom.model import changelog, micros
-from keyloom.operators import atomic, collections, index, placement, predicate, scan, state, stats, vector
+from keyloom.operators import atomic, collections, index, placement, predicate, scan, state, stats, vector, write
 from keyloom.plans import command
 from keyloom.sources import backup
 from keyloom.streaming import feed
@@ -36,6 +36,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh path below the shared folder that the session names; a folder of this machine only where all
+    tasks run on it and none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
+    return f"{named.rstrip('/')}/keyloom-{uuid.uuid4().hex}"
+
+
 def padded(c: str, width: int = 10) -> Column:
     return F.lpad(F.col(c).cast("string"), width, "0")
 
@@ -82,20 +94,40 @@ def _(spark, d):
     return scan.get(order_rows(spark, d), "2-HIGH", "0000000002")
 
 
-ASKED = ["0000000007", "0000000003", "9999999999", "0000000003", "0000000100"]
+ASKED = [(p, k) for p in ("2-HIGH", "5-LOW") for k in ("0000000007", "0000000003", "9999999999", "0000000003", "0000000100")]
 
 
-@query("mget_ordered", f"""WITH {ORD}, k(pos, key) AS (VALUES {', '.join(f"({i}, '{k}')" for i, k in enumerate(ASKED))})
-    SELECT pos::BIGINT AS pos, k.key, od.key IS NOT NULL AS found, value FROM k LEFT JOIN od ON k.key = od.key""")
+@query("mget_ordered", f"""WITH {ORD}, k(pos, ns, key) AS (VALUES {', '.join(f"({i}, '{n}', '{k}')" for i, (n, k) in enumerate(ASKED))})
+    SELECT pos::BIGINT AS pos, k.ns, k.key, od.key IS NOT NULL AS found, value FROM k LEFT JOIN od ON k.ns = od.ns AND k.key = od.key""")
 def _(spark, d):
-    return scan.mget(order_rows(spark, d), spark.createDataFrame(list(enumerate(ASKED)), "pos long, key string"), len(ASKED))
+    rows = [(i, n, k) for i, (n, k) in enumerate(ASKED)]
+    return scan.mget(order_rows(spark, d), spark.createDataFrame(rows, "pos long, ns string, key string"), len(ASKED))
 
 
 @query("mget_many", f"""WITH {ORD} SELECT l_orderkey * 8 + l_linenumber AS pos, lpad(l_orderkey::VARCHAR, 10, '0') AS key,
     od.key IS NOT NULL AS found, value FROM lineitem LEFT JOIN od ON od.key = lpad(l_orderkey::VARCHAR, 10, '0')""")
 def _(spark, d):
     asked = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), padded("l_orderkey").alias("key"))
-    return scan.mget(order_rows(spark, d), asked)
+    return scan.mget(order_rows(spark, d).drop("ns"), asked)
+
+
+def type_users(spark, d) -> DataFrame:
+    """A key per event type and user: the same user is a key of several namespaces."""
+    e = table(spark, d, "events")
+    log = changelog(e, version=F.col("event_id"), ts_us=micros(F.col("ts")), ns=F.col("event_type"), key=padded("user_id"), value=F.col("event_id").cast("string"))
+    return state.latest_per_key(log)
+
+
+_TU = """tu AS (SELECT event_type AS ns, lpad(user_id::VARCHAR, 10, '0') AS key, event_id::VARCHAR AS value, epoch_us(ts) AS ts_us, event_id AS version
+    FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1)"""
+
+
+@query("mget_namespaces", f"""WITH {_TU}, k AS (SELECT event_id AS pos, event_type AS ns, lpad((user_id + 1)::VARCHAR, 10, '0') AS key FROM events)
+    SELECT pos, k.ns, k.key, tu.key IS NOT NULL AS found, value FROM k LEFT JOIN tu ON tu.ns = k.ns AND tu.key = k.key""")
+def _(spark, d):
+    after = F.lpad((F.col("user_id") + 1).cast("string"), 10, "0")
+    asked = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("ns"), after.alias("key"))
+    return scan.mget(type_users(spark, d), asked)
 
 
 @query("range_scan_asc", f"WITH {EV} SELECT key, value FROM ev WHERE key >= '0000000100' AND key < '0000000200'")
@@ -118,20 +150,36 @@ def customer_rows(spark, d):
     return changelog(c, version=F.col("c_custkey"), ts_us=F.lit(0), ns=F.col("c_mktsegment"), key=F.col("c_name"), value=F.col("c_acctbal").cast("string"))
 
 
-@query("scan_cursor_page", "SELECT c_name AS key FROM customer WHERE c_name > 'Customer#000000049' ORDER BY c_name LIMIT 50")
+_FROM = "c_mktsegment = 'BUILDING' AND c_name > 'Customer#000000049'"
+
+
+@query("scan_cursor_page", f"SELECT c_name AS key FROM customer WHERE {_FROM} ORDER BY c_name LIMIT 50")
 def _(spark, d):
-    return scan.scan_cursor(customer_rows(spark, d), "Customer#000000049", 50)[0].select("key")
+    return scan.scan_cursor(customer_rows(spark, d), "Customer#000000049", 50, "BUILDING")[0].select("key")
 
 
-@query("next_cursor", """SELECT CASE WHEN count(*) = 50 THEN max(c_name) ELSE '' END AS next_cursor FROM
-    (SELECT c_name FROM customer WHERE c_name > 'Customer#000000049' ORDER BY c_name LIMIT 50)""")
+@query("next_cursor", f"""SELECT CASE WHEN count(*) = 50 THEN max(c_name) ELSE '' END AS next_cursor FROM
+    (SELECT c_name FROM customer WHERE {_FROM} ORDER BY c_name LIMIT 50)""")
 def _(spark, d):
-    return scan.scan_cursor(customer_rows(spark, d), "Customer#000000049", 50)[1]
+    return scan.scan_cursor(customer_rows(spark, d), "Customer#000000049", 50, "BUILDING")[1]
 
 
 @query("next_cursor_end", "SELECT '' AS next_cursor")
 def _(spark, d):
-    return scan.scan_cursor(customer_rows(spark, d), "zzz", 50)[1]
+    return scan.scan_cursor(customer_rows(spark, d), "zzz", 50, "BUILDING")[1]
+
+
+_PAGED = f"WITH {_TU}, p AS (SELECT ns, key, value FROM tu WHERE (ns, key) > ('click', '0000000009') ORDER BY ns, key LIMIT 60)"
+
+
+@query("scan_cursor_namespaces", f"{_PAGED} SELECT * FROM p")
+def _(spark, d):
+    return scan.scan_cursor(type_users(spark, d), "click/0000000009", 60)[0]
+
+
+@query("next_cursor_namespaces", f"{_PAGED} SELECT CASE WHEN count(*) = 60 THEN max(ns || '/' || key) ELSE '' END AS next_cursor FROM p")
+def _(spark, d):
+    return scan.scan_cursor(type_users(spark, d), "click/0000000009", 60)[1]
 
 
 @query("ns_scan_prefix", f"WITH {ORD} SELECT key, value FROM od WHERE ns = '1-URGENT' AND starts_with(key, '00000001') ORDER BY key")
@@ -157,11 +205,23 @@ def _(spark, d):
 
 
 @query("changes_since_more", f"""WITH {US}, {LATEST}, c AS (SELECT * FROM latest WHERE ts_us >= {NOW} AND (op = 'DEL' OR expiry_us IS NULL OR expiry_us > {NOW})),
-    p AS (SELECT * FROM c ORDER BY ts_us, key LIMIT 20) SELECT (SELECT max(ts_us) FROM p) AS next_us, (SELECT count(*) FROM c) > 20 AS more""")
+    p AS (SELECT * FROM c ORDER BY ts_us, key LIMIT 20), l AS (SELECT * FROM p ORDER BY ts_us DESC, key DESC LIMIT 1)
+    SELECT ts_us AS next_us, 'users' AS next_ns, key AS next_key, (SELECT count(*) FROM c) > 20 AS more FROM l""")
 def _(spark, d):
     return feed.changes_since(state.latest_per_key(user_log(spark, d)), NOW, 20, NOW)[1]
 
 
+_DAY = "(ts_us // 86400000000 * 86400000000)::BIGINT"
+
+
+@query("changes_since_ties", f"""WITH {_TU}, c AS (SELECT 'PUT' AS op, ns, key, value, {_DAY} AS ts_us FROM tu)
+    SELECT * FROM c WHERE ts_us > 1705536000000000 OR ts_us = 1705536000000000 AND (ns, key) > ('click', '0000000005') ORDER BY ts_us, ns, key LIMIT 80""")
+def _(spark, d):
+    """Changes of one instant: times are whole days, so a page starts within one."""
+    days = type_users(spark, d).withColumn("ts_us", F.expr("ts_us div 86400000000 * 86400000000"))
+    return feed.changes_since(days, 1_705_536_000_000_000, 80, NOW, ("click", "0000000005"))[0]
+
+
 # --- predicates -----------------------------------------------------------------------------------------
 
 _NUM = "CAST(json_extract_string(value, '$.k') AS DOUBLE)"
@@ -221,9 +281,9 @@ def _(spark, d):
     FROM lineitem LEFT JOIN part ON p_partkey = l_partkey * 2""")
 def _(spark, d):
     asked = table(spark, d, "lineitem").select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.lpad((F.col("l_partkey") * 2).cast("string"), 10, "0").alias("key")
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.lit("part").alias("ns"), F.lpad((F.col("l_partkey") * 2).cast("string"), 10, "0").alias("key")
     )
-    return predicate.predicate_filter(part_rows(spark, d), asked, "large")
+    return predicate.predicate_filter(part_rows(spark, d), asked, "large").drop("ns")
 
 
 # --- indexes --------------------------------------------------------------------------------------------
@@ -259,6 +319,24 @@ def _(spark, d):
     return index.diff(c.entries(old), c.entries(new))
 
 
+@query("idx_kept", """SELECT 'by_status' AS rule, o_orderstatus AS field_value, o_orderpriority AS ns, lpad(o_orderkey::VARCHAR, 10, '0') AS key
+    FROM orders WHERE o_orderkey % 15 > 0 AND o_orderkey % 10 > 0""")
+def _(spark, d):
+    c = index.Catalog()
+    c.create("by_status", "status")
+    old = order_rows(spark, d)
+    new = old.where(F.col("version") % 15 != 0)
+    new = new.withColumn("value", F.when(F.col("version") % 10 == 0, F.regexp_replace("value", "status=.", "status=X")).otherwise(F.col("value")))
+    return index.kept(c.entries(old), c.entries(new))
+
+
+@query("idx_list", "SELECT * FROM (VALUES ('by_prio', 'prio')) t(name, field)")
+def _(spark, d):
+    c = order_index()
+    c.drop("by_status")
+    return spark.createDataFrame(c.list(), "name string, field string")
+
+
 @query("idx_cardinality", """SELECT 'by_status' AS rule, count(DISTINCT o_orderstatus) AS values, count(*) AS entries FROM orders
     UNION ALL SELECT 'by_prio', count(DISTINCT o_orderpriority), count(*) FROM orders WHERE o_orderpriority <> ''""".replace(
     "count(DISTINCT o_orderpriority)", "count(DISTINCT split_part(o_orderpriority, ' ', 1))"))
@@ -310,9 +388,12 @@ def _(spark, d):
     return state.latest_per_key(user_log(spark, d)).select("key", state.ttl_remaining(NOW).alias("ttl"))
 
 
-@query("ttl_expire", f"WITH {US}, {LATEST} SELECT 'DEL' AS op, key, {NOW} AS ts_us FROM latest WHERE op = 'PUT' AND expiry_us <= {NOW}")
+_LATER = NOW + 18 * 86_400_000_000
+
+
+@query("ttl_expire", f"WITH {US}, {LATEST} SELECT 'DEL' AS op, key, {_LATER} AS ts_us FROM latest WHERE op = 'PUT' AND expiry_us <= {_LATER}")
 def _(spark, d):
-    return state.expire(state.latest_per_key(user_log(spark, d)), NOW).select("op", "key", "ts_us")
+    return state.expire(state.latest_per_key(user_log(spark, d)), _LATER).select("op", "key", "ts_us")
 
 
 _CUT = NOW - 5 * 86_400_000_000
@@ -372,19 +453,19 @@ def counters(spark, d):
 
 def deltas(spark, d):
     li = table(spark, d, "lineitem")
-    return li.select((F.col("l_orderkey") % 200).cast("string").alias("key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.col("l_quantity").cast("long").alias("delta"))
+    return li.select(F.lit("c").alias("ns"), (F.col("l_orderkey") % 200).cast("string").alias("key"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"), F.col("l_quantity").cast("long").alias("delta"))
 
 
 @query("incr_fold", """WITH r AS (SELECT (l_orderkey % 200)::VARCHAR AS key, sum(l_quantity::BIGINT)::BIGINT AS s FROM lineitem GROUP BY 1)
     SELECT key, s + coalesce(floor(c_acctbal)::BIGINT, 0) AS value FROM r LEFT JOIN customer ON c_custkey::VARCHAR = key""")
 def _(spark, d):
-    return atomic.increment(deltas(spark, d), counters(spark, d))
+    return atomic.increment(deltas(spark, d), counters(spark, d)).drop("ns")
 
 
 @query("decr_fold", """WITH r AS (SELECT (l_orderkey % 200)::VARCHAR AS key, sum(l_quantity::BIGINT)::BIGINT AS s FROM lineitem GROUP BY 1)
     SELECT key, coalesce(floor(c_acctbal)::BIGINT, 0) - s AS value FROM r LEFT JOIN customer ON c_custkey::VARCHAR = key""")
 def _(spark, d):
-    return atomic.decrement(deltas(spark, d), counters(spark, d))
+    return atomic.decrement(deltas(spark, d), counters(spark, d)).drop("ns")
 
 
 @query("incr_saturating", """SELECT l_suppkey::VARCHAR AS key, 9223372036854775807 - count(*) FILTER (l_linenumber = 7) * 5 AS value FROM lineitem GROUP BY 1""")
@@ -419,7 +500,27 @@ def _(spark, d):
 @query("key_version", f"WITH {US}, {LATEST}, {LIVE}, k AS (SELECT DISTINCT lpad(user_id::VARCHAR, 10, '0') AS key FROM events) SELECT k.key, coalesce(ts_us, 0) AS version FROM k LEFT JOIN live ON live.key = k.key")
 def _(spark, d):
     log = user_log(spark, d)
-    return atomic.key_version(state.live(state.latest_per_key(log), NOW), log.select("key").distinct())
+    return atomic.key_version(state.live(state.latest_per_key(log), NOW), log.select("ns", "key").distinct()).drop("ns")
+
+
+_STEPS = """r AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS i, l_quantity::BIGINT % 3 = 0 AS wrong FROM lineitem)"""
+
+
+@query("cas_chain", f"""WITH RECURSIVE {_STEPS}, c AS (SELECT DISTINCT k, 0::BIGINT AS i, 'v0' AS value, '' AS result FROM r
+    UNION ALL SELECT r.k, r.i, CASE WHEN NOT wrong AND c.value = 'v' || (r.i - 1) THEN 'v' || r.i ELSE c.value END,
+    CASE WHEN NOT wrong AND c.value = 'v' || (r.i - 1) THEN 'SUCCESS' ELSE 'MISMATCH' END FROM c JOIN r ON r.k = c.k AND r.i = c.i + 1)
+    SELECT k::VARCHAR AS key, i AS pos, result, value FROM c WHERE i > 0""")
+def _(spark, d):
+    """Several swaps per key, each of which expects what the one before it wrote, or something else."""
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_quantity")).cast("long")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", nth.alias("pos"))
+    wrong = F.col("l_quantity").cast("long") % 3 == 0
+    asked = li.select(
+        "pos", F.col("l_orderkey").cast("string").alias("key"),
+        F.when(wrong, "z").otherwise(F.concat(F.lit("v"), (F.col("pos") - 1).cast("string"))).alias("expected"), F.concat(F.lit("v"), F.col("pos").cast("string")).alias("new"),
+    )
+    live = li.select(F.col("l_orderkey").cast("string").alias("key")).distinct().withColumn("value", F.lit("v0"))
+    return atomic.compare_and_swap(asked, live)
 
 
 _TXN = """t AS (SELECT l_orderkey AS txn_id, (l_linenumber::BIGINT * 1000000 + l_partkey) * 10000 + l_suppkey AS pos, CASE WHEN l_linenumber % 3 = 0 THEN 'DEL' WHEN l_linenumber % 3 = 1 THEN 'SETIF' ELSE 'SET' END AS op,
@@ -458,25 +559,59 @@ def hashes(spark, d):
     )
 
 
-@query("hash_getall", "SELECT l_linenumber::VARCHAR AS field, max(l_partkey::VARCHAR) AS value FROM lineitem WHERE l_orderkey = 42 GROUP BY 1")
+#: The fields of hashes() that are live at NOW, in SQL.
+_LIVE_FIELD = "(l_linenumber % 2 = 1 OR l_linenumber > 4)"
+
+
+@query("hash_getall", f"SELECT l_linenumber::VARCHAR AS field, max(l_partkey::VARCHAR) AS value FROM lineitem WHERE l_orderkey = 42 AND {_LIVE_FIELD} GROUP BY 1")
+def _(spark, d):
+    return collections.hgetall(hashes(spark, d), "42", NOW)
+
+
+@query("hget", f"SELECT max(l_partkey::VARCHAR) AS value FROM lineitem WHERE l_orderkey = 42 AND l_linenumber = 1 AND {_LIVE_FIELD} HAVING count(*) > 0")
+def _(spark, d):
+    return collections.hget(hashes(spark, d), "42", "1", NOW)
+
+
+_WRITTEN = "w AS (SELECT DISTINCT l_orderkey::VARCHAR AS key, (l_linenumber + 1)::VARCHAR AS field FROM lineitem)"
+_FIELDS = f"f AS (SELECT l_orderkey::VARCHAR AS key, l_linenumber::VARCHAR AS field, max(l_partkey::VARCHAR) AS value, bool_or({_LIVE_FIELD}) AS live FROM lineitem GROUP BY 1, 2)"
+
+
+def field_writes(spark, d):
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("key"), (F.col("l_linenumber") + 1).cast("string").alias("field"))
+    return li.distinct().select(F.lit(1).alias("pos"), "key", "field", F.lit("new").alias("value"))
+
+
+@query("hset_created", f"WITH {_WRITTEN}, {_FIELDS} SELECT key, count(*) FILTER (NOT coalesce(live, false)) AS created FROM w LEFT JOIN f USING (key, field) GROUP BY 1")
 def _(spark, d):
-    return collections.hgetall(hashes(spark, d), "42")
+    return collections.hset(hashes(spark, d), field_writes(spark, d), NOW)[1]
 
 
-@query("hash_maps", "SELECT l_orderkey::VARCHAR AS key, count(DISTINCT l_linenumber) AS n, max(l_partkey::VARCHAR) FILTER (l_linenumber = 1) AS first FROM lineitem GROUP BY 1")
+@query("hset_apply", f"WITH {_WRITTEN}, {_FIELDS} SELECT key, field, 'new' AS value FROM w UNION ALL SELECT key, field, value FROM f ANTI JOIN w USING (key, field) WHERE live")
 def _(spark, d):
-    m = collections.hash_maps(hashes(spark, d))
+    after = collections.hset(hashes(spark, d), field_writes(spark, d), NOW)[0]
+    return after.where(state.is_live(NOW)).select("key", "field", "value")
+
+
+@query("hdel_apply", f"WITH {_WRITTEN}, {_FIELDS} SELECT key, count(*) FILTER (live AND w.key IS NOT NULL) AS deleted FROM f LEFT JOIN w USING (key, field) GROUP BY 1".replace("w.key", "w.field"))
+def _(spark, d):
+    return collections.hdel(hashes(spark, d), field_writes(spark, d), NOW)[1]
+
+
+@query("hash_maps", f"SELECT l_orderkey::VARCHAR AS key, count(DISTINCT l_linenumber) AS n, max(l_partkey::VARCHAR) FILTER (l_linenumber = 1) AS first FROM lineitem WHERE {_LIVE_FIELD} GROUP BY 1")
+def _(spark, d):
+    m = collections.hash_maps(hashes(spark, d), NOW)
     return m.select("key", F.size("fields").cast("long").alias("n"), F.try_element_at("fields", F.lit("1")).alias("first"))
 
 
-@query("hkeys", "SELECT DISTINCT l_linenumber::VARCHAR AS field FROM lineitem WHERE l_orderkey = 7")
+@query("hkeys", f"SELECT DISTINCT l_linenumber::VARCHAR AS field FROM lineitem WHERE l_orderkey = 7 AND {_LIVE_FIELD}")
 def _(spark, d):
-    return collections.hkeys(hashes(spark, d), "7")
+    return collections.hkeys(hashes(spark, d), "7", NOW)
 
 
-@query("hlen", "SELECT l_orderkey::VARCHAR AS key, count(DISTINCT l_linenumber) AS fields FROM lineitem GROUP BY 1")
+@query("hlen", f"SELECT l_orderkey::VARCHAR AS key, count(DISTINCT l_linenumber) AS fields FROM lineitem WHERE {_LIVE_FIELD} GROUP BY 1")
 def _(spark, d):
-    return collections.hlen(hashes(spark, d))
+    return collections.hlen(hashes(spark, d), NOW)
 
 
 @query("httl", """SELECT DISTINCT l_orderkey::VARCHAR AS key, l_linenumber::VARCHAR AS field, CASE WHEN l_linenumber % 2 = 1 THEN -1 WHEN l_linenumber <= 4 THEN -2
@@ -635,9 +770,16 @@ def _(spark, d):
     return blob.select("id", F.octet_length("b").cast("long").alias("bytes"), F.round(F.get(vector.decode("b"), F.lit(0)).cast("double"), 6).alias("first"))
 
 
-@query("vector_ann")
+@query("vector_ann", f"SELECT vec_id AS id, round({_COS}, 6) AS score FROM embeddings ORDER BY {_COS} DESC, vec_id LIMIT 10")
+def _(spark, d):
+    """The index is built, written and read; with all its cells probed its answer is exact."""
+    built = vector.InvertedFile.build(vectors(spark, d), scratch(spark))
+    return built.search(_Q, 10, probes=len(built.centres)).withColumn("score", F.round("score", 6))
+
+
+@query("vector_ann_probed")
 def _(spark, d):
-    return vector.InvertedFile(vectors(spark, d)).search(_Q, 10, probes=16)
+    return vector.InvertedFile.build(vectors(spark, d), scratch(spark)).search(_Q, 10, probes=16)
 
 
 # --- backups, exports, schema -----------------------------------------------------------------------------
@@ -665,9 +807,129 @@ def _(spark, d):
     return backup.restore_to(state.latest_per_key(log.where("version <= 0")), 0, log, "2024-01-15T00:00:00Z", preserve_ttl=False).select("key", "value", "expiry_us")
 
 
-@query("jsonl_export", f"WITH {ORD} SELECT key AS k, base64(encode(value)) AS v FROM od WHERE starts_with(key, '00000000')")
+@query("jsonl_export", f"WITH {ORD} SELECT key AS k, base64(encode(value)) AS v FROM od")
+def _(spark, d):
+    return backup.export_rows(order_rows(spark, d))
+
+
+@query("jsonl_import", f"WITH {ORD} SELECT key, value FROM od")
+def _(spark, d):
+    path = scratch(spark)
+    backup.write_jsonl(order_rows(spark, d), path)
+    return backup.read_jsonl(spark, path)
+
+
+@query("migrate_prefix", f"WITH {EV} SELECT ns, key, value FROM ev WHERE starts_with(key, '00000000')")
+def _(spark, d):
+    return backup.migrate(event_log(spark, d), "00000000").select("ns", "key", "value")
+
+
+@query("backup_chain", f"WITH {US}, {LATEST} SELECT {_STATE} FROM latest")
+def _(spark, d):
+    log, path = user_log(spark, d), scratch(spark)
+    backup.write_backup(state.latest_per_key(log.where("version <= 300")), path, "full")
+    backup.write_backup(log.where("version <= 700"), path, "first", base_version=300)
+    backup.write_backup(log, path, "second", base_version=700)
+    return _state(backup.restore_backups(spark, path))
+
+
+@query("backup_manifest", f"""WITH {US} SELECT 'incremental' AS kind, 700 AS base_version, max(version) AS max_version, count(*) AS rows FROM us WHERE version > 700""")
 def _(spark, d):
-    return backup.export_rows(order_rows(spark, d), "00000000")
+    path = scratch(spark)
+    backup.write_backup(user_log(spark, d), path, "late", base_version=700)
+    return backup.manifest(spark, path).select("kind", "base_version", "max_version", "rows")
+
+
+@query("wal_records", f"WITH {US} SELECT ts_us * 1000 AS ts_ns, op = 'DEL' AS tombstone, key, strlen(coalesce(value, '')) AS value_length, version FROM us")
+def _(spark, d):
+    path = scratch(spark)
+    backup.wal_lines(user_log(spark, d)).write.text(path)
+    return backup.read_wal(spark, path).select("ts_ns", "tombstone", "key", "value_length", "version")
+
+
+@query("wal_faults", f"""WITH {US} SELECT version, key, CASE WHEN version % 30 = 0 THEN 'missing' WHEN version % 20 = 0 THEN 'length' ELSE 'checksum' END AS fault
+    FROM us WHERE op = 'PUT' AND (version % 20 = 0 OR version % 30 = 0 OR version % 14 = 0)""")
+def _(spark, d):
+    """Values that are lost, cut short or altered after their log records were written."""
+    log = user_log(spark, d)
+    v = F.col("version")
+    stored = log.where("op = 'PUT' and version % 30 != 0").select("version", F.when(v % 20 == 0, F.lit("")).when(v % 14 == 0, F.reverse(F.concat(F.substring("value", 2, 99), F.lit("#")))).otherwise(F.col("value")).alias("value"))
+    return backup.check_values(backup.parse_wal(backup.wal_lines(log)), stored)
+
+
+_SEG = "s AS (SELECT event_id // 100 AS seq, min(event_id) AS first_version, max(event_id) AS last_version, count(*) AS entries FROM events GROUP BY 1)"
+
+
+@query("archive_listing", f"WITH {_SEG} SELECT (seq % 4)::INTEGER AS disk_idx, seq, first_version, last_version, entries::INTEGER AS entries FROM s ORDER BY 1, 2")
+def _(spark, d):
+    path = scratch(spark)
+    backup.segments(event_log(spark, d), 100).write.json(path)
+    return backup.read_archive(spark, path).select("disk_idx", "seq", "first_version", "last_version", "entries")
+
+
+@query("segment_pruning", f"WITH {_SEG} SELECT seq, first_version, last_version FROM s WHERE last_version > 150 AND first_version <= 620")
+def _(spark, d):
+    return backup.segments_for(backup.segments(event_log(spark, d), 100), 150, 620).select("seq", "first_version", "last_version")
+
+
+@query("cold_demote", f"""WITH {US}, {LATEST}, i AS (SELECT key FROM latest WHERE op = 'PUT' AND ts_us < {NOW} ORDER BY ts_us, key LIMIT 40)
+    SELECT key, value, key IN (SELECT key FROM i) AS cold FROM latest""")
+def _(spark, d):
+    """One pass of at most 40 keys, and every value read again, cold ones by their handles."""
+    hot, cold = backup.demote(state.latest_per_key(user_log(spark, d)), NOW, 0, 40)
+    back = backup.fetch(hot, cold)
+    return back.join(hot.select("ns", "key", "cold"), ["ns", "key"]).select("key", "value", "cold")
+
+
+@query("compress_roundtrip", "SELECT doc_id, strlen(text) >= 256 AS large, true AS same FROM documents")
+def _(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))
+    packed = docs.select("doc_id", "b", backup.compress("b").alias("p"))
+    form = F.hex(F.substring("p", 1, 1))
+    same = (backup.decompress("p") == F.col("b")) & (F.octet_length("p") <= F.octet_length("b") + 1) & ((form == "01") <= (F.octet_length("b") >= 256))
+    return packed.select("doc_id", (F.octet_length("b") >= 256).alias("large"), same.alias("same"))
+
+
+# --- writes -------------------------------------------------------------------------------------------------
+
+def type_writes(spark, d):
+    """A request per event: it writes user_id's key within the namespace of the event's type."""
+    e = table(spark, d, "events")
+    return e.select(F.col("event_id").alias("pos"), F.col("event_type").alias("ns"), padded("user_id").alias("key"), F.col("event_id").cast("string").alias("value"), (F.col("event_id") % 3 * 60).alias("ttl_s"))
+
+
+@query("put_changes", f"""SELECT row_number() OVER (ORDER BY event_id) + 999 AS version, event_type AS ns, lpad(user_id::VARCHAR, 10, '0') AS key, event_id::VARCHAR AS value,
+    CASE WHEN event_id % 3 > 0 THEN {NOW} + event_id % 3 * 60000000 END AS expiry_us FROM events""")
+def _(spark, d):
+    return write.put(type_writes(spark, d), NOW, 1000).select("version", "ns", "key", "value", "expiry_us")
+
+
+@query("put_apply", f"""WITH {_TU}, o AS (SELECT event_type AS ns, lpad(user_id::VARCHAR, 10, '0') AS key, max(event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1, 2)
+    SELECT tu.ns, tu.key, coalesce('w' || v, value) AS value FROM tu LEFT JOIN o ON o.ns = tu.ns AND o.key = tu.key""")
+def _(spark, d):
+    writes = type_writes(spark, d).where("pos % 2 = 0").withColumn("value", F.concat(F.lit("w"), "value")).drop("ttl_s")
+    return write.apply(type_users(spark, d), write.put(writes, NOW * 2, 10**9)).select("ns", "key", "value")
+
+
+@query("del_answers", f"""WITH {_TU}, q AS (SELECT event_id AS pos, event_type AS ns, lpad((user_id * 2)::VARCHAR, 10, '0') AS key FROM events)
+    SELECT pos, q.ns, q.key, tu.key IS NOT NULL AND row_number() OVER (PARTITION BY q.ns, q.key ORDER BY pos) = 1 AS deleted FROM q LEFT JOIN tu ON tu.ns = q.ns AND tu.key = q.key""")
+def _(spark, d):
+    asked = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("ns"), F.lpad((F.col("user_id") * 2).cast("string"), 10, "0").alias("key"))
+    return write.delete(asked, type_users(spark, d), NOW * 2, 1)[1]
+
+
+@query("del_apply", f"""WITH {_TU} SELECT ns, key, value FROM tu WHERE key NOT IN (SELECT lpad((user_id * 2)::VARCHAR, 10, '0') FROM events WHERE event_type = tu.ns)""")
+def _(spark, d):
+    asked = table(spark, d, "events").select(F.col("event_id").alias("pos"), F.col("event_type").alias("ns"), F.lpad((F.col("user_id") * 2).cast("string"), 10, "0").alias("key"))
+    before = type_users(spark, d)
+    return state.live(write.apply(before, write.delete(asked, before, NOW * 2, 10**9)[0]), NOW).select("ns", "key", "value")
+
+
+@query("gc_cold_first", f"""WITH {US}, {LATEST} SELECT us.version, us.ts_us, us.key FROM us WHERE op = 'PUT' AND ts_us <= {NOW} - 30000000
+    AND version NOT IN (SELECT version FROM latest WHERE op = 'PUT') ORDER BY ts_us, version""")
+def _(spark, d):
+    log = user_log(spark, d)
+    return write.garbage(state.latest_per_key(log), log, NOW).select("version", "ts_us", "key")
 
 
 @query("cold_tier", f"WITH {US}, {LATEST} SELECT key, ts_us < {NOW} AS cold FROM latest")
@@ -738,19 +1000,20 @@ def _(spark, d):
 
 
 def replica_rows(spark, d):
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("replica"), (F.col("s_suppkey") * 97).alias("last_ack")).where("replica < 10")
+    """A replica per nation."""
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("replica"), (F.col("n_nationkey") * 300).cast("long").alias("last_ack"))
 
 
 def op_rows(spark, d):
-    return table(spark, d, "orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("seq"), F.lit(100).cast("long").alias("size"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.lit(100).cast("long").alias("size"))
 
 
-_REP = "r AS (SELECT s_suppkey AS replica, s_suppkey * 97 AS last_ack FROM supplier WHERE s_suppkey < 10), o AS (SELECT o_orderkey AS seq FROM orders WHERE o_orderkey < 1000)"
+_REP = "r AS (SELECT n_nationkey::BIGINT AS replica, n_nationkey::BIGINT * 300 AS last_ack FROM nation), o AS (SELECT o_orderkey AS seq FROM orders)"
 
 
-@query("quorum_acks", f"WITH {_REP} SELECT seq, (SELECT count(*) FROM r WHERE last_ack >= seq) + 1 AS acked, (SELECT count(*) FROM r WHERE last_ack >= seq) + 1 >= 6 AS committed FROM o")
+@query("quorum_acks", f"WITH {_REP} SELECT seq, (SELECT count(*) FROM r WHERE last_ack >= seq) + 1 AS acked, (SELECT count(*) FROM r WHERE last_ack >= seq) + 1 >= 13 AS committed FROM o")
 def _(spark, d):
-    return stats.quorum(op_rows(spark, d), replica_rows(spark, d), 10)
+    return stats.quorum(op_rows(spark, d), replica_rows(spark, d), 25)
 
 
 @query("anti_entropy", f"WITH {_REP} SELECT replica, seq FROM o JOIN r ON seq > last_ack")
@@ -781,7 +1044,11 @@ def _(spark, d):
     return stats.admit_new_keys(e.select(F.col("event_type").alias("ns"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("version")), 50)
 
 
-@query("quota_tokens")
+@query("quota_tokens", f"""WITH RECURSIVE {US}, u AS (SELECT key AS ns, version, ts_us, row_number() OVER (PARTITION BY key ORDER BY ts_us, version) AS i FROM us),
+    t AS (SELECT ns, version, ts_us, i, 2.0::DOUBLE - 1 AS tokens, true AS admitted FROM u WHERE i = 1
+    UNION ALL SELECT u.ns, u.version, u.ts_us, u.i, f - (f >= 1)::INTEGER, f >= 1 FROM
+    (SELECT u.*, least(2.0::DOUBLE, t.tokens + (u.ts_us - t.ts_us) / 1e6::DOUBLE * 0.0001::DOUBLE) AS f FROM t JOIN u ON u.ns = t.ns AND u.i = t.i + 1) u)
+    SELECT ns, version, admitted FROM t""")
 def _(spark, d):
     return feed.token_bucket(user_log(spark, d).select(F.col("key").alias("ns"), "version", "ts_us"), rate=0.0001, burst=2)
 
@@ -824,7 +1091,16 @@ def _(spark, d):
     return placement.owner(keys, spark.createDataFrame(_RING, "h long, node string"))
 
 
-@query("ring_hash_owner")
+_FNV = """list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda b: ('0x' || b)::UHUGEINT)),
+    lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"""
+_MIXED = "(xor({h}, {h} // 8589934592::UHUGEINT) * {f}::UHUGEINT) % 18446744073709551616::UHUGEINT"
+_RINGED = f"""SELECT k, xor(h, h // 8589934592::UHUGEINT) AS h FROM (SELECT k, {_MIXED.format(h="h", f=0xC4CEB9FE1A85EC53)} AS h FROM
+    (SELECT k, {_MIXED.format(h="h", f=0xFF51AFD7ED558CCD)} AS h FROM (SELECT k, {_FNV.format(x="k")} AS h FROM {{t}})))"""
+
+
+@query("ring_hash_owner", f"""WITH n AS (SELECT 'node' || a || '#' || b AS k FROM range(5) x(a), range(64) y(b)), o AS (SELECT o_orderkey::VARCHAR AS k FROM orders),
+    p AS (SELECT h, split_part(k, '#', 1) AS node FROM ({_RINGED.format(t="n")})), q AS ({_RINGED.format(t="o")})
+    SELECT k AS key, coalesce(p.node, (SELECT arg_min(node, h) FROM p)) AS node FROM q ASOF LEFT JOIN p ON q.h <= p.h""")
 def _(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"))
     points = spark.range(5).select(F.concat(F.lit("node"), F.col("id").cast("string")).alias("node"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
@@ -832,7 +1108,9 @@ def _(spark, d):
     return placement.owner(o.withColumn("h", placement.ring_hash("key")), ring)
 
 
-@query("integrity_crc32c")
+@query("integrity_crc32c", """WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END)) AS tab)
+    SELECT o_orderkey, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(o_orderkey::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS crc FROM orders, t""")
 def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", placement.crc32c(F.col("o_orderkey").cast("string").cast("binary")).alias("crc"))
 
@@ -844,6 +1122,67 @@ def _(spark, d):
     return o.select("o_orderkey", F.aes_decrypt("b", key, F.lit("GCM")).cast("string").alias("clear"), F.octet_length("b").alias("bytes"))
 
 
+@query("misplaced_keys", f"""WITH ring(h, node) AS (VALUES {', '.join(f"({h}::BIGINT, '{n}')" for h, n in _RING)}),
+    k AS (SELECT o_orderkey::VARCHAR AS key, ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT AS h FROM orders),
+    w AS (SELECT key, coalesce((SELECT arg_min(node, ring.h) FROM ring WHERE ring.h >= k.h), (SELECT arg_min(node, h) FROM ring)) AS node FROM k)
+    SELECT key, node FROM w WHERE node <> 'node2'""")
+def _(spark, d):
+    """What a node that holds all keys ships to their owners."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"))
+    keys = o.withColumn("h", F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 8), 16, 10).cast("long"))
+    return placement.misplaced(keys, spark.createDataFrame(_RING, "h long, node string"), "node2")
+
+
+@query("replica_map", """SELECT c_custkey AS shard, array_to_string(CASE c_custkey % 4 WHEN 0 THEN ['a', 'c', 'd'] WHEN 1 THEN ['b', 'c', 'd'] WHEN 2 THEN ['c', 'd', 'a'] ELSE ['d', 'a', 'c'] END, ',') AS replicas
+    FROM customer""")
+def _(spark, d):
+    nodes = [("a", "rack1"), ("b", "rack1"), ("c", "rack2"), ("d", "rack3")]
+    picked = placement.replica_map(table(spark, d, "customer").select(F.col("c_custkey").alias("shard")), nodes, 3)
+    return picked.select("shard", F.array_join("replicas", ",").alias("replicas"))
+
+
+@query("disk_of_shard", """SELECT c_name AS key, (list_reduce(list_prepend(8997::INTEGER, list_transform(string_split(c_name, ''), lambda c: ascii(c)::INTEGER)),
+    lambda h, b: (xor(h, b) * 435) & 8191) % 6)::INTEGER AS disk FROM customer""".replace("8997", str(0x2325 & 8191)))
+def _(spark, d):
+    return table(spark, d, "customer").select(F.col("c_name").alias("key"), placement.disk(placement.shard_id(F.col("c_name")), 6).cast("int").alias("disk"))
+
+
+@query("bloom_members", "SELECT DISTINCT lpad(o_custkey::VARCHAR, 10, '0') AS key, true AS maybe FROM orders")
+def _(spark, d):
+    """Keys that are in a filter are never missed."""
+    keys = table(spark, d, "orders").select(padded("o_custkey").alias("key"))
+    return placement.bloom_probe(keys, placement.bloom_build(keys, 20_000), 20_000)
+
+
+@query("bloom_false_positives", "SELECT true AS under_two_in_a_hundred")
+def _(spark, d):
+    keys = table(spark, d, "orders").select(padded("o_orderkey").alias("key"))
+    n = keys.count()
+    others = keys.select(F.concat(F.lit("x"), "key").alias("key"))
+    found = placement.bloom_probe(others, placement.bloom_build(keys, n), n)
+    return found.agg((F.count_if("maybe") < 0.02 * F.count(F.lit(1))).alias("under_two_in_a_hundred"))
+
+
+@query("human_formats", """SELECT event_id, CASE WHEN event_id < 1024 THEN event_id || ' B' ELSE printf('%.1f', floor(event_id * 10 / 1024.0) / 10) || ' KiB' END AS size,
+    CASE WHEN event_id < 60 THEN event_id || 's' WHEN event_id < 3600 THEN event_id // 60 || 'm ' || event_id % 60 || 's'
+    WHEN event_id < 86400 THEN event_id // 3600 || 'h ' || event_id // 60 % 60 || 'm' ELSE event_id // 86400 || 'd ' || event_id // 3600 % 24 || 'h' END AS time FROM events""")
+def _(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", human_bytes(F.col("event_id")).alias("size"), human_seconds(F.col("event_id")).alias("time"))
+
+
+@query("clock_order", """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey AS a1, l_suppkey AS b1, l_partkey + l_quantity::BIGINT % 3 - 1 AS a2, l_suppkey + l_linenumber % 3 - 1 AS b2 FROM lineitem)
+    SELECT l_orderkey, l_linenumber, a1, b1, CASE WHEN a1 = a2 AND b1 = b2 THEN 'equal' WHEN a1 <= a2 AND b1 <= b2 THEN 'before' WHEN a1 >= a2 AND b1 >= b2 THEN 'after' ELSE 'concurrent' END AS relation FROM c""")
+def _(spark, d):
+    """Clocks of two nodes, so that neither may be ahead."""
+    li = table(spark, d, "lineitem")
+    a, b = F.col("l_partkey").cast("long"), F.col("l_suppkey").cast("long")
+    left = F.create_map(F.lit("a"), a, F.lit("b"), b)
+    right = F.create_map(F.lit("a"), a + F.col("l_quantity").cast("long") % 3 - 1, F.lit("b"), b + F.col("l_linenumber") % 3 - 1)
+    relation = F.when(happened_before(left, right), "before").when(happened_before(right, left), "after").when(concurrent(left, right), "concurrent").otherwise("equal")
+    return li.select("l_orderkey", "l_linenumber", a.alias("a1"), b.alias("b1"), relation.alias("relation"))
+
+
 @query("vector_clock", """SELECT l_orderkey, l_linenumber, a < b AS before FROM (SELECT l_orderkey, l_linenumber, l_suppkey AS a, l_partkey AS b FROM lineitem)""")
 def _(spark, d):
     li = table(spark, d, "lineitem")
@@ -859,10 +1198,34 @@ def happened_before(left: Column, right: Column) -> Column:
     return F.forall(entries, lambda e: e["value"] <= other(e)) & F.exists(entries, lambda e: e["value"] < other(e))
 
 
+def concurrent(left: Column, right: Column) -> Column:
+    """Neither clock happened before the other, and they differ. Nodes that one lacks count as 0 there."""
+    same = lambda x, y: F.forall(F.map_entries(x), lambda e: e["value"] == F.coalesce(F.try_element_at(y, e["key"]), F.lit(0)))
+    return ~happened_before(left, right) & ~happened_before(right, left) & ~(same(left, right) & same(right, left))
+
+
+@query("audit_lines", f"WITH {US} SELECT ts_us, CASE WHEN op = 'DEL' THEN 'DEL' ELSE 'PUT' END AS verb, 'users' AS ns, key, version FROM us")
+def _(spark, d):
+    root = scratch(spark)
+    user_log(spark, d).write.parquet(f"{root}/in")
+    feed.audit(feed.subscribe(spark, f"{root}/in"), f"{root}/log", f"{root}/checkpoint")
+    return spark.read.schema("ts_us long, verb string, ns string, key string, version long").json(f"{root}/log")
+
+
+@query("ship_dead_letters", f"WITH {US} SELECT version, 'ConnectionError: refused' AS error FROM us WHERE ts_us > {NOW}")
+def _(spark, d):
+    """A target that refuses late changes: what it refuses is tried again and then kept as dead letters."""
+    late = user_log(spark, d).where(F.col("ts_us") > NOW)
+
+    def send(rows):
+        raise ConnectionError("refused")
+
+    return feed.ship(late, send, attempts=2, wait_s=0.01).select("version", "error")
+
+
 @query("cdc_stream_state", f"WITH {US}, {LATEST} SELECT {_STATE} FROM latest")
 def _(spark, d):
-    named = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
-    root = f"{named.rstrip('/')}/cdc-{uuid.uuid4().hex}"
+    root = scratch(spark)
     user_log(spark, d).repartition(4, "key").write.parquet(f"{root}/in")
     replica = feed.Replica(spark, f"{root}/state")
     replica.run(feed.subscribe(spark, f"{root}/in", files_per_trigger=2), f"{root}/checkpoint")

@@ -5,12 +5,16 @@ Paths are given to Spark's readers and writers, so any file system that Spark kn
 from __future__ import annotations
 
 import re
+import zlib
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from keyloom.model import CHANGELOG
+from keyloom.operators.placement import cold_handle
 from keyloom.operators.state import GRACE_S, latest_per_key, reap
 
 ARCHIVE = (
@@ -84,11 +88,19 @@ def migrate(source: DataFrame, prefix: str = "") -> DataFrame:
     return source.where(F.col("key").startswith(prefix))
 
 
-def read_wal(spark: SparkSession, path: str) -> DataFrame:
-    """Records ts_ns|tombstone|key|value length|crc|version[|offset[|packed]] of log text; a torn line, which
-    has fewer fields or no numbers in them, is left out."""
+def wal_lines(changes: DataFrame) -> DataFrame:
+    """(value) log lines of changes, one record each: ts_ns|tombstone|key|value length|checksum|version. The
+    checksum is CRC-32 of the value's bytes; keys with a bar or a line feed have no place in such a log."""
+    value = F.coalesce(F.col("value"), F.lit(""))
+    fields = [F.col("ts_us") * 1000, F.when(F.col("op") == "DEL", 1).otherwise(0), F.col("key"), F.octet_length(value), F.crc32(value.cast("binary")), F.col("version")]
+    return changes.where(~F.col("key").rlike(r"[|\n]")).select(F.concat_ws("|", *(f.cast("string") for f in fields)).alias("value"))
+
+
+def parse_wal(lines: DataFrame) -> DataFrame:
+    """Records ts_ns|tombstone|key|value length|crc|version[|offset[|packed]] of log lines (value); a torn
+    line, which has fewer fields or no numbers in them, is left out."""
     part = F.split("value", r"\|")
-    rows = spark.read.text(path).select(part.alias("p")).where(F.size("p").between(6, 8))
+    rows = lines.select(part.alias("p")).where(F.size("p").between(6, 8))
     number = lambda i: F.get("p", F.lit(i)).try_cast("long")
     out = rows.select(
         number(0).alias("ts_ns"), (F.get("p", F.lit(1)).isin("1", "true")).alias("tombstone"), F.get("p", F.lit(2)).alias("key"),
@@ -97,9 +109,44 @@ def read_wal(spark: SparkSession, path: str) -> DataFrame:
     return out.where("ts_ns is not null and version is not null and value_length is not null")
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
+def read_wal(spark: SparkSession, path: str) -> DataFrame:
+    return parse_wal(spark.read.text(path))
+
+
+def check_values(records: DataFrame, values: DataFrame) -> DataFrame:
+    """(version, key, fault) of log records whose value is missing, has another length or another checksum.
+    values: (version, value). Tombstones have no value to check."""
+    joined = records.where("not tombstone").join(values.select("version", F.struct("value").alias("v")), "version", "left")
+    data = F.coalesce(F.col("v.value"), F.lit("")).cast("binary")
+    fault = (
+        F.when(F.col("v").isNull(), "missing")
+        .when(F.octet_length(data) != F.col("value_length"), "length")
+        .when(F.crc32(data) != F.col("crc"), "checksum")
+    )
+    return joined.select("version", "key", fault.alias("fault")).where("fault is not null")
+
+
+def segments(changes: DataFrame, size: int) -> DataFrame:
+    """Archive metadata of changes cut into segments of `size` versions each."""
+    seq = F.expr(f"version div {size}")
+    value = F.coalesce(F.col("value"), F.lit(""))
+    out = changes.groupBy(seq.alias("seq")).agg(
+        F.min("version").alias("first_version"), F.max("version").alias("last_version"), (F.min("ts_us") * 1000).alias("first_unix_ns"),
+        (F.max("ts_us") * 1000).alias("last_unix_ns"), F.count(F.lit(1)).cast("int").alias("entries"), F.sum(F.octet_length(value)).alias("size_bytes"),
+    )
+    return out.select(
+        (F.col("seq") % 4).cast("int").alias("disk_idx"), "seq", "first_version", "last_version", "first_unix_ns", "last_unix_ns",
+        F.col("last_unix_ns").alias("created_unix_ns"), "entries", "size_bytes", F.lit(None).cast("string").alias("crc32c"),
+    )
+
+
+def listing(segments: DataFrame) -> DataFrame:
     """Archive segments in order of disk and sequence."""
-    return spark.read.schema(ARCHIVE).json(path).orderBy("disk_idx", "seq")
+    return segments.orderBy("disk_idx", "seq")
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    return listing(spark.read.schema(ARCHIVE).json(path))
 
 
 def segments_for(segments: DataFrame, base_version: int, target_version: int) -> DataFrame:
@@ -107,6 +154,45 @@ def segments_for(segments: DataFrame, base_version: int, target_version: int) ->
     return segments.where((F.col("last_version") > base_version) & (F.col("first_version") <= target_version))
 
 
+#: A backup's manifest: its kind (full or incremental), the version it starts after and the last it holds.
+MANIFEST = "id string, kind string, base_version long, max_version long, rows long, path string"
+
+
+def write_backup(changes: DataFrame, path: str, backup_id: str, base_version: int | None = None) -> None:
+    """A full backup (base_version None) of a state, or an increment of the changes after a version, below
+    path, with a line in the manifest table there."""
+    spark, kind = changes.sparkSession, "full" if base_version is None else "incremental"
+    rows = changes if base_version is None else changes_after(changes, base_version)
+    full_backup(rows, f"{path}/{backup_id}")
+    held = spark.read.schema(CHANGELOG).parquet(f"{path}/{backup_id}")
+    line = held.agg(
+        F.lit(backup_id).alias("id"), F.lit(kind).alias("kind"), F.lit(base_version or 0).cast("long").alias("base_version"),
+        F.coalesce(F.max("version"), F.lit(base_version or 0)).cast("long").alias("max_version"), F.count(F.lit(1)).alias("rows"), F.lit(f"{path}/{backup_id}").alias("path"),
+    )
+    line.coalesce(1).write.mode("append").json(f"{path}/manifest")
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).json(f"{path}/manifest").orderBy("base_version", "max_version")
+
+
+def restore_backups(spark: SparkSession, path: str) -> DataFrame:
+    """The state after the newest full backup below path and the increments that continue it; a gap in the
+    chain is an error."""
+    lines = manifest(spark, path).collect()  # a line per backup
+    full = max((x for x in lines if x.kind == "full"), key=lambda x: x.max_version, default=None)
+    if full is None:
+        raise ValueError("no full backup")
+    chain, reached = [full], full.max_version
+    for x in lines:
+        if x.kind == "incremental" and x.max_version > reached:
+            if x.base_version > reached:
+                raise ValueError(f"the chain breaks between versions {reached} and {x.base_version}")
+            chain.append(x)
+            reached = x.max_version
+    return restore([spark.read.schema(CHANGELOG).parquet(x.path) for x in chain])
+
+
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHANGELOG).parquet(path)
 
@@ -117,6 +203,54 @@ def split_tiers(state: DataFrame, now_us: int, idle_us: int = 300_000_000) -> tu
     return state.where(~cold), state.where(cold)
 
 
+def demote(state: DataFrame, now_us: int, idle_us: int = 300_000_000, per_pass: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(hot, cold) after one pass that moves at most per_pass idle rows, the coldest first. A cold row
+    (handle, ns, key, value, ts_us) is what the tier keeps; a hot row of it has its handle as value."""
+    idle = state.where((F.col("op") == "PUT") & (F.col("ts_us") < now_us - idle_us)).orderBy("ts_us", "ns", "key").limit(per_pass)
+    cold = idle.select(cold_handle(F.col("key"), F.coalesce("value", F.lit(""))).alias("handle"), "ns", "key", "value", "ts_us")
+    moved = F.broadcast(cold.select("ns", "key", "handle"))  # per_pass rows at most
+    hot = state.join(moved, ["ns", "key"], "left")
+    return hot.withColumn("value", F.coalesce("handle", "value")).withColumn("cold", F.col("handle").isNotNull()).drop("handle"), cold
+
+
+def fetch(hot: DataFrame, cold: DataFrame) -> DataFrame:
+    """(ns, key, value) of demoted state: cold values by their handles."""
+    by_handle = cold.select(F.col("handle").alias("value"), "ns", "key", F.lit(True).alias("cold"), F.struct(F.col("value")).alias("kept"))
+    joined = hot.join(by_handle, ["value", "ns", "key", "cold"], "left")
+    return joined.select("ns", "key", F.when(F.col("cold"), F.col("kept.value")).otherwise(F.col("value")).alias("value"))
+
+
+#: Values of fewer bytes are stored as they are; a stored value starts with a byte that names its form.
+COMPRESS_FROM = 256
+
+
+@F.pandas_udf(BinaryType())
+def compress(data: pd.Series) -> pd.Series:
+    """1 and the deflated bytes where that is smaller, else 0 and the bytes."""
+
+    def one(blob):
+        if blob is None:
+            return None
+        blob = bytes(blob)
+        packed = zlib.compress(blob, 6) if len(blob) >= COMPRESS_FROM else blob
+        return b"\x01" + packed if len(packed) < len(blob) else b"\x00" + blob
+
+    return data.map(one)
+
+
+@F.pandas_udf(BinaryType())
+def decompress(data: pd.Series) -> pd.Series:
+    def one(blob):
+        if blob is None:
+            return None
+        form, rest = bytes(blob[:1]), bytes(blob[1:])
+        if form not in (b"\x00", b"\x01"):
+            raise ValueError(f"unknown form {form!r}")
+        return zlib.decompress(rest) if form == b"\x01" else rest
+
+    return data.map(one)
+
+
 def migrate_schema(rows: DataFrame, steps: dict[int, object], target: int) -> DataFrame:
     """Values brought from their schema_version to target by one Column function per version; a version
     without its step is an error."""

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.fields import compare, field_value, number
 from keyloom.model import CHANGELOG
-from keyloom.operators import atomic, collections, index, placement, predicate, scan, state, stats, vector
+from keyloom.operators import atomic, collections, index, placement, predicate, scan, state, stats, vector, write
 from keyloom.plans import command
 from keyloom.sources import backup
 from keyloom.streaming import feed
@@ -38,14 +38,57 @@ def test_range_scan(spark):
 
 
 def test_cursor_pages(spark):
-    rows, cursor, pages = puts(spark, [(f"p0{i}", "") for i in range(10)]), "", []
-    while True:
-        page, following = scan.scan_cursor(rows, cursor, 3)
-        pages.append(column(page))
-        cursor = following.first().next_cursor
-        if not cursor:
-            break
-    assert [len(p) for p in pages] == [3, 3, 3, 1]
+    rows = puts(spark, [(f"p0{i}", "") for i in range(10)])
+    both = rows.unionByName(rows.withColumn("ns", F.lit("m/%")))  # equal keys of two namespaces
+
+    def pages(rows, limit, ns):
+        cursor, out = "", []
+        while True:
+            page, following = scan.scan_cursor(rows, cursor, limit, ns)
+            out.append([(r.ns, r.key) for r in page.collect()])
+            cursor = following.first().next_cursor
+            if not cursor:
+                return out
+
+    assert [len(p) for p in pages(rows, 3, "n")] == [3, 3, 3, 1]
+    assert sum(pages(both, 1, None), []) == [(ns, f"p0{i}") for ns in ("m/%", "n") for i in range(10)]
+
+
+def test_requests_name_their_namespace(spark):
+    rows = puts(spark, [("k", "1"), ("l", "2")], "a").unionByName(puts(spark, [("k", "3")], "b"))
+    asked = spark.createDataFrame([(0, "b", "k"), (1, "a", "k"), (2, "b", "l"), (3, "b", "k")], "pos int, ns string, key string")
+    for n_keys in (None, 4):
+        assert [(r.found, r.value) for r in scan.mget(rows, asked, n_keys).collect()] == [(True, "3"), (True, "1"), (False, None), (True, "3")]
+    with pytest.raises(ValueError):
+        scan.mget(rows, asked.drop("ns"))
+    swaps = spark.createDataFrame([(0, "a", "k", "1", "x"), (1, "b", "k", "1", "y")], "pos int, ns string, key string, expected string, new string")
+    assert {(r.ns, r.result, r.value) for r in atomic.compare_and_swap(swaps, rows).collect()} == {("a", "SUCCESS", "x"), ("b", "MISMATCH", "3")}
+    added = spark.createDataFrame([(0, "a", "k", 5), (1, "b", "k", 5), (2, "c", "k", 5)], "pos int, ns string, key string, delta long")
+    assert {(r.ns, r.value) for r in atomic.increment(added, rows).collect()} == {("a", 6), ("b", 8), ("c", 5)}
+
+
+def test_writes(spark):
+    before = state.latest_per_key(puts(spark, [("a", "1"), ("b", "2")], ""))
+    asked = spark.createDataFrame([(5, "a", "x", 0), (2, "c", "y", 9), (7, "a", "z", 0), (8, "", "no", 0)], "pos long, key string, value string, ttl_s int")
+    changes = write.put(asked, 50 * S, 100)
+    assert [(r.version, r.key, r.expiry_us) for r in changes.orderBy("version").collect()] == [(100, "c", 59 * S), (101, "a", None), (102, "a", None)]
+    after = write.apply(before, changes)
+    assert {(r.key, r.value) for r in after.collect()} == {("a", "z"), ("b", "2"), ("c", "y")}
+    gone, answers = write.delete(spark.createDataFrame([(1, "a"), (2, "zz"), (3, "a")], "pos long, key string"), state.live(after, 51 * S), 60 * S, 200)
+    assert [r.deleted for r in answers.orderBy("pos").collect()] == [True, False, False]
+    assert {r.key for r in state.live(write.apply(after, gone), 58 * S).collect()} == {"b", "c"}
+
+
+def test_hash_writes(spark):
+    schema = "key string, field string, value string, op string, expiry_us long, ts_us long"
+    fields = spark.createDataFrame([("h", "a", "1", "PUT", None, 0), ("h", "b", "2", "PUT", 5 * S, 0), ("h", "c", None, "DEL", None, 0)], schema)
+    assert collections.hgetall(fields, "h", 6 * S).collect() == [("a", "1")] and collections.hlen(fields, 4 * S).first().fields == 2
+    written = spark.createDataFrame([(1, "h", "a", "x"), (2, "h", "b", "y"), (3, "h", "b", "z")], "pos int, key string, field string, value string")
+    after, created = collections.hset(fields, written, 6 * S)
+    assert created.first().created == 1 and {(r.field, r.value) for r in collections.hgetall(after, "h", 6 * S).collect()} == {("a", "x"), ("b", "z")}
+    left, deleted = collections.hdel(after, spark.createDataFrame([("h", "a"), ("h", "zz"), ("h", "c")], "key string, field string"), 7 * S)
+    assert deleted.first().deleted == 1 and column(collections.hkeys(left, "h", 7 * S), "field") == ["b"]
+    assert column(collections.hget(left, "h", "b", 7 * S), "value") == ["z"] and collections.hget(left, "h", "a", 7 * S).count() == 0
 
 
 def test_ttl_and_tombstones(spark):
@@ -137,14 +180,14 @@ def test_predicates(spark):
     predicate.register("b", lambda key, value: value.startswith("b"))
     rows = puts(spark, [("a1", "bx"), ("a2", "cx"), ("b1", "by")])
     assert column(predicate.predicate_scan(rows, "b", "a")) == ["a1"]
-    keys = spark.createDataFrame([(0, "a2"), (1, "a1"), (2, "zz"), (3, "a1")], "pos int, key string")
+    keys = spark.createDataFrame([(0, "n", "a2"), (1, "n", "a1"), (2, "n", "zz"), (3, "n", "a1")], "pos int, ns string, key string")
     assert column(predicate.predicate_filter(rows, keys, "b"), "matches") == [False, True, False, True]
     with pytest.raises(KeyError):
         predicate.stored("none")
 
 
 def test_counters_saturate(spark):
-    live = puts(spark, [("a", "5"), ("c", str(2**63 - 1)), ("d", "10"), ("e", str(-(2**63))), ("x", "no")])
+    live = puts(spark, [("a", "5"), ("c", str(2**63 - 1)), ("d", "10"), ("e", str(-(2**63))), ("x", "no")]).drop("ns")
     asked = [(1, "a", 3), (2, "b", 42), (3, "c", 1), (4, "d", -3), (5, "e", -1), (6, "x", 1), (7, "c", -2), (8, "c", 1)]
     got = {r.key: r.value for r in atomic.increment(spark.createDataFrame(asked, "pos long, key string, delta long"), live).collect()}
     assert got == {"a": 8, "b": 42, "c": 2**63 - 2, "d": 7, "e": -(2**63), "x": None}
@@ -158,11 +201,11 @@ def test_counter_chunks_compose(spark, monkeypatch):
         asked.append((i, "k", delta))
         value = max(-(2**63), min(2**63 - 1, value + delta))
     df = spark.createDataFrame(asked, "pos long, key string, delta long")
-    assert atomic.increment(df, puts(spark, [("z", "1")])).first().value == value
+    assert atomic.increment(df, puts(spark, [("z", "1")]).drop("ns")).first().value == value
 
 
 def test_cas_setnx_txn(spark):
-    live = puts(spark, [("k", "v1"), ("a", "v0")])
+    live = puts(spark, [("k", "v1"), ("a", "v0")]).drop("ns")
     asked = spark.createDataFrame([(1, "k", "v1", "v2"), (2, "k", "v1", "v3"), (3, "k", "v2", "v4"), (4, "m", "x", "y")], "pos long, key string, expected string, new string")
     got = [(r.result, r.value) for r in atomic.compare_and_swap(asked, live).orderBy("pos").collect()]
     assert got == [("SUCCESS", "v2"), ("MISMATCH", "v2"), ("SUCCESS", "v4"), ("KEY_NOT_FOUND", None)]
@@ -195,7 +238,7 @@ def test_sets_and_hashes(spark):
     fields = spark.createDataFrame([("h", "a", "1", "PUT", None, 0), ("h", "b", "2", "PUT", 5 * S, 0)], "key string, field string, value string, op string, expiry_us long, ts_us long")
     ttl = {r.field: r.ttl for r in collections.httl(fields, 3 * S).collect()}
     assert ttl == {"a": -1, "b": 2} and {r.ttl for r in collections.httl(fields, 5 * S).collect()} == {-1, -2}
-    assert collections.hash_maps(fields).first().fields == {"a": "1", "b": "2"}
+    assert collections.hash_maps(fields, 3 * S).first().fields == {"a": "1", "b": "2"}
 
 
 def test_changes_since(spark):
@@ -204,6 +247,16 @@ def test_changes_since(spark):
     assert [(r.op, r.key) for r in page.collect()] == [("PUT", "c2"), ("PUT", "c3"), ("PUT", "c4"), ("DEL", "c1")] and not tail.first().more
     page, tail = feed.changes_since(rows, 3 * S, 1, 9 * S)
     assert column(page) == ["c3"] and tail.first().more and tail.first().next_us == 3 * S
+    ties = rows.withColumn("ts_us", F.lit(S))  # more changes of one instant than a page holds
+    seen, after = [], None
+    while True:
+        page, tail = feed.changes_since(ties, S, 3, 9 * S, after)
+        seen += column(page)
+        last = tail.first()
+        if not last.more:
+            break
+        after = (last.next_ns, last.next_key)
+    assert seen == ["c1", "c2", "c3", "c4"]
 
 
 def test_restore_and_targets(spark):
@@ -258,28 +311,29 @@ def test_stream_counters_and_tokens(spark, tmp_path):
 
 
 def test_vectors(spark):
-    df = spark.createDataFrame([("n", "east", [1.0, 0.0, 0.0]), ("n", "north", [0.0, 1.0, 0.0]), ("n", "upish", [0.1, 0.1, 1.0])], "ns string, id string, vec array<float>")
-    top = vector.search(df, [0.9, 0.1, 0], 2, "n").collect()
-    assert top[0].id == "east" and top[0].score >= 0.9
-    assert vector.search(df, [0.0, 1.0, 0.0], 1).first().id == "north"
+    df = spark.createDataFrame([("n", "x", [2.0, 0.0, 0.0]), ("n", "y", [0.0, 3.0, 0.0]), ("n", "most z", [0.3, 0.4, 5.0])], "ns string, id string, vec array<float>")
+    top = vector.search(df, [0.8, 0.3, 0], 2, "n").collect()
+    assert top[0].id == "x" and top[0].score >= 0.9
+    assert vector.search(df, [0.0, 2.0, 0.5], 1).first().id == "y"
     with pytest.raises(Exception, match="dimension"):
         vector.search(df, [1.0, 0.0], 1).collect()
     with pytest.raises(ValueError):
         vector.search(df, [0.0, 0.0, 0.0], 1)
 
 
-def test_index_recall(spark):
+def test_index_recall(spark, tmp_path):
     import numpy as np
 
     m = np.random.default_rng(42).normal(size=(1000, 16)).astype("float32")
     df = spark.createDataFrame([("n", i, v.tolist()) for i, v in enumerate(m)], "ns string, id long, vec array<float>")
-    built = vector.InvertedFile(df, cells=16)
-    built.rows = built.rows.cache()
-    hit = 0
-    for i in range(5):
-        exact = np.argsort(-(m / np.linalg.norm(m, axis=1, keepdims=True)) @ m[i])[:10]
-        hit += len(set(exact.tolist()) & {r.id for r in built.search(m[i].tolist(), 10, probes=12).collect()})
-    assert hit / 50 >= 0.9
+    built = vector.InvertedFile.build(df, f"file://{tmp_path}/index", cells=16)
+    built = vector.InvertedFile(spark, built.path)  # the written index
+    asked, hit = np.random.default_rng(43).normal(size=(20, 16)), 0
+    for q in asked:
+        exact = np.argsort(-(m / np.linalg.norm(m, axis=1, keepdims=True)) @ q)[:10]
+        hit += len(set(exact.tolist()) & {r.id for r in built.search(q.tolist(), 10, probes=10).collect()})
+    assert hit / 200 >= 0.9
+    assert built.rows.count() == len(m)
 
 
 def test_placement_and_stats(spark):
@@ -299,3 +353,90 @@ def test_placement_and_stats(spark):
     p = stats.percentiles(lat, "op", "v").first()
     assert (p.p50, p.p90, p.p99, p.p999, p.max) == (50.0, 90.0, 99.0, 99.0, 100.0)
     assert stats.watermark(spark.createDataFrame([], "replica string, watermark_us long")).first().watermark_us == 2**63 - 1
+
+
+def test_ring_and_checksums_equal_plain_loops(spark):
+    rng = random.Random(8)
+    keys = ["", "a", "é" * 9, *("".join(rng.choice("abcxyz0") for _ in range(rng.randrange(1, 40))) for _ in range(50))]
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", placement.ring_hash("k").alias("h")).collect()
+
+    def ring(text):
+        h = 0xCBF29CE484222325
+        for b in text.encode():
+            h = ((h ^ b) * 0x100000001B3) % 2**64
+        for f in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = ((h ^ h >> 33) * f) % 2**64
+        return h ^ h >> 33
+
+    assert all(int(r.h) == ring(r.k) for r in got)
+    points = [(rng.randrange(1000), f"n{i}") for i in range(7)]
+    asked = spark.createDataFrame([(str(i), i) for i in range(0, 1100, 7)], "key string, h long")
+    for r in placement.owner(asked, spark.createDataFrame(points, "h long, node string")).collect():
+        after = [p for p in sorted(points) if p[0] >= int(r.key)]
+        assert r.node == (after or sorted(points))[0][1]
+
+
+def test_lag_equals_pairs(spark):
+    rng = random.Random(9)
+    ops = [(i, rng.randrange(50)) for i in range(200)]
+    acks = [(r, rng.choice([-1, 10, 10, 150, 199, 500])) for r in range(20)]
+    o, a = spark.createDataFrame(ops, "seq long, size long"), spark.createDataFrame(acks, "replica long, last_ack long")
+    want = {(r, sum(s > k for s, _ in ops), sum(b for s, b in ops if s > k)) for r, k in acks if k < 199}
+    assert {tuple(r) for r in stats.replica_lag(o, a).select("replica", "ops_behind", "bytes_behind").collect()} == want
+    assert {(r.replica, r.seq) for r in stats.anti_entropy(o, a).collect()} == {(r, s) for r, k in acks for s, _ in ops if s > k}
+    assert all(r.acked == 1 + sum(k >= r.seq for _, k in acks) for r in stats.quorum(o, a, 20).collect())
+
+
+def test_batch_search_over_blocks(spark):
+    import numpy as np
+
+    m = np.random.default_rng(5).normal(size=(300, 8)).astype("float32")
+    m[7] = m[8]  # a tie
+    df = spark.createDataFrame([("n", i, v.tolist()) for i, v in enumerate(m)] + [("n", 999, [0.0] * 8)], "ns string, id long, vec array<float>")
+    got = vector.batch_search(df, df.where("id < 12").select(F.col("id").alias("query_id"), "vec"), 4, block_rows=40)
+    unit = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    for q in range(12):
+        want = sorted(range(300), key=lambda i: (-round(float(unit[i] @ unit[q]), 9), i))[:4]
+        assert [r.id for r in got.where(f"query_id = {q}").orderBy("rank").collect()] == want
+
+
+def test_broken_backup_chain(spark, tmp_path):
+    rows, path = log(spark, [(i, "PUT", f"k{i}", "v") for i in range(1, 10)]), f"file://{tmp_path}/b"
+    backup.write_backup(rows.where("version <= 3"), path, "full")
+    backup.write_backup(rows.where("version > 5"), path, "late", base_version=5)
+    with pytest.raises(ValueError, match="chain"):
+        backup.restore_backups(spark, path)
+    backup.write_backup(rows.where("version <= 6"), path, "middle", base_version=3)
+    assert backup.restore_backups(spark, path).count() == 9
+
+
+def test_streams_of_sets_lists_and_expiry(spark, tmp_path):
+    run = lambda df, mode, name: df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{tmp_path}/cp-{name}").trigger(availableNow=True).start().awaitTermination()
+    sets = "key string, member string, op string, version long"
+    spark.createDataFrame([("s", "a", "SADD", 1), ("s", "b", "SADD", 2), ("s", "a", "SREM", 3)], sets).coalesce(1).write.parquet(f"{tmp_path}/sets")
+    run(feed.stream_sets(spark.readStream.schema(sets).parquet(f"{tmp_path}/sets")), "update", "sets")
+    assert {(r.member, r.present) for r in spark.table("sets").collect()} == {("a", False), ("b", True)}
+    lists = "key string, op string, value string, version long"
+    spark.createDataFrame([("l", "RPUSH", "a", 1), ("l", "LPUSH", "z", 2), ("l", "RPUSH", "b", 3)], lists).coalesce(1).write.parquet(f"{tmp_path}/lists")
+    run(feed.stream_lists(spark.readStream.schema(lists).parquet(f"{tmp_path}/lists")), "append", "lists")
+    assert [r.value for r in spark.table("lists").orderBy("seq").collect()] == ["z", "a", "b"]
+    rows = [(1, "PUT", "a", "x", 10 * S), (2, "PUT", "b", "x", 12 * S), (3, "DEL", "b", None), (4, "PUT", "c", "x", 900 * S)]
+    log(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in")
+    log(spark, [(500, "PUT", "d", "x")]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run(feed.expire_stream(feed.subscribe(spark, f"{tmp_path}/in", files_per_trigger=1)), "append", "expired")
+    assert {(r.key, r.expiry_us) for r in spark.table("expired").collect()} == {("a", 10 * S)}
+
+
+def test_scratch_refuses_a_local_folder_on_a_cluster(spark, monkeypatch):
+    from keyloom import queries
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        queries.scratch(Cluster)
+    assert queries.scratch(spark).startswith("file://")
