@@ -440,3 +440,31 @@ def test_scratch_refuses_a_local_folder_on_a_cluster(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         queries.scratch(Cluster)
     assert queries.scratch(spark).startswith("file://")
+
+
+def test_commands(spark):
+    fields = spark.createDataFrame([("h", "a", "1", "PUT", None, 0)], "key string, field string, value string, op string, expiry_us long, ts_us long")
+    lists = spark.createDataFrame([("l", 0, "x"), ("l", 1, "y")], "key string, seq long, value string")
+    sets = spark.createDataFrame([("s", "m")], "key string, member string")
+    vectors = spark.createDataFrame([("v", 1, [1.0, 0.0]), ("v", 2, [0.0, 1.0])], "ns string, id long, vec array<float>")
+    rows = state.latest_per_key(puts(spark, [("a", "1"), ("b", "x=5"), ("c", "x=6")], "").unionByName(puts(spark, [("a", "9")], "other")))
+    space = command.Space(rows, 50 * S, 100, fields, lists, sets, vectors)
+    ask = lambda line: sorted((tuple(r) for r in command.run(space, line).collect()), key=str)
+    assert ask("GET a") == [("", "a", "1")] and ask("NSGET other a") == [("other", "a", "9")] and ask("EXISTS zz") == [(False,)]
+    assert [r[-1] for r in ask("MGET a zz b")] == ["1", None, "x=5"] and ask("COUNT") == [(4,)] and ask("TTL a") == [("a", -1)]
+    assert [(r[3], r[4], r[5]) for r in ask("PUT k a value of words")] == [("", "k", "a value of words")]
+    assert ask("PUTEX k v 10")[0][6] == 60 * S and [r[4] for r in ask("MPUT p 1 q 2")] == ["p", "q"] and ask("NSPUT n k v")[0][3] == "n"
+    assert [(r[2], r[4]) for r in ask("DEL a")] == [("DEL", "a")] and ask("NSDEL other a")[0][3] == "other" and len(ask("NSDROP other")) == 1
+    assert ask("INCR a 5") == [("", "a", 6)] and ask("DECR a") == [("", "a", 0)] and ask("INCR new") == [("", "new", 1)]
+    assert ask("CAS a 1 2")[0][3:] == ("SUCCESS", "2") and ask("SETNX a 1") == [] and ask("VERSION a") == [("", "a", S)]
+    assert ask("HGET h a") == [("1",)] and {r[1] for r in ask("HSET h b 2")} == {"a", "b"} and ask("HDEL h a")[0][3] == "DEL" and ask("HLEN h") == [("h", 1)]
+    assert ask("LRANGE l 0 -1") == [("l", 0, "x"), ("l", 1, "y")] and ask("LLEN l") == [("l", 2)] and ask("LPOP l") == [("l", 0, "x")]
+    assert {r[1:] for r in ask("LPUSH l z")} == {(-1, "z"), (0, "x"), (1, "y")} and ask("RPOP l") == [("l", 1, "y")]
+    assert ask("SADD s m n") == [(0, "s", "m", False), (1, "s", "n", True)] and ask("SISMEMBER s m") == [("s", "m", True)] and ask("SREM s m") == []
+    assert ask("VSEARCH v 1 0 2")[0][0] == 2 and ask("QUERY - WHERE x > 5") == []
+    assert {r[3] for r in ask("IDXCREATE by_x x")} == {"b", "c"} and ask("IDXGET by_x 6") == [("", "c")] and ask("IDXLIST") == [("by_x", "x")] and ask("IDXDROP by_x") == []
+    assert {(r[1], r[4]) for r in ask(f"TXN SET:a:2 DEL:b SETIF:c:7:{3 * S}")} == {("COMMITTED", "a"), ("COMMITTED", "b"), ("COMMITTED", "c")}
+    assert ask("TXN SETIF:a:2:1") == [(1, "CONFLICT", None, None, None, None)]
+    for bad in ("PUT k", "MPUT a", "TXN NO:a", "INCR a x", "IDXCREATE a/b x", "HGET h"):
+        with pytest.raises(ValueError):
+            command.run(space, bad)
