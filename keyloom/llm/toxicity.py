@@ -62,7 +62,7 @@ _APART = re.compile(rf"{_MARK}+")
 #: A sign of leetspeak anywhere, marks between letters or signs, or a repeated letter.
 _ODD = re.compile(rf"{_SIGN}|[^\W_]{_MARK}+[^\W_]|([^\W\d_])\1")
 _OUTER, _DIGITS = "".join(c for c in map(chr, range(33, 0x250)) if not c.isalnum() and c not in LEET), "0123456789"
-_DOUBLE = re.compile(r"(.)\1+")
+_DOUBLE, _THRICE = re.compile(r"(.)\1+"), re.compile(r"(.)\1{2,}")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -75,6 +75,7 @@ def _symbols() -> np.ndarray:
 
 
 SYMBOL = _symbols()
+_CLASS = SYMBOL.tobytes()  # for single characters
 
 
 def _codes(text: str) -> np.ndarray:
@@ -112,13 +113,17 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
+def _normal(token: str) -> str:
+    """Compatibility forms, lower case, and three of a repeated character at most."""
+    return _THRICE.sub(r"\1\1\1", unicodedata.normalize("NFKC", token).lower())
+
+
 def restore(token: str, model: np.ndarray, best: int = BEST) -> list[str]:
     """The likeliest readings of an obfuscated token, best first; borders in them are spaces.
 
     The search is exact: every context of three symbols that a path leads to is kept, with its best paths.
     Of a token of over STRETCH characters the readings of all its stretches are returned."""
-    chars = unicodedata.normalize("NFKC", token).lower()
-    chars = re.sub(r"(.)\1{2,}", r"\1\1\1", chars)
+    chars = _normal(token)
     if chars.isalpha() and len(twice := list(_DOUBLE.finditer(chars))) == 1 and len(twice[0][0]) == 2:
         return [chars, chars[: twice[0].start()] + chars[twice[0].start() + 1 :]]  # all that the lattice holds
     if len(chars) > STRETCH:
@@ -135,7 +140,7 @@ def _search(chars: str, model: np.ndarray, best: int) -> list[str]:
     previous = ""
     for char in chars:
         code = ord(char)
-        own = int(SYMBOL[code]) if code < len(SYMBOL) else N - 1
+        own = _CLASS[code] if code < len(_CLASS) else N - 1
         letters = [(ord(x) - 96, x, REPLACE) for x in LEET.get(char, "")]
         split = leave = None
         if own:
@@ -202,6 +207,30 @@ def readings(token: str, model: np.ndarray) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def _begins(form: str, heads: set[str]) -> bool:
+    """Whether a reading of a form may begin as one of heads, which hold the first PREFIXES[0] letters of
+    words. A form that may be split or have signs left out may."""
+    chars = _normal(form)
+    begun, done, previous = {""}, set(), ""
+    for char in chars:
+        code = ord(char)
+        own = _CLASS[code] if code < len(_CLASS) else N - 1
+        letters = LEET.get(char, "")
+        if not own and not (char.isdigit() and letters):
+            return True
+        letters = char + letters if own else letters
+        new = begun.copy() if own and char == previous else set()
+        for b in begun:
+            for x in letters:
+                (done if len(b) + 1 == PREFIXES[0] else new).add(b + x)
+        if not new:
+            break
+        begun, previous = new, char
+    else:
+        done |= begun
+    return not heads.isdisjoint(done)
+
+
 def _tokens(text: str, model: np.ndarray) -> set[str]:
     tokens = set(text.split())
     for run in _SPACED.findall(text):
@@ -250,6 +279,7 @@ class Scorer:
 
     def __init__(self, shared):
         self.shared, self.memo = shared, Memo(MEMO)
+        self.heads = {f.rstrip("*")[: PREFIXES[0]] for f in shared[1]}
 
     def evidence(self, text: str | None) -> tuple[float, int]:
         logp, weights, _ = self.shared
@@ -257,6 +287,13 @@ class Scorer:
         for token in _tokens(text or "", logp):
             e = self.memo.get(token)
             if e is None:
+                plain = token.lower() if token.isalpha() else _EDGE.sub("", token).lower()
+                odd = _ODD.search(token)
+                if plain[: PREFIXES[0]] not in self.heads and not (odd and any(_begins(f, self.heads) for f in _forms(token))):
+                    # No reading begins as a feature does, so none has one.
+                    if odd:
+                        self.memo.keep(token, NONE, len(token))
+                    continue
                 e = NONE
                 for w in readings(token, logp):
                     e = max(e, (max(weights.get(f, 0.0) for f in _features(w)), w))
