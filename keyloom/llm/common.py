@@ -38,12 +38,14 @@ def in_fold(doc_id: Column, folds: int = 5) -> Column:
 
 
 def _shared(spark: SparkSession) -> str:
-    """The shared folder the session names; one of this machine only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the session names; one of this machine only where all tasks run on it and none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    own = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
-    return own
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -51,6 +53,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{_shared(spark).rstrip('/')}/keyloom-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: as cut, for rows that compress well."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint in the shared folder."""
     spark = df.sparkSession

@@ -9,18 +9,22 @@ size by the records' own lengths; blocks may hold anything, separators and heade
 
 from __future__ import annotations
 
-import gzip
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from keyloom.llm.common import stored
 from keyloom.llm.text import task
 
 #: Payloads of fewer bytes are always kept.
 REVISIT_BYTES = 1000
-#: Records of a file at most.
-FILE_RECORDS = 3000
+#: Bytes of consecutive records that are written as one piece, unless a single record is longer, and pieces
+#: of a file at most: files are read whole, so their size has to have a bound that is no number of records.
+PIECE, FILE_PIECES = 4 << 20, 16
+#: Bytes that are decompressed at once.
+INFLATE = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -96,8 +100,23 @@ def write(rows: DataFrame, path: str) -> None:
     noted = _record(
         [*common(F.lit("metadata"), metadata), ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))], fields
     )
-    records = rows.select(F.explode(F.array(asked, captured, noted)).alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    records = rows.select(F.explode(F.array(asked, captured, noted)).alias("value")).mapInArrow(_pieces, "value string")
+    records.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_PIECES).option("compression", "gzip").text(path)
+
+
+@task
+def _pieces(batches):
+    """Records joined to pieces of about PIECE bytes."""
+    held, size = [], 0
+    for batch in batches:
+        for record in batch.column("value").cast(pa.large_binary()).to_pylist():
+            held.append(record)
+            size += len(record)
+            if size >= PIECE:
+                yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(held)]).cast(pa.string())], ["value"])
+                held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(held)]).cast(pa.string())], ["value"])
 
 
 _SCHEMA = (
@@ -106,25 +125,71 @@ _SCHEMA = (
 )
 
 
+class _Inflated:
+    """The bytes of a gzip file, decompressed as they are asked for."""
+
+    def __init__(self, packed: memoryview):
+        self.packed, self.at, self.data, self.begin = packed, 0, bytearray(), 0
+        self.inflate = zlib.decompressobj(31)
+
+    def _more(self) -> bool:
+        if self.begin > 4 * INFLATE:
+            del self.data[: self.begin]
+            self.begin = 0
+        while self.at < len(self.packed) or self.inflate.unconsumed_tail:
+            if self.inflate.eof:  # another member follows
+                self.at -= len(self.inflate.unused_data)
+                self.inflate = zlib.decompressobj(31)
+                continue
+            tail = self.inflate.unconsumed_tail
+            if not tail:
+                tail = self.packed[self.at : self.at + INFLATE]
+                self.at += len(tail)
+            got = self.inflate.decompress(tail, 4 * INFLATE)
+            if got:
+                self.data += got
+                return True
+        return False
+
+    def until(self, mark: bytes) -> bytes | None:
+        """What comes before the next mark, which is passed over; None at the end."""
+        seen = self.begin
+        while (end := self.data.find(mark, seen)) < 0:
+            seen = max(self.begin, len(self.data) - len(mark) + 1)
+            before = self.begin
+            if not self._more():
+                if len(self.data) > self.begin:
+                    raise ValueError("a record without an end")
+                return None
+            seen -= before - self.begin
+        out = bytes(self.data[self.begin : end])
+        self.begin = end + len(mark)
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.data) - self.begin < n:
+            if not self._more():
+                raise ValueError("a record ends early")
+        out = bytes(self.data[self.begin : self.begin + n])
+        self.begin += n
+        return out
+
+
 @task
 def _parse(batches):
     names = [f.split()[0] for f in _SCHEMA.split(", ")]
     for batch in batches:
         for content in batch.column("content"):
             rows: dict[str, list] = {n: [] for n in names}
-            data, at, size = gzip.decompress(content.as_buffer()), 0, 0
-            while at < len(data):
-                end = data.index(b"\r\n\r\n", at)
-                lines = data[at:end].decode().split("\r\n")
+            data, size = _Inflated(memoryview(content.as_buffer())), 0
+            while (head := data.until(b"\r\n\r\n")) is not None:
+                lines = head.decode().split("\r\n")
                 if lines[0] != "WARC/1.1":
-                    raise ValueError(f"no record at byte {at}")
+                    raise ValueError(f"no record but {lines[0][:40]!r}")
                 h = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
-                at = end + 4
-                block = data[at : at + int(h["content-length"])]
-                at += len(block)
-                if data[at : at + 4] != b"\r\n\r\n":
-                    raise ValueError(f"a record ends wrongly at byte {at}")
-                at += 4
+                block = data.take(int(h["content-length"]))
+                if data.take(4) != b"\r\n\r\n":
+                    raise ValueError(f"record {h.get('warc-record-id')} ends wrongly")
                 kind, payload, length, page = h["warc-type"], None, None, None
                 if kind in ("response", "revisit"):
                     top, _, payload = block.partition(b"\r\n\r\n")
@@ -156,20 +221,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row per capture: request, response (or revisit) and metadata joined through
-    WARC-Concurrent-To; a response without the others still makes a row. refers_to is the page whose
-    response a revisit names."""
-    captured = records.where("record_type in ('response', 'revisit')")
-    pick = lambda kind, fields: records.where(F.col("record_type") == kind).select(
-        F.col("concurrent_to").alias("record_id"), F.struct(*fields).alias(kind)
+    WARC-Concurrent-To; a response without the others still makes a row, and of several requests or
+    metadata records that of the least id counts. refers_to is the page whose response a revisit names.
+
+    Archives are parsed twice: once for what has no payload, kept as a table of small rows, and once for
+    the payloads, which are shuffled once, by record id. Revisits of one response meet its page in that
+    small table, so a response that many name moves no payload."""
+    small = stored(records.select("record_type", "record_id", "concurrent_to", "refers_to", "page_id", "headers"))
+    pick = lambda kind, fields: small.where(F.col("record_type") == kind).groupBy(F.col("concurrent_to").alias("record_id")).agg(
+        F.min(F.struct(*fields)).alias(kind)
     )
-    joined = (
-        captured.join(pick("request", ["record_id", "headers"]), "record_id", "left")
-        .join(pick("metadata", ["record_id", "page_id", "headers"]), "record_id", "left")
-    )
-    # Only ids and page numbers of the responses that revisits name meet the revisits.
-    pages = records.where("record_type = 'metadata'").select(F.col("concurrent_to").alias("refers_to"), F.col("page_id").alias("refers_page"))
-    named = captured.where("refers_to is not null").select("refers_to").distinct()
-    joined = joined.join(pages.join(named, "refers_to", "left_semi"), "refers_to", "left")
+    pages = small.where("record_type = 'metadata'").groupBy(F.col("concurrent_to").alias("refers_to")).agg(F.min("page_id").alias("refers_page"))
+    named = small.where("refers_to is not null").select("record_id", "refers_to")
+    refers = named.join(pages, "refers_to").select("record_id", "refers_page")
+    joined = records.where("record_type in ('response', 'revisit')").drop("page_id", "concurrent_to", "refers_to")
+    for part in (pick("request", ["record_id", "headers"]), pick("metadata", ["record_id", "page_id", "headers"]), refers):
+        joined = joined.join(part, "record_id", "left")
     response = F.struct("record_id", "record_type", "target_uri", "payload_digest", "http_length", "payload", "headers")
     return joined.select(F.col("metadata.page_id").alias("page_id"), "request", response.alias("response"), "metadata", F.col("refers_page").alias("refers_to"))
 
@@ -178,7 +245,8 @@ def archive(pages: DataFrame, path: str) -> DataFrame:
     """Write pages as captures to path, read the archives back, and assemble them: one row per page.
 
     Null html is an empty payload; a null url gets a URN; controls and blanks in a url become "_"; null
-    page_ids stay null; repeated rows are captures of their own, the first being the response. Other
-    columns are not read; an empty table gives no rows."""
+    page_ids stay null, and equal payloads of which no page_id is known are all responses; repeated rows are
+    captures of their own, the first being the response. Other columns are not read; an empty table gives
+    no rows."""
     write(captures(pages), path)
     return transactions(read(pages.sparkSession, path))
