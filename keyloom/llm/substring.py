@@ -10,7 +10,7 @@ has an earlier one in another chunk the window is repeated. Overlapping repeated
 maximal repeats that are removed.
 
 A chunk sends a fingerprint or key once, however often it holds it, so a passage in a third of all
-documents weighs no more than one row per chunk; documents are shuffled once, by a hash of their id.
+documents weighs no more than one row per chunk; documents are shuffled once, by a hash of id and text.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from keyloom.llm.text import as_binary, mix, rested, slices, windows, word_hashes
 
 WINDOW, BLOCK = 20, 10
-#: Documents of a chunk on average.
-CHUNK_DOCS = 2000
+#: Documents, and bytes of text, of a chunk on average: a chunk is what one task holds.
+CHUNK_DOCS, CHUNK_BYTES = 2000, 16 << 20
 #: Stands for a null doc_id in the order of documents: before all others.
 NULL_ID = -(2**63)
 
@@ -63,7 +63,8 @@ def _hashed(docs: pa.Table):
 
 
 def _shared_ids(docs: pa.Table) -> np.ndarray:
-    """The ids that several rows of a chunk have; all rows of an id are in one chunk."""
+    """The ids that several rows of a chunk have. Tags tell rows of an id apart within a chunk, where they
+    are made and used; between chunks an id and a place say all that matters."""
     ids, count = np.unique(docs.column("doc_id").fill_null(NULL_ID).to_numpy(), return_counts=True)
     return ids[count > 1]
 
@@ -264,15 +265,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     was. Null and empty texts have no words; texts under WINDOW words stay whole. Equal rows get equal
     results: neither starts earlier. Other columns are not read.
     """
-    n_docs = docs.count()
-    chunks = max(8, -(-n_docs // CHUNK_DOCS))
+    n_docs, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    chunks = max(8, -(-n_docs // CHUNK_DOCS), -(-n_bytes // CHUNK_BYTES))
     part_bits = max(1, (chunks - 1).bit_length())
     steps = _Steps(min(60, max(32, (400 * max(n_docs, 1)).bit_length() + 9, part_bits)), part_bits, tuple(carry))
     ids = F.col(id_col).cast("long")
     dealt = docs.select(
         ids.alias("doc_id"),
         F.col(text_col).cast("binary").alias("text"),
-        F.pmod(F.xxhash64(ids), F.lit(chunks)).cast("int").alias("chunk"),
+        # By id and text: rows that share an id, or have none, are spread like others.
+        F.pmod(F.xxhash64(ids, text_col), F.lit(chunks)).cast("int").alias("chunk"),
         *(F.col(c).alias(f"carry_{c}") for c in carry),
     )
     kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in dealt.schema if f.name.startswith("carry_"))
