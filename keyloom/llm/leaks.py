@@ -21,8 +21,8 @@ SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least alignment score as a share of the item's own, and least aligned score in words.
 LEAK, LEAST_WORDS = 0.5, 8
-#: Items that are broadcast at a time; more items are searched in more passes.
-ITEM_BLOCK = 20_000
+#: Items, and bytes of their texts, that are broadcast at a time on average; more are searched in more passes.
+ITEM_BLOCK, ITEM_BYTES = 20_000, 16 << 20
 
 _FOLD = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -151,14 +151,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Da
     folded text, of the item's best place in the document. Null and wordless texts hold nothing, items of
     under SEED words are not searched, equal rows give equal rows, and so do items of equal text. Of docs
     and benchmark only key, text and item_id, text are read. Items go to the tasks in blocks of about
-    ITEM_BLOCK, one pass over the documents each, so no size of benchmark outgrows a task.
+    ITEM_BLOCK items and ITEM_BYTES bytes, one pass over the documents each, so no size of benchmark outgrows
+    a task.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias(key) if key == "doc_id" else key, "text")
-    blocks = max(1, -(-benchmark.count() // ITEM_BLOCK))
+    n, size = benchmark.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEM_BLOCK), -(-size // ITEM_BYTES))
     found = None
     for k in range(blocks):
-        mine = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "text")
+        mine = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).select("item_id", "text")
         seeds = spark.sparkContext.broadcast(Items(sorted(((r.item_id, r.text) for r in mine.collect()), key=str)))
         kind = rows.schema[key].dataType.simpleString()
         part = rows.mapInArrow(_search(seeds, key), f"{key} {kind}, item_id long, score double, first_word long, end_word long")
