@@ -13,7 +13,7 @@ def quality_sql(rules: quality.Rules = quality.Rules()) -> str:
     w = quality.WINDOW
     tests = " UNION ALL ".join(f"SELECT '{n}' AS rule, {c}::DOUBLE AS cut" for n, c in grid)
     rate = " ".join(f"WHEN '{n}' THEN {n}" for n in rules.GRID)
-    rejected = " OR ".join(f"coalesce({n} > CASE WHEN o.has THEN o.{n}_cut ELSE p.{n}_cut END, false)" for n in rules.GRID)
+    rejected = " OR ".join(f"coalesce({n} > {n}_cut, false)" for n in rules.GRID)
     cuts = ", ".join(f"min(cut) FILTER (rule = '{n}' AND p <= {rules.delta}::DOUBLE / m) AS {n}_cut" for n in rules.GRID)
     symbols = "".join("\\" + c for c in quality.SYMBOLS)
     return rf"""
@@ -22,21 +22,21 @@ win AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + {w - 1}), ' ') AS
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range({w}) r(k) GROUP BY 1),
 ln AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
-b AS (SELECT d.doc_id, stratum, len(w) AS n_words, list_sum(list_transform(list_prepend('', w), lambda x: length(x)))::BIGINT AS word_chars,
+b AS (SELECT d.doc_id, coalesce('=' || stratum, '') AS stratum, len(w) AS n_words, list_sum(list_transform(list_prepend('', w), lambda x: length(x)))::BIGINT AS word_chars,
     length(text) - length(regexp_replace(text, '[{symbols}]', '', 'g')) AS n_symbols, length(text) - length(replace(text, '!', '')) AS n_shout,
     coalesce(ln.dup, 0) AS n_dup_lines, coalesce(ln.n, 0) AS n_lines, coalesce(cov.n, 0) AS n_repeat_words FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ln USING (doc_id)),
 m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN n_symbols::DOUBLE / word_chars ELSE 0 END AS symbol_rate,
     CASE WHEN word_chars > 0 THEN n_shout::DOUBLE / word_chars ELSE 0 END AS shout_rate, CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0 END AS dup_line_rate,
     CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0 END AS repeat_rate FROM b),
 good AS (SELECT m.* FROM m JOIN (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1) USING (doc_id) WHERE NOT base_failed),
-own AS (SELECT stratum FROM good WHERE stratum IS NOT NULL GROUP BY 1 HAVING count(*) >= {rules.min_labels} ORDER BY count(*) DESC, 1 LIMIT {rules.max_strata}),
-s AS (SELECT stratum AS st, g.* FROM good g JOIN own USING (stratum) UNION ALL SELECT NULL, * FROM good),
+own AS (SELECT stratum FROM good GROUP BY 1 HAVING count(*) >= {rules.min_labels}),
+s AS (SELECT stratum AS st, g.* FROM good g JOIN own USING (stratum)),
 t AS (SELECT st, rule, cut, count(*) AS n, count(*) FILTER (CASE rule {rate} END > cut) AS k FROM s, ({tests}) GROUP BY 1, 2, 3),
-q AS (SELECT *, (SELECT count(DISTINCT coalesce(st, '')) FROM t) * {len(grid)} AS m, (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}::DOUBLE) + (n - j) * ln(1 - {alpha}::DOUBLE)))
+q AS (SELECT *, (SELECT count(DISTINCT st) FROM t) * {len(grid)} AS m, (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({alpha}::DOUBLE) + (n - j) * ln(1 - {alpha}::DOUBLE)))
     FROM range(k + 1) r(j)) AS p FROM t),
-c AS (SELECT st, true AS has, {cuts} FROM q GROUP BY 1)
+c AS (SELECT st, {cuts} FROM q GROUP BY 1)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejected}) AS kept
-FROM m LEFT JOIN c o ON o.st = m.stratum LEFT JOIN (SELECT * FROM c WHERE st IS NULL) p ON true
+FROM m LEFT JOIN c ON c.st = m.stratum
 """
 
 

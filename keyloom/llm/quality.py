@@ -26,12 +26,11 @@ WINDOW = 8
 class Rules:
     """alpha: the share of good documents that may be rejected per stratum; delta: the risk that any
     certified cutoff breaks this. In a stratum with fewer than min_labels good holdout rows nothing is
-    certified, so all rules are off there. max_strata bounds the strata of the SQL counterpart only."""
+    certified, so all rules are off there."""
 
     alpha: float = 0.04
     delta: float = 0.05
     min_labels: int = 40
-    max_strata: int = 64
 
     #: measure -> candidate cutoffs, strictest first.
     GRID = {
@@ -132,20 +131,17 @@ def binomial_cdf(k: str, n: str, p: float) -> Column:
 
 
 def certified_cutoffs(holdout: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row per certified stratum and one for the pooled stratum (null): a cutoff or null per rule.
+    """(stratum, good_rows, a cutoff or null per rule) of every stratum of min_labels rows.
 
     holdout: stratum and the rates of labelled good documents. Counts are partial sums per candidate
-    cutoff, so no holdout row meets another of its stratum. The pooled row is for information: it
-    guarantees nothing for any one stratum.
+    cutoff, so no holdout row meets another of its stratum. What holds for all strata together guarantees
+    nothing for any one of them, so no stratum gets cutoffs that are not its own.
     """
     grid = [(name, c) for name, cutoffs in rules.GRID.items() for c in cutoffs]
     alpha = rules.alpha / len(rules.GRID)
     tests = [F.sum((F.col(name) > c).cast("long")).alias(f"k{i}") for i, (name, c) in enumerate(grid)]
     per_stratum = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tests)
-    ks = [f"k{i}" for i in range(len(grid))]
-    pooled = per_stratum.agg(F.lit(None).cast("string").alias("stratum"), F.sum("n").alias("n"), *(F.sum(k).alias(k) for k in ks))
-    own = per_stratum.where(F.col("stratum").isNotNull() & (F.col("n") >= rules.min_labels))
-    strata = own.unionByName(pooled.where(F.col("n").isNotNull()))
+    strata = per_stratum.where(F.col("stratum").isNotNull() & (F.col("n") >= rules.min_labels))
     strata = strata.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) * len(grid))  # a row per min_labels labels at most
     passed = [binomial_cdf(f"k{i}", "n", alpha) <= rules.delta / F.col("m") for i in range(len(grid))]
     chosen = []
@@ -174,7 +170,7 @@ def judge(docs: DataFrame, labels: DataFrame, rules: Rules = Rules(), stratum_co
 
     names = [f"cut_{name}" for name in rules.GRID]
     some = F.coalesce(*names).isNotNull()  # hundreds of labels each, so these strata are few
-    own = cutoffs.where(F.col("stratum").isNotNull() & some).select(F.col("stratum").alias("of"), F.struct(*names).alias("own"))
+    own = cutoffs.where(some).select(F.col("stratum").alias("of"), F.struct(*names).alias("own"))
     out = seen.withColumn("of", of).join(F.broadcast(own), "of", "left")
     cuts = F.col("own")
     rejected = [F.coalesce(F.col(name) > cuts[f"cut_{name}"], F.lit(False)) for name in rules.GRID]
