@@ -6,8 +6,7 @@ proportion, so cutting it into equal runs gives shards that match the mixture.
 
 Ranks are exact without a global sort or a window over a whole stratum: the first hash digits deal a
 stratum into buckets, bucket counts give offsets, and only rows of one bucket meet in a window. The
-second ranking deals rows by the leading part of the fraction, whose offsets follow from the stratum
-sizes alone.
+second ranking deals rows by the leading part of the fraction, in the same way.
 """
 
 from __future__ import annotations
@@ -55,12 +54,12 @@ def interleave(
         .withColumn("k", F.expr(f"({BUCKETS} * (2 * stratum_rank - 1)) div (2 * stratum_rows)"))
     )
 
-    # Rows of a stratum of n whose bucket is below k: those with BUCKETS * (2 r - 1) < 2 n k.
-    sizes = counts.groupBy("s").agg(F.sum("n").alias("n"))
-    starts = (
-        sizes.select("n", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("k"))
-        .groupBy(F.col("k").cast("long").alias("k"))
-        .agg(F.sum(F.expr(f"((2 * n * k + {BUCKETS - 1}) div {BUCKETS}) div 2")).alias("start"), F.sum("n").alias("total"))
+    # Where each bucket starts: BUCKETS counts at most, whatever the number of strata.
+    one = Window.partitionBy(F.lit(1))
+    starts = ranked.groupBy("k").agg(F.count(F.lit(1)).alias("n")).select(
+        "k",
+        F.coalesce(F.sum("n").over(one.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
+        F.sum("n").over(one).alias("total"),
     )
     fraction = (2 * F.col("stratum_rank") - 1) / (2 * F.col("stratum_rows"))
     local = F.row_number().over(Window.partitionBy("k").orderBy(fraction, F.col("s"), *order))
