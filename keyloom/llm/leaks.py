@@ -62,6 +62,10 @@ class Items:
         item = np.searchsorted(self.first, start, "right") - 1
         self.seed_item, self.seed_place = item[order], (start - self.first[item])[order]
         self.seeds, self.low = np.unique(grams[order], return_index=True)
+        #: Items of fewer words than a seed: their words, and which they are.
+        self.short: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero((size > 0) & (size < SEED)):
+            self.short.setdefault(self.words[i].tobytes(), []).append(int(i))
         self.high = np.r_[self.low[1:], len(order)].astype(np.int64)
 
     def candidates(self, words: np.ndarray, grams: np.ndarray, start: np.ndarray):
@@ -131,6 +135,10 @@ def _search(shared, key):
             hit = np.flatnonzero(items.seeds[near] == h) if len(near) else near
             docs = np.unique(np.searchsorted(cuts, hit, "right") - 1)
             out: list[tuple] = []
+            size = np.diff(first)
+            for d in np.flatnonzero((size > 0) & (size < SEED)) if items.short else []:
+                for item in items.short.get(hashes[first[d] : first[d + 1]].tobytes(), ()):
+                    out.append((int(d), items.ids[item], 1.0, 0, int(size[d])))
             for d in docs:
                 a, b = cuts[d], cuts[d + 1]
                 words = hashes[first[d] : first[d + 1]]
@@ -148,8 +156,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> Da
     """(key, item_id, score, first_word, end_word) per document and test item that it holds.
 
     score is the alignment's share of the item's own score, LEAK at least; the words are those of the
-    folded text, of the item's best place in the document. Null and wordless texts hold nothing, items of
-    under SEED words are not searched, equal rows give equal rows, and so do items of equal text. Of docs
+    folded text, of the item's best place in the document. Null and wordless texts hold nothing. An item of
+    under SEED words says too little to be found within a text; a document that is nothing but it holds it.
+    Equal rows give equal rows, and so do items of equal text. Of docs
     and benchmark only key, text and item_id, text are read. Items go to the tasks in blocks of about
     ITEM_BLOCK items and ITEM_BYTES bytes, one pass over the documents each, so no size of benchmark outgrows
     a task.

@@ -198,8 +198,10 @@ def test_alignment_equals_full_table():
 
 def test_leaks_odd_rows_and_blocks(spark, monkeypatch):
     docs = odd(spark)
-    bench = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (4, "a b c d e f g h i")], "item_id long, text string")
-    assert leaks.find_leaks(docs, bench).count() == 0
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (5, "Alpha beta"), (4, "a b c d e f g h i")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in leaks.find_leaks(docs, bench).collect()] == [(4, 3)]  # the document is the item, which is under SEED words
+    two = spark.createDataFrame([(1, "alpha, BETA"), (2, "alpha beta gamma"), (3, "beta")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.end_word) for r in leaks.find_leaks(two, bench).collect()] == [(1, 5, 2)]
     monkeypatch.setattr(leaks, "ITEM_BLOCK", 2)
     hit = spark.createDataFrame([(8, "zz A b, c d e f g h i yy"), (9, "nothing")], "doc_id long, text string")
     assert [(r.doc_id, r.item_id, r.score) for r in leaks.find_leaks(hit, bench).collect()] == [(8, 4, 1.0)]
