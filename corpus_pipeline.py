@@ -13,7 +13,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5."""
+    """Documents that score under 0.5. Null and wordless texts have no evidence and stay; equal texts score
+    alike, so repeated rows stay or go together."""
     scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=COLUMNS)
     return scored.where("score < 0.5").select(*COLUMNS)
 
@@ -26,7 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated words; those that lose all their words go. A document that
-    loses none keeps its text as it is."""
+    loses none keeps its text as it is, null and empty ones too. A null id counts as the least, rows of one
+    id as one document, whose rows do not remove each other's words at the same place."""
     done = substring.remove_repeats(docs, carry=("lang", "source"))
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
     left = done.where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
@@ -34,14 +36,16 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item, by their texts: an id may be missing or stand for several."""
+    """Documents that hold no test item, by their texts: an id may be missing or stand for several. Null and
+    empty texts hold none."""
     docs = docs.withColumn("digest", near.digest(F.col("text")))
     found = leaks.find_leaks(docs, table(spark, sf_dir, "benchmark"), key="digest").select("digest").distinct()
     return docs.join(found, "digest", "left_anti").select(*COLUMNS)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the text that they decode to."""
+    """Token ids of every document, and the text that they decode to; null and empty texts have no ids and
+    decode to the empty text."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     done = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
