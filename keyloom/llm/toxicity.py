@@ -280,28 +280,35 @@ class Scorer:
     def __init__(self, shared):
         self.shared, self.memo = shared, Memo(MEMO)
         self.heads = {f.rstrip("*")[: PREFIXES[0]] for f in shared[1]}
+        self.nothing: set[str] = set()  # tokens without evidence, of MEMO bytes at most, roughly counted
+        self.held = 0
 
     def evidence(self, text: str | None) -> tuple[float, int]:
         logp, weights, _ = self.shared
         found: dict[str, float] = {}
-        for token in _tokens(text or "", logp):
+        for token in _tokens(text or "", logp).difference(self.nothing):
             e = self.memo.get(token)
             if e is None:
                 plain = token.lower() if token.isalpha() else _EDGE.sub("", token).lower()
-                odd = _ODD.search(token)
-                if plain[: PREFIXES[0]] not in self.heads and not (odd and any(_begins(f, self.heads) for f in _forms(token))):
-                    # No reading begins as a feature does, so none has one.
-                    if odd:
-                        self.memo.keep(token, NONE, len(token))
-                    continue
                 e = NONE
-                for w in readings(token, logp):
-                    e = max(e, (max(weights.get(f, 0.0) for f in _features(w)), w))
-                e = self.memo.keep(token, e if e[0] > 0 else NONE, len(token))
-            if e[0] > 0:
-                found[e[1]] = e[0]
+                # Where no reading begins as a feature does, none has one.
+                if plain[: PREFIXES[0]] in self.heads or _ODD.search(token) and any(_begins(f, self.heads) for f in _forms(token)):
+                    for w in readings(token, logp):
+                        e = max(e, (max(weights.get(f, 0.0) for f in _features(w)), w))
+                if e[0] <= 0:
+                    self._forget(token)
+                    continue
+                self.memo.keep(token, e, len(token))
+            found[e[1]] = e[0]
         return sum(sorted(found.values(), reverse=True)[:TOP]), len(found)
 
+    def _forget(self, token: str) -> None:
+        self.held += len(token) + 130
+        if self.held > MEMO:
+            self.nothing.clear()
+            self.held = len(token) + 130
+        self.nothing.add(token)
+
     def score(self, text: str | None) -> tuple[float, float, int]:
         z, n = self.evidence(text)
         a, b = self.shared[2]
