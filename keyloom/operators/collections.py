@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.model import expiry
+from keyloom.operators.ordered import running
 from keyloom.operators.state import is_live, ttl_remaining
 
 
@@ -70,10 +71,9 @@ def hexpire(fields: DataFrame, key: str, field: str, ttl_s: int, now_us: int) ->
 
 def pushes(events: DataFrame) -> DataFrame:
     """(key, seq, value) of lists from (version, key, op LPUSH|RPUSH, value): heads go down, tails up."""
-    order = Window.partitionBy("key").orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
-    left = F.sum((F.col("op") == "LPUSH").cast("long")).over(order)
-    right = F.sum((F.col("op") == "RPUSH").cast("long")).over(order)
-    return events.select("key", F.when(F.col("op") == "LPUSH", -left).otherwise(right - 1).alias("seq"), "value")
+    counts = {"left": (F.col("op") == "LPUSH").cast("long"), "right": (F.col("op") == "RPUSH").cast("long")}
+    counted = running(events.select("key", "version", "op", "value"), ["key"], "version", counts)
+    return counted.select("key", F.when(F.col("op") == "LPUSH", -F.col("left")).otherwise(F.col("right") - 1).alias("seq"), "value")
 
 
 def _deque(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,8 +107,7 @@ def lists(events: DataFrame) -> DataFrame:
 
 def lrange(rows: DataFrame, start: int, stop: int) -> DataFrame:
     """(key, pos, value) of each list between two inclusive positions, negative ones from the end."""
-    by_key = Window.partitionBy("key")
-    at = rows.select("key", "value", (F.row_number().over(by_key.orderBy("seq")) - 1).alias("pos"), F.count(F.lit(1)).over(by_key).alias("n"))
+    at = running(rows.select("key", "seq", "value"), ["key"], "seq", {"pos": F.lit(1)}, {"n": F.lit(1)}).withColumn("pos", F.col("pos") - 1)
     low = F.greatest(F.lit(0), F.lit(start) + (F.col("n") if start < 0 else F.lit(0)))
     high = F.lit(stop) + (F.col("n") if stop < 0 else F.lit(0))
     return at.where((F.col("pos") >= low) & (F.col("pos") <= high)).select("key", F.col("pos").cast("long").alias("pos"), "value")

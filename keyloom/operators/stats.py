@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.bind import position
+from keyloom.operators.ordered import stream_fold
 
 #: Replicas at most, as a power of two: their acks travel as one array.
 ACK_BITS = 16
@@ -42,10 +43,14 @@ def rates(samples: DataFrame, by: str, ts_us: str, value: str) -> DataFrame:
 
 
 def ewma(samples: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """new = old - (old >> 3) + (x >> 3) from 0, in order; the fold is sequential by nature."""
-    steps = F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("long").alias("x"))))
-    fold = F.aggregate(steps, F.lit(0).cast("long"), lambda s, r: s - F.shiftright(s, 3) + F.shiftright(r["x"], 3))
-    return samples.groupBy(by).agg(fold.alias("ewma"))
+    """new = old - (old >> 3) + (x >> 3) from 0, in order; the fold is sequential by nature and streamed."""
+    kind = samples.schema[by].dataType.simpleString()
+    rows = samples.select(F.col(by).alias("_by"), F.col(order).alias("_at"), F.col(value).cast("long").alias("_x"))
+
+    def step(s, row):
+        return s - (s >> 3) + (row["_x"] >> 3), None
+
+    return stream_fold(rows, "_by", ["_at", "_x"], lambda: 0, step, f"{by} {kind}, ewma long", lambda key, s: (key, s))
 
 
 def slow_disks(disks: DataFrame, factor: float = 5.0) -> DataFrame:

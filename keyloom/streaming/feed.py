@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StringType, StructField, StructType
 
 from keyloom.model import CHANGELOG
+from keyloom.operators.ordered import stream_fold
 from keyloom.operators.state import latest_per_key
 
 
@@ -86,9 +87,9 @@ class Replica:
         query.awaitTermination()
 
 
-def _bucket(tokens: float, last: float | None, rows: pd.DataFrame, rate: float, burst: float):
+def _bucket(tokens: float, last: float | None, times, rate: float, burst: float):
     out = []
-    for at in rows["ts_us"]:
+    for at in times:
         tokens = burst if last is None else min(burst, tokens + max(0.0, at - last) / 1e6 * rate)
         last = at if last is None else max(last, at)
         ok = tokens >= 1
@@ -102,12 +103,12 @@ def token_bucket(writes: DataFrame, rate: float, burst: float | None = None) ->
     to burst (rate if not given), start full, and each admitted write takes one."""
     most = burst or rate
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_us", "version"])
-        pdf["admitted"] = _bucket(most, None, pdf, rate, most)[2]
-        return pdf[["ns", "version", "admitted"]]
+    def step(state, row):
+        tokens, last, (ok,) = _bucket(*state, [row["ts_us"]], rate, most)
+        return (tokens, last), (row["ns"], row["version"], bool(ok))
 
-    return writes.select("ns", "version", "ts_us").groupBy("ns").applyInPandas(run, "ns string, version long, admitted boolean")
+    rows = writes.select("ns", "version", "ts_us")
+    return stream_fold(rows, "ns", ["ts_us", "version"], lambda: (most, None), step, "ns string, version long, admitted boolean")
 
 
 def stream_token_bucket(stream: DataFrame, rate: float, burst: float | None = None) -> DataFrame:
@@ -117,7 +118,7 @@ def stream_token_bucket(stream: DataFrame, rate: float, burst: float | None = No
     def run(key, batches, state: GroupState):
         tokens, last = state.get if state.exists else (most, None)
         pdf = pd.concat(list(batches)).sort_values(["ts_us", "version"])
-        tokens, last, ok = _bucket(tokens, last, pdf, rate, most)
+        tokens, last, ok = _bucket(tokens, last, pdf["ts_us"], rate, most)
         state.update((float(tokens), float(last)))
         yield pd.DataFrame({"ns": key[0], "version": pdf["version"].to_numpy(), "admitted": ok})
 
