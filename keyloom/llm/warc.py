@@ -136,20 +136,20 @@ class _Inflated:
         if self.begin > 4 * INFLATE:
             del self.data[: self.begin]
             self.begin = 0
-        while self.at < len(self.packed) or self.inflate.unconsumed_tail:
-            if self.inflate.eof:  # another member follows
-                self.at -= len(self.inflate.unused_data)
+        while True:
+            if self.inflate.eof and (rest := len(self.inflate.unused_data)) + len(self.packed) - self.at:
+                self.at -= rest  # another member follows
                 self.inflate = zlib.decompressobj(31)
-                continue
             tail = self.inflate.unconsumed_tail
             if not tail:
                 tail = self.packed[self.at : self.at + INFLATE]
                 self.at += len(tail)
+            if not tail:
+                return False
             got = self.inflate.decompress(tail, 4 * INFLATE)
             if got:
                 self.data += got
                 return True
-        return False
 
     def until(self, mark: bytes) -> bytes | None:
         """What comes before the next mark, which is passed over; None at the end."""
