@@ -48,7 +48,8 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """A block of items: hashes of their words, and where each n-gram occurs in which item."""
+    """A block of items: hashes of their words, and for each n-gram the items that have it, each with the
+    first and the last place where it does."""
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         self.ids = [i for i, _ in rows]
@@ -58,45 +59,53 @@ class Items:
         #: Least matching words of an accepted alignment: its score is MATCH a word at most.
         self.need = np.maximum(np.ceil(LEAK * size), np.minimum(LEAST_WORDS, size)).astype(np.int64)
         grams, start = windows(self.all, self.first, SEED)
-        order = np.argsort(grams, kind="stable")
         item = np.searchsorted(self.first, start, "right") - 1
-        self.seed_item, self.seed_place = item[order], (start - self.first[item])[order]
-        self.seeds, self.low = np.unique(grams[order], return_index=True)
+        order = np.lexsort((start, item, grams))
+        grams, item, place = grams[order], item[order], (start - self.first[item])[order]
+        new = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (item[1:] != item[:-1])]) if len(grams) else np.empty(0, np.int64)
+        self.seed_item, self.seed_first = item[new], place[new]
+        self.seed_last = place[np.r_[new[1:], len(grams)] - 1] if len(new) else place
+        self.seeds, self.low = np.unique(grams[new], return_index=True)
         #: Items of fewer words than a seed: their words, and which they are.
         self.short: dict[bytes, list[int]] = {}
         for i in np.flatnonzero((size > 0) & (size < SEED)):
             self.short.setdefault(self.words[i].tobytes(), []).append(int(i))
-        self.high = np.r_[self.low[1:], len(order)].astype(np.int64)
+        self.high = np.r_[self.low[1:], len(new)].astype(np.int64)
 
     def candidates(self, words: np.ndarray, grams: np.ndarray, start: np.ndarray):
-        """(item, place in the text, place in the item) of the seeds of one text, sorted, for the items
-        of whose words it holds enough."""
+        """(item, place in the text, first and last place in the item) of the seeds of one text, sorted, for
+        the items of whose words it holds enough. Items are chosen by the text's distinct seeds, so a seed
+        that a text repeats without end costs its places for the chosen items only."""
         near = np.minimum(np.searchsorted(self.seeds, grams), len(self.seeds) - 1)
         hit = np.flatnonzero(self.seeds[near] == grams)
-        low, n = self.low[near[hit]], (self.high - self.low)[near[hit]]
-        k = _ranges(low, n)
-        item, at = self.seed_item[k], np.repeat(start[hit], n)
-        some = np.unique(item)
+        seed = near[hit]
+        distinct = np.unique(seed)
+        n = (self.high - self.low)[distinct]
+        pair = _ranges(self.low[distinct], n)
+        some = np.unique(self.seed_item[pair])
         if not len(some):
-            return item, at, at
+            return (np.empty(0, np.int64),) * 4
         size = self.first[some + 1] - self.first[some]
         held = np.isin(self.all[_ranges(self.first[some], size)], words)
         enough = some[np.add.reduceat(held, np.cumsum(size) - size, dtype=np.int64) >= self.need[some]]
-        keep = np.isin(item, enough)
-        item, at, place = item[keep], at[keep], self.seed_place[k][keep]
-        order = np.lexsort((place, at, item))
-        return item[order], at[order], place[order]
+        keep = np.isin(self.seed_item[pair], enough)
+        pair, of = pair[keep], np.repeat(distinct, n)[keep]
+        low, high = np.searchsorted(of, seed), np.searchsorted(of, seed, "right")
+        k = pair[_ranges(low, high - low)]
+        item, at = self.seed_item[k], np.repeat(start[hit], high - low)
+        order = np.lexsort((at, item))
+        return item[order], at[order], self.seed_first[k][order], self.seed_last[k][order]
 
     def search(self, words: np.ndarray, grams: np.ndarray, start: np.ndarray):
         """(item, score, share, first word, end) of every leak in one text."""
-        items, at, place = self.candidates(words, grams, start)
+        items, at, early, late = self.candidates(words, grams, start)
         cuts = np.flatnonzero(np.r_[True, items[1:] != items[:-1]]) if len(items) else items
         for low, high in zip(cuts, np.r_[cuts[1:], len(items)]):
             item = int(items[low])
             own, need = self.words[item], self.need[item]
             # An accepted alignment has len(own) gaps at most: that far it strays from a seed's diagonal.
-            begin = np.maximum(at[low:high] - place[low:high] - len(own), 0)
-            end = np.minimum(at[low:high] - place[low:high] + 2 * len(own), len(words))
+            begin = np.maximum(at[low:high] - late[low:high] - len(own), 0)
+            end = np.minimum(at[low:high] - early[low:high] + 2 * len(own), len(words))
             order = np.argsort(begin, kind="stable")
             begin, end = begin[order], np.maximum.accumulate(end[order])
             split = np.flatnonzero(np.r_[True, begin[1:] > end[:-1]])
