@@ -71,7 +71,7 @@ def test_held_out_accuracy(spark):
 
 def test_toxicity_odd_rows(spark):
     docs = odd(spark)
-    model = toxicity.fit(docs, spark.createDataFrame([(4, 1), (5, 0), (None, 1), (9, None)], "doc_id long, toxic int"))
+    model = toxicity.fit(docs, spark.createDataFrame([(4, 1), (4, 1), (4, 0), (5, 0), (None, 1), (9, None)], "doc_id long, toxic int"))
     out = toxicity.score(docs, model).collect()
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
     none = spark.createDataFrame([], docs.schema)
@@ -142,6 +142,16 @@ def test_quality_odd_rows(spark):
     assert quality.judge(spark.createDataFrame([], docs.schema), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+def test_a_label_with_several_rows_is_good_only_if_all_are(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**6)}{'#' * (i % 2)}" for _ in range(22)), "en") for i in range(3000)], "doc_id long, text string, lang string")
+    good = docs.select("doc_id", F.lit(1).alias("quality"))
+    odd_ones = docs.where("doc_id % 2 = 1").select("doc_id", F.lit(0).alias("quality"))
+    kept = lambda labels: quality.judge(docs, labels).where("kept").count()
+    assert kept(good) == 3000 and kept(good.unionByName(good)) == 3000
+    assert kept(good.unionByName(odd_ones)) == 1500  # with the marked half no longer good, its marks are rejected
+
+
 # --- 4 decontamination ---
 
 
@@ -185,6 +195,14 @@ def test_leaks_equal_full_alignment(spark):
     assert {r.doc_id for r in got.collect()} == want and len(want) > 500
 
 
+def test_leaks_in_texts_of_one_seed(spark):
+    """A text and an item that repeat one n-gram: their places are no product."""
+    docs = spark.createDataFrame([(1, "la " * 200_000), (2, "la la lo"), (3, "x y " + "la " * 900 + "z")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "la " * 1000), (2, "la la la other words " * 3)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in leaks.find_leaks(docs, bench).collect()}
+    assert got[1, 1] == 1.0 and got[3, 1] == 0.9 and (2, 1) not in got
+
+
 def test_alignment_equals_full_table():
     rng = random.Random(3)
     for _ in range(50):
@@ -270,6 +288,28 @@ def test_warc_round_trip(spark):
     assert warc.archive(pages.limit(0), scratch(spark)).count() == 0
 
 
+def test_warc_of_large_payloads(spark):
+    """Payloads over a piece, and many small ones, come back as they were; none needs a file of its size."""
+    big = "WARC/1.1\r\n\r\n" * 400_000
+    rows = [(1, "http://a", big), (2, "http://b", big + "!"), (3, "http://c", big)] + [(i, f"http://{i}", f"small {i}") for i in range(10, 400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r for r in warc.archive(pages, scratch(spark)).collect()}
+    assert len(got) == len(rows) and got[1].response.record_type == "revisit" and got[1].refers_to == 3
+    for i, _, html_ in rows[1:]:
+        assert bytes(got[i].response.payload) == html_.encode()
+
+
+def test_inflating_piece_by_piece():
+    import gzip
+
+    parts = [b"a\r\n\r\n" + b"x" * 3_000_000, b"b\r\n\r\n", b"c" * 70_000 + b"\r\n\r\n"]
+    data = warc._Inflated(memoryview(b"".join(gzip.compress(p) for p in parts)))  # members follow one another
+    assert data.until(b"\r\n\r\n") == b"a" and data.take(3_000_000) == b"x" * 3_000_000
+    assert data.until(b"\r\n\r\n") == b"b" and data.until(b"\r\n\r\n") == b"c" * 70_000 and data.until(b"\r\n\r\n") is None
+    with pytest.raises(ValueError):
+        warc._Inflated(memoryview(gzip.compress(b"abc"))).take(4)
+
+
 def test_warc_query_on_table(spark):
     want = {r.page_id: (len(r.html.encode()), hashlib.sha1(r.html.encode()).hexdigest()) for r in table(spark, MID, "pages").collect()}
     assert {r.page_id: (r.payload_bytes, r.payload_digest) for r in Q.op7_warc(spark, MID).collect()} == want
@@ -407,6 +447,18 @@ def test_bpe_equals_library(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
 
 
+def test_bpe_of_other_patterns_and_long_words(spark):
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rng = random.Random(5)
+    texts = ["some words  here and\tthere 12 345", "".join(rng.choice("abcdeinorst") for _ in range(30_000)), "ab" * 5000 + " é" * 9, "\n\n x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for pattern in (public_tokenizers.PATTERN, r"\p{L}{1,3}| |[^ \p{L}]+", r"[^\n]+|\n"):
+        library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+        assert all(r.ids == library.encode_ordinary(texts[r.doc_id]) for r in bpe.encode(docs, path, pattern).collect())
+
+
 def test_bpe_odd_rows(spark):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = odd(spark, ", lang string, source string, score double, ids int, decoded int")

@@ -61,3 +61,16 @@ def test_phases_overlaps_and_odd_rows(spark):
 
 def test_empty_table(spark):
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_id_over_many_chunks(spark, monkeypatch):
+    """Rows of one id, and rows without any, are spread by their texts; results do not change."""
+    monkeypatch.setattr(substring, "CHUNK_DOCS", 2)
+    rng = random.Random(2)
+    passage = [f"p{k}" for k in range(45)]
+    rows = []
+    for _ in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(0, 20))]
+        at = rng.randrange(0, 20)
+        rows.append((rng.choice([None, 7, 7, 9]), " ".join(words + passage[at : at + rng.randrange(18, 26)])))
+    check(spark, rows)
