@@ -14,13 +14,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def position(items: Column, x: Column, before: Callable[[Column, Column], Column] = lambda a, b: a < b, bits: int = 32) -> Column:
-    """How many leading items of a sorted array come before x, by binary search: `bits` halvings are
-    enough for 2 ** bits items."""
+def position(items: Column, x: Column, before: Callable[[Column, Column], Column] = lambda a, b: a < b) -> Column:
+    """How many leading items of a sorted array come before x, by as many halvings as its size needs."""
     step = lambda at, _: F.when(
         at["low"] < at["high"],
         let(F.shiftright(at["low"] + at["high"], 1), lambda m: F.when(before(F.get(items, m), x), F.struct((m + 1).alias("low"), at["high"].alias("high")))
             .otherwise(F.struct(at["low"].alias("low"), m.alias("high")))),
     ).otherwise(at)
     start = F.struct(F.lit(0).alias("low"), F.size(items).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(bits)), start, step, lambda at: at["low"])
+    return F.aggregate(F.sequence(F.lit(0), F.floor(F.log2(F.size(items) + 1)).cast("int")), start, step, lambda at: at["low"])

@@ -71,7 +71,7 @@ def owner(keys: DataFrame, ring: DataFrame) -> DataFrame:
     many = F.raise_error(F.lit("too many ring points")).cast(points.schema["ring"].dataType)
     points = points.select(F.when(F.size("ring") > 2**RING_BITS, many).otherwise(F.col("ring")).alias("ring"), F.lit(1).alias("one"))
     joined = keys.select("key", F.col("h").alias("at"), F.lit(1).alias("one")).join(F.broadcast(points), "one")
-    after = position(F.col("ring"), F.col("at"), lambda p, at: p["h"] < at, bits=RING_BITS + 1)
+    after = position(F.col("ring"), F.col("at"), lambda p, at: p["h"] < at)
     return joined.select("key", F.get("ring", (after % F.size("ring")).cast("int"))["node"].alias("node"))
 
 

@@ -80,7 +80,7 @@ def quorum(ops: DataFrame, acks: DataFrame, factor: int) -> DataFrame:
     acks: last_ack per replica, a few rows that are summed up as one sorted array."""
     sorted_ = _sorted_acks(acks)
     joined = ops.select("seq", F.lit(1).alias("one")).join(F.broadcast(sorted_), "one")
-    acked = F.size("acks") - position(F.col("acks"), F.col("seq"), bits=ACK_BITS) + 1
+    acked = F.size("acks") - position(F.col("acks"), F.col("seq")) + 1
     return joined.select("seq", acked.cast("long").alias("acked"), (acked >= factor // 2 + 1).alias("committed"))
 
 
@@ -98,7 +98,7 @@ def anti_entropy(ops: DataFrame, replicas: DataFrame) -> DataFrame:
     packed = replicas.agg(F.array_sort(F.collect_list(F.struct(F.col("last_ack").cast("long").alias("last_ack"), F.col("replica").cast("long").alias("replica")))).alias("rs"))
     packed = packed.select(F.when(F.size("rs") > 2**ACK_BITS, many).otherwise(F.col("rs")).alias("rs"), F.lit(1).alias("one"))
     joined = ops.select("seq", F.lit(1).alias("one")).join(F.broadcast(packed), "one")
-    behind = position(F.col("rs"), F.col("seq"), lambda r, seq: r["last_ack"] < seq, bits=ACK_BITS)
+    behind = position(F.col("rs"), F.col("seq"), lambda r, seq: r["last_ack"] < seq)
     return joined.select("seq", F.explode(F.slice("rs", F.lit(1), behind)).alias("r")).select("r.replica", "seq")
 
 
@@ -106,7 +106,7 @@ def replica_lag(ops: DataFrame, replicas: DataFrame) -> DataFrame:
     """(replica, ops_behind, bytes_behind) of the replicas that lack something: ops are summed by how many
     replicas lack them, and a replica's share is a running sum over those few sums."""
     joined = ops.select("seq", "size", F.lit(1).alias("one")).join(F.broadcast(_sorted_acks(replicas)), "one")
-    behind = position(F.col("acks"), F.col("seq"), bits=ACK_BITS)
+    behind = position(F.col("acks"), F.col("seq"))
     sums = joined.groupBy(behind.alias("behind")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("b")).where("behind > 0")
     # The replica of rank r, from the one furthest behind on, lacks the ops that r or more replicas lack.
     rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("last_ack", "replica"))  # 2 ** ACK_BITS rows at most
