@@ -22,7 +22,7 @@ from keyloom.llm.text import Memo, slices, task
 
 #: Bytes of each memo of words that a task keeps at most; forgotten words are merged again, which costs
 #: time but changes nothing. Longer words than LONG bytes are not remembered.
-MEMO, LONG = 24 << 20, 64
+MEMO, LONG = 48 << 20, 64
 #: Fixed value: the pattern by which a blank and the words up to the next blank split alike in any text, as
 #: no match of it reaches over a blank that follows other characters. Other patterns split texts as wholes.
 BLANK_APART = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -106,7 +106,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
         def slow(text: str) -> bytes:
             out = []
             for word in find(text):
-                got = merged.get(word)
+                got = merged.get(word) or merged.old.get(word)
                 if got is None:
                     got = np.array(merge(word.encode(), ranks), np.int32).tobytes()
                     if len(word) <= LONG:
@@ -121,7 +121,9 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
             found = list(map(spaced.get, rest))
             if None in found:
                 for i, got in enumerate(found):
-                    if got is None:
+                    if got is None and (got := spaced.old.get(rest[i])) is not None:
+                        found[i] = got
+                    elif got is None:
                         found[i] = slow(f" {rest[i]}")
                         if len(rest[i]) <= LONG:
                             spaced.keep(rest[i], found[i], 2 * len(rest[i]) + len(found[i]))

@@ -64,16 +64,18 @@ def rested(out):
 
 
 class Memo(dict):
-    """A dict that is emptied before it outgrows a bound in bytes, roughly counted; what it forgets is worked
-    out again. cost: bytes of an entry besides the strings' or bytes' own."""
+    """A dict of bounded size in bytes, roughly counted. When half of the bound is reached its entries become
+    those of `old`, whose own are forgotten; what is forgotten is worked out again. cost: bytes of an entry
+    besides the strings' or bytes' own."""
 
     def __init__(self, most: int, cost: int = 250):
         super().__init__()
-        self.most, self.cost, self.held = most, cost, 0
+        self.half, self.cost, self.held, self.old = most // 2, cost, 0, {}
 
     def keep(self, key, value, size: int):
         self.held += size + self.cost
-        if self.held > self.most:
+        if self.held > self.half:
+            self.old = dict(self)
             self.clear()
             self.held = size + self.cost
         self[key] = value

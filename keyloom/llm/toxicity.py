@@ -250,7 +250,7 @@ def _count_features(model):
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 found = set()
                 for token in _tokens(text or "", logp):
-                    if (f := memo.get(token)) is None:
+                    if (f := memo.get(token) or memo.old.get(token)) is None:
                         f = tuple(dict.fromkeys(x for w in readings(token, logp) for x in _features(w)))
                         memo.keep(token, f, 5 * len(token) + 70 * len(f))
                     found.update(f)
@@ -280,14 +280,14 @@ class Scorer:
     def __init__(self, shared):
         self.shared, self.memo = shared, Memo(MEMO)
         self.heads = {f.rstrip("*")[: PREFIXES[0]] for f in shared[1]}
-        self.nothing: set[str] = set()  # tokens without evidence, of MEMO bytes at most, roughly counted
-        self.held = 0
+        #: Tokens without evidence, of MEMO bytes at most, roughly counted, in two ages.
+        self.nothing, self.older, self.held = set(), set(), 0
 
     def evidence(self, text: str | None) -> tuple[float, int]:
         logp, weights, _ = self.shared
         found: dict[str, float] = {}
-        for token in _tokens(text or "", logp).difference(self.nothing):
-            e = self.memo.get(token)
+        for token in _tokens(text or "", logp).difference(self.nothing, self.older):
+            e = self.memo.get(token) or self.memo.old.get(token)
             if e is None:
                 plain = token.lower() if token.isalpha() else _EDGE.sub("", token).lower()
                 e = NONE
@@ -304,9 +304,8 @@ class Scorer:
 
     def _forget(self, token: str) -> None:
         self.held += len(token) + 130
-        if self.held > MEMO:
-            self.nothing.clear()
-            self.held = len(token) + 130
+        if self.held > MEMO // 2:
+            self.nothing, self.older, self.held = set(), self.nothing, len(token) + 130
         self.nothing.add(token)
 
     def score(self, text: str | None) -> tuple[float, float, int]:
