@@ -1,8 +1,9 @@
 """Byte-level BPE with public rank files.
 
 Each match of the split pattern is encoded on its own: the adjacent pair of pieces with the lowest rank is
-merged, the leftmost first among equals, until no pair has a rank. A task folds every distinct word once
-and keeps the result in a memo of bounded size; decoding concatenates the ids' binary pieces.
+merged, the leftmost first among equals, until no pair has a rank. A task folds its distinct words many at a
+time, as rows of numbers, and keeps results in a memo of bounded size; decoding concatenates the ids'
+binary pieces.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.text import Memo, slices, task
 
-#: Bytes of each memo of words that a task keeps at most; forgotten words are merged again, which costs
-#: time but changes nothing. Longer words than LONG bytes are not remembered.
-MEMO, LONG = 48 << 20, 64
+#: Bytes of the memo of words that a task keeps at most; forgotten words are merged again, which costs time
+#: but changes nothing. Words of more than LONG bytes are merged one by one and not remembered.
+MEMO, LONG = 64 << 20, 64
+#: Words that are merged at once at most.
+ROWS = 16_384
 #: Fixed value: the pattern by which a blank and the words up to the next blank split alike in any text, as
 #: no match of it reaches over a blank that follows other characters. Other patterns split texts as wholes.
 BLANK_APART = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -89,48 +92,116 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in pieces if p is not None]
 
 
+class Merger:
+    """A vocabulary in the form that merges many words at once.
+
+    Words are rows of ids, and a table has the id of every two pieces that make a third. In each step every
+    row merges its leftmost pair of the lowest rank; only the two pairs around it are looked up again."""
+
+    NONE = np.int32(2**31 - 1)
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        rows = ((ranks.get(t[:i]), ranks.get(t[i:]), r) for t, r in ranks.items() for i in range(1, len(t)))
+        table = np.array([x for x in rows if x[0] is not None and x[1] is not None], np.int64).reshape(-1, 3)
+        key = table[:, 0] << 32 | table[:, 1]
+        order = np.argsort(key)
+        self.key, self.made = key[order], table[order, 2].astype(np.int32)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, NONE where it is no piece; -1 is no id."""
+        key = a.astype(np.int64) << 32 | b
+        if not len(self.key):
+            return np.full(key.shape, self.NONE)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.made[at], self.NONE)
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes of 32-bit numbers."""
+        out: list[bytes] = [b""] * len(words)
+        groups: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            whole = self.ranks.get(word)
+            if whole is not None:
+                out[i] = whole.to_bytes(4, "little")
+            elif len(word) > LONG:
+                out[i] = np.array(_merge_long(word, self.ranks), "<i4").tobytes()
+            else:
+                groups.setdefault(len(word).bit_length(), []).append(i)
+        for places in groups.values():
+            for part in range(0, len(places), ROWS):
+                mine = places[part : part + ROWS]
+                for i, ids in zip(mine, self._merged([words[i] for i in mine])):
+                    out[i] = ids
+        return out
+
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        size = np.array([len(w) for w in words])
+        columns = np.arange(size.max())
+        ids = np.full((len(words), len(columns) + 1), -1, np.int32)  # one more column, always empty
+        ids[:, :-1][columns < size[:, None]] = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        rank = np.full(ids.shape, self.NONE)
+        rank[:, :-1] = self.pairs(ids[:, :-1], ids[:, 1:])
+        done, todo = np.full(ids.shape, -1, np.int32), np.arange(len(words))
+        columns = np.arange(ids.shape[1])
+        while len(todo):
+            at = rank.argmin(axis=1)  # the first of equal ones
+            best = rank[np.arange(len(todo)), at]
+            go = best < self.NONE
+            done[todo[~go]] = ids[~go]
+            todo, ids, rank, at, best = todo[go], ids[go], rank[go], at[go], best[go]
+            rows = np.arange(len(todo))
+            ids[rows, at] = best
+            take = np.minimum(columns + (columns > at[:, None]), columns[-1])
+            ids, rank = np.take_along_axis(ids, take, 1), np.take_along_axis(rank, take, 1)
+            rank[rows, at] = self.pairs(ids[rows, at], ids[rows, np.minimum(at + 1, columns[-1])])
+            some = at > 0
+            rank[rows[some], at[some] - 1] = self.pairs(ids[rows[some], at[some] - 1], ids[rows[some], at[some]])
+        kept = done >= 0
+        data, ends = done[kept].astype("<i4").tobytes(), 4 * np.cumsum(kept.sum(axis=1))
+        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>) per row of docs; null and empty texts have no ids, and control strings
     are ordinary text. Equal rows give equal rows; other columns are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast(load_ranks(rank_path))  # a vocabulary, fixed in size
-
+    shared = docs.sparkSession.sparkContext.broadcast(Merger(load_ranks(rank_path)))  # a vocabulary, fixed in size
     apart = pattern == BLANK_APART
 
     @task
     def run(batches):
         import regex
 
-        ranks, find = shared.value, regex.compile(pattern).findall
-        merged, spaced = Memo(MEMO), Memo(MEMO)  # word, and word after a blank -> its ids
-
-        def slow(text: str) -> bytes:
-            out = []
-            for word in find(text):
-                got = merged.get(word) or merged.old.get(word)
+        merger, find = shared.value, regex.compile(pattern).findall
+        memo = Memo(MEMO)  # a word behind a blank -> its ids
+
+        def encoded(texts: list[str | None]) -> list[bytes]:
+            """The ids of each text. The distinct new words of all texts are merged together."""
+            split = [t.split(" ") if t and apart and not _BLANKS.search(t) else None for t in texts]
+            # Matches of texts that aren't split at blanks, and of the first words of those that are.
+            plain = [find(s[0]) if s else find(t) if t else () for t, s in zip(texts, split)]
+            known: dict[str, bytes | None] = dict.fromkeys(w for s in split if s for w in s[1:])
+            spread: dict[str, list[str]] = {}
+            for word in known:
+                got = memo.get(word)
+                if got is None and (got := memo.old.get(word)) is not None:
+                    memo.keep(word, got, 2 * len(word) + len(got))
                 if got is None:
-                    got = np.array(merge(word.encode(), ranks), np.int32).tobytes()
-                    if len(word) <= LONG:
-                        merged.keep(word, got, 2 * len(word) + len(got))
-                out.append(got)
-            return b"".join(out)
-
-        def encoded(text: str) -> bytes:
-            if not apart or _BLANKS.search(text):
-                return slow(text)
-            first, *rest = text.split(" ")
-            found = list(map(spaced.get, rest))
-            if None in found:
-                for i, got in enumerate(found):
-                    if got is None and (got := spaced.old.get(rest[i])) is not None:
-                        found[i] = got
-                    elif got is None:
-                        found[i] = slow(f" {rest[i]}")
-                        if len(rest[i]) <= LONG:
-                            spaced.keep(rest[i], found[i], 2 * len(rest[i]) + len(found[i]))
-            return slow(first) + b"".join(found)
+                    spread[word] = find(f" {word}")
+                known[word] = got
+            new = dict.fromkeys(m for matches in (*plain, *spread.values()) for m in matches)
+            ids = dict(zip(new, merger.words([m.encode() for m in new])))
+            for word, matches in spread.items():
+                known[word] = got = b"".join(map(ids.__getitem__, matches))
+                if len(word) <= LONG:
+                    memo.keep(word, got, 2 * len(word) + len(got))
+            return [
+                b"".join([*map(ids.__getitem__, first), *map(known.__getitem__, s[1:] if s else ())]) for first, s in zip(plain, split)
+            ]
 
         for batch in slices(batches):
-            parts = [encoded(text) if text else b"" for text in batch.column("text").to_pylist()]
+            parts = encoded(batch.column("text").to_pylist())
             offsets = np.zeros(len(parts) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in parts], out=offsets[1:])
             ids = pa.array(np.frombuffer(b"".join(parts), np.int32))
