@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from keyloom.functions.bind import let
 
 OPERATORS = ("=", "!=", ">", "<", ">=", "<=", "contains")
+UNITS = ("KiB", "MiB", "GiB", "TiB", "PiB")
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _NAMED = r"(?i)^[+-]?(inf|infinity|nan)$"
 
@@ -36,11 +37,13 @@ def plain(x: Column) -> Column:
     return F.when(whole & integral, as_integer).when(text.contains("E"), fraction).otherwise(text)
 
 
-def human_bytes(n: Column) -> Column:
-    """1536 as 1.5 KiB: the largest binary unit that leaves a number of 1 or more, one decimal, cut, from KiB on."""
+def human_bytes(n: Column, largest: str = "PiB") -> Column:
+    """1536 as 1.5 KiB: the largest binary unit up to the named one that leaves a number of 1 or more, one
+    decimal, cut, from KiB on."""
     out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
-    for power, unit in enumerate(("KiB", "MiB", "GiB", "TiB", "PiB"), 1):
-        out = F.when(n >= 1024**power, F.concat(F.format_number(F.floor(n * 10 / 1024**power) / 10, 1), F.lit(f" {unit}"))).otherwise(out)
+    for power, unit in enumerate(UNITS[: UNITS.index(largest) + 1], 1):
+        tenths = (F.floor(n * 10 / 1024**power) / 10).cast("decimal(20,1)").cast("string")
+        out = F.when(n >= 1024**power, F.concat(tenths, F.lit(f" {unit}"))).otherwise(out)
     return out
 
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.functions.fields import compare, field_value, number
+from keyloom.functions.fields import compare, field_value, human_bytes, number
 from keyloom.model import CHANGELOG
 from keyloom.operators import atomic, collections, index, placement, predicate, scan, state, stats, vector, write
 from keyloom.plans import command
@@ -468,3 +468,12 @@ def test_commands(spark):
     for bad in ("PUT k", "MPUT a", "TXN NO:a", "INCR a x", "IDXCREATE a/b x", "HGET h"):
         with pytest.raises(ValueError):
             command.run(space, bad)
+
+
+def test_human_bytes(spark):
+    n = [0, 1023, 1024, 1536, 1_023_999, 1_024_000, 2**20 - 1, 2**20, 2**30 - 1, 2**40, 5000 * 2**40, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(n)], "i int, n long").orderBy("i")
+    shown = column(df.select(human_bytes(F.col("n")).alias("key")))
+    assert shown == ["0 B", "1023 B", "1.0 KiB", "1.5 KiB", "999.9 KiB", "1000.0 KiB", "1023.9 KiB", "1.0 MiB", "1023.9 MiB", "1.0 TiB", "4.8 PiB", None]
+    capped = column(df.select(human_bytes(F.col("n"), "KiB").alias("key")))
+    assert capped[:4] == shown[:4] and capped[6:10] == ["1023.9 KiB", "1024.0 KiB", "1048575.9 KiB", "1073741824.0 KiB"]

@@ -1,5 +1,6 @@
 """Every query of the keyspace engine against its SQL, on the smallest tables."""
 
+import duckdb
 import pytest
 from oracle import compare, connect
 
@@ -22,3 +23,17 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def against_sql(spark, tmp_path, name, events):
+    """The query's difference from its SQL on events (event_id, user_id, event_type)."""
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    return compare(spark, con, str(tmp_path), name, entry.queries()[name], entry.oracle_sql()[name])
+
+
+def test_human_formats_of_large_numbers(spark, tmp_path):
+    edges = [0, 60, 1024, 3600, 86_400, 1_024_000, 1_048_576, 6_000_000, 2**30, 2**40, 2**50]
+    ids = {i for e in edges for i in (e - 1, e, e + 1) if i >= 0} | set(range(0, 6_000_000, 7_919))
+    assert against_sql(spark, tmp_path, "human_formats", [(i, 0, "view") for i in sorted(ids)]) is None
